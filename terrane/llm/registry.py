@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import licenses, minhash, mixing, quality_rules
+from terrane.llm import licenses, minhash, mixing, quality_rules, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op4(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op6(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op7(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op9(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": op3_quality_rules,
         "op4_minhash": op4_minhash,
+        "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_substring_dedup": op7_substring_dedup,
         "op9_mixing": op9_mixing,
         "op10_license_scan": op10_license_scan,
     }
