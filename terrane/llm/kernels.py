@@ -91,11 +91,11 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def find_words(buf: np.ndarray, offs: np.ndarray) -> Words:
-    """Maximal runs of bytes outside ``SPACES``; none crosses a row."""
+def find_words(buf: np.ndarray, offs: np.ndarray, separator: np.ndarray = IS_SPACE) -> Words:
+    """Maximal runs of bytes that are no separators; none crosses a row."""
     n = len(buf)
     inside = np.zeros(n + 1, dtype=bool)
-    inside[:n] = ~IS_SPACE[buf]
+    inside[:n] = ~separator[buf]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offs] = True
     before = np.empty(n + 1, dtype=bool)
@@ -118,6 +118,21 @@ def word_codes(buf: np.ndarray, words: Words) -> np.ndarray:
     return mix(np.add.reduceat(value, np.cumsum(length) - length) + length.astype(np.uint64))
 
 
+#: Bytes that end a word of letters and digits: all ASCII but those.
+NOT_LETTER = np.ones(256, dtype=bool)
+NOT_LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
+
+def lower_case(buf: np.ndarray) -> np.ndarray:
+    """A-Z and the two-byte capitals of Latin-1 (0xC3 0x80-0x9E) lower-cased."""
+    out = LOWER[buf]
+    if len(buf) > 1:
+        tail = out[1:]
+        capital = (buf[:-1] == 0xC3) & (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)
+        tail[capital] += 0x20
+    return out
+
+
 def grams(codes: np.ndarray, k: int) -> np.ndarray:
     """Code of every k consecutive items (row borders are the caller's)."""
     n = len(codes) - k + 1

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import licenses, minhash, mixing, quality_rules, substring_dedup, suffix_dedup
+from terrane.llm import language_crf, licenses, minhash, mixing, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op3(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.op6(table(spark, sf_dir, "documents"))
 
@@ -39,8 +47,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op3_quality_rules": op3_quality_rules,
         "op4_minhash": op4_minhash,
+        "op5_language_id": op5_language_id,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_substring_dedup": op7_substring_dedup,
         "op9_mixing": op9_mixing,
