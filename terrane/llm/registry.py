@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import language_crf, licenses, minhash, mixing, quality_bayes, quality_rules, substring_dedup, suffix_dedup, toxicity
+from terrane.llm import decontamination, language_crf, licenses, minhash, mixing, quality_bayes, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op9(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
         "op10_license_scan": op10_license_scan,
     }

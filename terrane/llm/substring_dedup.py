@@ -100,16 +100,30 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(n - left), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) -> doc_id, cut text (unchanged without spans), words removed."""
-    for batch in batches:
-        buf, offs = K.text_bytes(batch.column(1))
-        words, kept = kept_words(buf, offs, batch.column(2))
-        texts = batch.column(1).to_pylist()
-        lost = np.diff(words.first) - np.diff(np.concatenate([[0], np.cumsum(kept)])[words.first])
-        for i in np.flatnonzero(lost):
-            texts[i] = joined(buf, words, kept, i).decode("utf-8", "replace")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(lost)], names=["doc_id", "text", "n_removed"])
+def _cutter(text: int, chars: int | None):
+    """Batches of documents with a last column of spans -> the documents with
+    those words cut out; texts without spans stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns[:-1])
+            spans = batch.column(batch.num_columns - 1)
+            touched = np.flatnonzero(np.diff(spans.offsets.to_numpy()))
+            if len(touched):
+                buf, offs = K.text_bytes(columns[text])
+                words, kept = kept_words(buf, offs, spans)
+                texts = columns[text].to_pylist()
+                sizes = columns[chars].to_pylist() if chars is not None else []
+                for i in touched:
+                    texts[i] = joined(buf, words, kept, i).decode("utf-8", "replace")
+                    if chars is not None:
+                        sizes[i] = len(texts[i])
+                columns[text] = pa.array(texts, columns[text].type)
+                if chars is not None:
+                    columns[chars] = pa.array(sizes, columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -129,8 +143,13 @@ def spans_of(docs: DataFrame, label: str = "substring") -> DataFrame:
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text without its repeated passages, n_removed."""
-    return with_spans(docs, spans_of(docs)).mapInArrow(_texts, "doc_id long, text string, n_removed long")
+    """The documents with all their columns, their repeated passages cut out of
+    ``text`` (kept words joined by one space); ``n_chars`` follows, if there."""
+    names = docs.columns
+    lists = spans_of(docs).groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("__spans"))
+    none = F.array().cast("array<struct<start:int,length:int>>")
+    rows = docs.join(lists, docs["doc_id"] == lists["doc"], "left").select(*[docs[c] for c in names], F.coalesce("__spans", none).alias("__spans"))
+    return rows.mapInArrow(_cutter(names.index("text"), names.index("n_chars") if "n_chars" in names else None), docs.schema)
 
 
 def op7(docs: DataFrame) -> DataFrame:
