@@ -57,6 +57,8 @@ def repeated_windows(buf: np.ndarray, offs: np.ndarray, doc: np.ndarray, start:
 
 def merged(string: np.ndarray, offset: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of each string that touch, as (string, offset, length)."""
+    if not len(string):
+        return string, offset, offset
     order = np.lexsort((offset, string))
     string, offset = string[order], offset[order]
     new = np.ones(len(string), bool)
