@@ -32,13 +32,13 @@ from terrane.llm.text import held_out
 from terrane.llm.workspace import bounded_batches
 
 #: Bounds of the training sample: documents of each label, and bytes of one.
-SAMPLE, SAMPLE_BYTES = 2000, 8_000
+SAMPLE, SAMPLE_BYTES = 1200, 8_000
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIMENSIONS = 4
 #: The mean of a long text is small; this keeps the gradients in range.
 GAIN = 20.0
-RATE = 0.01
+RATE = 0.05
 LEAST_DOCUMENTS = 3
 
 
@@ -67,10 +67,11 @@ def _first_vectors(seen: np.ndarray, toxic: np.ndarray, labels: np.ndarray) -> n
     return np.sign(z) * np.maximum(np.abs(z) - 2, 0)
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float, steps: int = 20, seed: int = 5) -> Model:
+def train(texts: list[str], labels: np.ndarray, prior: float, steps: int = 50, seed: int = 5) -> Model:
     """prior: share of toxic documents among all labelled ones, to which the
     balanced sample's odds are moved back."""
     labels = np.asarray(labels, np.int64)
+    steps = int(np.clip(len(labels) / 40, 6, steps))  # a small sample is fitted for fewer rounds, lest it be memorised
     if not len(labels) or labels.min() == labels.max():
         p = min(max(prior, 1e-3), 1 - 1e-3) if len(labels) else 0.5
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
@@ -86,13 +87,18 @@ def train(texts: list[str], labels: np.ndarray, prior: float, steps: int = 20, s
     by_word = np.argsort(word_of, kind="stable")
     # Documents, and toxic ones, that hold each bucket; only buckets of several documents are trained.
     begin, count = np.searchsorted(owner, word_of), np.bincount(owner, minlength=len(lex.codes))[word_of]
-    held = np.unique(np.repeat(doc_of, count) * BUCKETS + bucket[K.ranges(begin, count)])
-    seen = np.bincount(held % BUCKETS, minlength=BUCKETS)
-    toxic = np.bincount((held % BUCKETS)[labels[held // BUCKETS] == 1], minlength=BUCKETS)
+    seen, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for d in range(0, len(labels), 64):
+        a, b = np.searchsorted(doc_of, (d, d + 64))
+        held = np.unique(np.repeat(doc_of[a:b], count[a:b]) * BUCKETS + bucket[K.ranges(begin[a:b], count[a:b])])
+        seen += np.bincount(held % BUCKETS, minlength=BUCKETS)
+        toxic += np.bincount((held % BUCKETS)[labels[held // BUCKETS] == 1], minlength=BUCKETS)
     often = seen[bucket] >= LEAST_DOCUMENTS
-    bucket, owner = bucket[often], owner[often]
+    bucket, owner = bucket[often], owner[often].astype(np.int32)
     used, local = np.unique(bucket, return_inverse=True)
-    by_gram = np.argsort(local, kind="stable")
+    local = local.astype(np.int32)
+    by_gram = np.argsort(local, kind="stable").astype(np.int32)
+    del bucket, often, begin, count
 
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.02, (len(used), DIMENSIONS)).astype(np.float32)
