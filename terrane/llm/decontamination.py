@@ -43,7 +43,7 @@ from terrane.llm.workspace import bounded_batches
 THRESHOLD = 0.6
 QUESTION_SHARE, ANSWER_SHARE, GRAM = 0.5, 0.5, 3
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 4
 #: Items of one index; at 200 words each, some 40 MB on the driver.
 INDEX_ITEMS = 20_000
 
@@ -62,6 +62,7 @@ class Index:
     first: np.ndarray
     answer: np.ndarray  # words in each item's question
     terms: np.ndarray  # sorted codes
+    maybe: np.ndarray  # by a code's 16 high bits: some term has them
     top: np.ndarray  # largest impact of each term
     posting: np.ndarray  # first posting of each term
     item: np.ndarray
@@ -97,40 +98,45 @@ def build_index(ids: list[int], texts: list[str]) -> Index | None:
     posting = np.searchsorted(of_term, np.arange(len(terms) + 1))
     row_new = np.append(True, (of_term[1:] != of_term[:-1]) | (of_item[1:] // BLOCK != of_item[:-1] // BLOCK))
     block_at = np.flatnonzero(row_new)
+    maybe = np.zeros(1 << 16, bool)
+    maybe[terms >> np.uint64(48)] = True
     return Index(
-        np.array(ids, np.int64), codes, first, answer, terms, np.maximum.reduceat(impact, posting[:-1]), posting, of_item, impact,
+        np.array(ids, np.int64), codes, first, answer, terms, maybe, np.maximum.reduceat(impact, posting[:-1]), posting, of_item, impact,
         of_item[block_at] // BLOCK, np.append(block_at, len(pair)), np.maximum.reduceat(impact, block_at), np.searchsorted(of_term[block_at], np.arange(len(terms) + 1)), int(max(16, length.max())),
     )
 
 
-def wand(index: Index, rows: list[int], threshold: float) -> list[tuple[int, float]]:
+def wand(index: Index, rows: np.ndarray, threshold: float) -> list[tuple[int, float]]:
     """Items of one block at or above the threshold.  rows: the (term, block)
     rows of the passage's terms."""
-    cursors = [[int(index.block_at[r]), int(index.block_at[r + 1]), float(index.block_max[r])] for r in rows]
+    begin, end, most = index.block_at[rows].tolist(), index.block_at[rows + 1].tolist(), index.block_max[rows].tolist()
+    cursors = [[index.item[a : b].tolist(), index.impact[a : b].tolist(), m, 0] for a, b, m in zip(begin, end, most, strict=True)]
     found = []
     while cursors:
-        cursors.sort(key=lambda c: index.item[c[0]])
+        cursors.sort(key=lambda c: c[0][c[3]])
         bound, pivot = 0.0, None
-        for c in cursors:
-            bound += c[2]
+        for items, _, largest, at in cursors:
+            bound += largest
             if bound >= threshold - 1e-12:
-                pivot = index.item[c[0]]
+                pivot = items[at]
                 break
         if pivot is None:
             break
-        if index.item[cursors[0][0]] == pivot:
-            at = [c for c in cursors if index.item[c[0]] == pivot]
-            score = sum(float(index.impact[c[0]]) for c in at)
+        if cursors[0][0][cursors[0][3]] == pivot:
+            score = 0.0
+            for c in cursors:
+                if c[0][c[3]] != pivot:
+                    break
+                score += c[1][c[3]]
+                c[3] += 1
             if score >= threshold - 1e-9:
-                found.append((int(pivot), score))
-            for c in at:
-                c[0] += 1
+                found.append((pivot, score))
         else:
+            # No item before the pivot can reach the threshold: all cursors go on to it.
             for c in cursors:
-                if index.item[c[0]] >= pivot:
-                    break
-                c[0] += int(np.searchsorted(index.item[c[0] : c[1]], pivot))
-        cursors = [c for c in cursors if c[0] < c[1]]
+                while c[3] < len(c[0]) and c[0][c[3]] < pivot:
+                    c[3] += 1
+        cursors = [c for c in cursors if c[3] < len(c[0])]
     return found
 
 
@@ -147,20 +153,27 @@ def overlap(index: Index, item: int, passage: np.ndarray) -> tuple[float, float]
 def search(index: Index, codes: np.ndarray, first: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, float, float, float]]:
     """(row, item, score, question, answer) for every text and confirmed item."""
     n = np.diff(first)
-    at = np.minimum(np.searchsorted(index.terms, codes), len(index.terms) - 1)
-    token = np.flatnonzero(index.terms[at] == codes)
+    token = np.flatnonzero(index.maybe[codes >> np.uint64(48)])
+    at = np.minimum(np.searchsorted(index.terms, codes[token]), len(index.terms) - 1)
+    known = index.terms[at] == codes[token]
+    token, term = token[known], at[known]
     if not len(token):
         return []
-    term, row = at[token], np.searchsorted(first, token, "right") - 1
+    row = np.searchsorted(first, token, "right") - 1
     # Window w of a text holds its words w * stride .. (w + 2) * stride.
     windows = np.maximum(1, -(-n // index.stride) - 1)
     base = np.cumsum(windows) - windows
     own = (token - first[row]) // index.stride
-    keys = []
+    where, terms = [], []
     for w in (own, own - 1):
         ok = (w >= 0) & (w < windows[row])
-        keys.append((base[row[ok]] + w[ok]) * len(index.terms) + term[ok])
-    pair = np.unique(np.concatenate(keys))
+        where.append(base[row[ok]] + w[ok])
+        terms.append(term[ok])
+    window, term = np.concatenate(where), np.concatenate(terms)
+    # A first bound counts repeated terms again; what passes it is bounded by its distinct terms.
+    rough = np.bincount(window, index.top[term], minlength=int(windows.sum()))
+    passes = rough[window] >= threshold - 1e-9
+    pair = np.unique(window[passes] * len(index.terms) + term[passes])
     window, term = pair // len(index.terms), pair % len(index.terms)
     bound = np.bincount(window, index.top[term], minlength=int(windows.sum()))
     live = bound[window] >= threshold - 1e-9
@@ -180,7 +193,7 @@ def search(index: Index, codes: np.ndarray, first: np.ndarray, threshold: float
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
     for i in np.flatnonzero(total >= threshold - 1e-9):
         w = int(key[begin[i]] // blocks)
-        for item, score in wand(index, rows[begin[i] : limit[i]].tolist(), threshold):
+        for item, score in wand(index, rows[begin[i] : limit[i]], threshold):
             text = int(np.searchsorted(base, w, "right") - 1)
             start = first[text] + (w - base[text]) * index.stride
             question, answer = overlap(index, item, codes[start : min(first[text + 1], start + 2 * index.stride)])

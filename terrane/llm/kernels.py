@@ -106,16 +106,37 @@ def find_words(buf: np.ndarray, offs: np.ndarray, separator: np.ndarray = IS_SPA
     return Words(start, end, np.searchsorted(start, offs))
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
+
+
 def word_codes(buf: np.ndarray, words: Words) -> np.ndarray:
-    """A 64-bit code for each word's bytes."""
-    if len(words.start) == 0:
-        return np.zeros(0, np.uint64)
+    """A 64-bit code for each word's bytes, eight bytes of all words at a time."""
+    n = len(words.start)
     length = words.end - words.start
-    total = int(length.sum())
-    at = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-    inside = np.repeat(words.start, length) + at
-    value = BYTE_CODE[buf[inside]] * powers(BASE, int(length.max()))[at]
-    return mix(np.add.reduceat(value, np.cumsum(length) - length) + length.astype(np.uint64))
+    code = length.astype(np.uint64) * BASE
+    if n == 0:
+        return code
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), np.dtype("<u8"), padded.data, strides=(1,))
+    live, start, left = np.arange(n), words.start, length
+    giant = np.flatnonzero(length > LONG_WORD)
+    if len(giant):
+        keep = length <= LONG_WORD
+        live, start, left = live[keep], start[keep], left[keep]
+        for i in giant:
+            text = np.zeros(-(-int(length[i]) // 8) * 8, np.uint8)
+            text[: length[i]] = buf[words.start[i] : words.end[i]]
+            lanes = text.view(np.uint64)
+            code[i] += (mix(lanes + BASE) * powers(WORD_BASE, len(lanes))).sum(dtype=np.uint64)
+    while len(live):
+        h = (code[live] ^ (eight[start] & _LOW_BYTES[np.minimum(left, 8)])) * WORD_BASE
+        code[live] = h ^ (h >> np.uint64(29))
+        more = left > 8
+        live, start, left = live[more], start[more] + 8, left[more] - 8
+    return mix(code)
 
 
 #: Bytes that end a word of letters and digits: all ASCII but those.
@@ -126,10 +147,11 @@ NOT_LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0
 def lower_case(buf: np.ndarray) -> np.ndarray:
     """A-Z and the two-byte capitals of Latin-1 (0xC3 0x80-0x9E) lower-cased."""
     out = LOWER[buf]
-    if len(buf) > 1:
-        tail = out[1:]
-        capital = (buf[:-1] == 0xC3) & (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)
-        tail[capital] += 0x20
+    lead = np.flatnonzero(buf[:-1] == 0xC3)
+    if len(lead):
+        tail = out[lead + 1]
+        capital = (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)
+        out[lead[capital] + 1] += 0x20
     return out
 
 
