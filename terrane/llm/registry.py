@@ -69,4 +69,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that SQL can express; the others are held against
+    brute force in the tests."""
+    from terrane.llm import oracles
+
+    return {
+        "op3_quality_rules": oracles.quality_rules(),
+        "op4_minhash": oracles.near_duplicates(),
+        "op6_suffix_dedup": oracles.repeated_bytes(),
+        "op7_substring_dedup": oracles.repeated_words(),
+        "op10_license_scan": oracles.licenses(),
+    }

@@ -112,7 +112,7 @@ def repeated_spans(docs: DataFrame, ws: Workspace) -> DataFrame:
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, text and the list of the document's spans (empty: none)."""
     lists = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    joined = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("doc"), "left")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(lists, F.col("doc_id") == F.col("doc"), "left")
     return joined.select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>")).alias("spans"))
 
 

@@ -163,7 +163,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for y, n in counts.items():
         wanted = wanted | ((F.col("y") == y) & (place < per_class / n))
     ids = known.filter(wanted).limit(3 * per_class)
-    rows = docs.join(F.broadcast(ids), "doc_id").filter(F.octet_length("text") <= max_bytes).select("doc_id", "text", "y").orderBy("doc_id").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.octet_length("text") <= max_bytes).select("doc_id", "text", "y").orderBy("doc_id").collect()
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64), (counts.get(1, 0) / total if total else 0.0)
 
 
