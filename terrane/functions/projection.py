@@ -61,10 +61,9 @@ class Window:
 
 def _theta(lat: Column) -> Column:
     """Auxiliary angle of the Mollweide projection, by fixed Newton steps."""
-    theta = lat
-    for _ in range(12):
-        theta = F.when(F.abs(F.abs(lat) - math.pi / 2) < 1e-9, lat).otherwise(theta - (2 * theta + F.sin(2 * theta) - math.pi * F.sin(lat)) / F.greatest(2 + 2 * F.cos(2 * theta), F.lit(1e-9)))
-    return theta
+    step = lambda t, _: t - (2 * t + F.sin(2 * t) - math.pi * F.sin(lat)) / F.greatest(2 + 2 * F.cos(2 * t), F.lit(1e-9))
+    theta = F.aggregate(F.sequence(F.lit(1), F.lit(12)), lat, step)
+    return F.when(F.abs(F.abs(lat) - math.pi / 2) < 1e-9, lat).otherwise(theta)
 
 
 def forward(name: str, lon, lat, lon0: float = 0.0, **par) -> tuple[Column, Column]:

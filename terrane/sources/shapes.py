@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,9 +181,7 @@ def from_wkb(df: DataFrame, column: str, to: str) -> DataFrame:
     """The frame with a geometry column decoded in Arrow batches."""
 
     @F.pandas_udf(SCHEMA)
-    def decode(s: "pd.Series") -> "pd.DataFrame":  # noqa: F821
-        import pandas as pd
-
+    def decode(s: pd.Series) -> pd.DataFrame:
         empty = {"gtype": None, "parts": None, "xmin": None, "ymin": None, "xmax": None, "ymax": None}
         return pd.DataFrame([decode_wkb(bytes(v)) if v is not None else empty for v in s], columns=list(empty))
 
