@@ -183,12 +183,14 @@ def candidates(docs: DataFrame, unit: Unit, ws: Workspace, same_document: bool)
     same_document: an equal window earlier in the same document counts too.
     """
     n = docs.mapInArrow(segment_batches(unit, True), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    # Written, so that the join below reads two plain shuffles and a crowded anchor's side of it can be split.
+    n = ws.keep(n, "shared")
     rows = docs.mapInArrow(segment_batches(unit, False), "h long, c long, doc long, start int, run int, again boolean")
     found = ws.keep(rows.join(n, "h"), "found")
 
     classes = found.filter("not again").groupBy("h", "c").agg(F.min("doc").alias("first"))
     classes = ws.keep(classes, "classes")
-    crowd = classes.groupBy("h").agg(F.count("*").alias("classes")).filter("classes > 1")
+    crowd = ws.keep(classes.groupBy("h").agg(F.count("*").alias("classes")).filter("classes > 1"), "crowd")
     told = found.join(classes, ["h", "c"])
     later = F.col("doc") > F.col("first")
     if same_document:
@@ -205,7 +207,7 @@ def candidates(docs: DataFrame, unit: Unit, ws: Workspace, same_document: bool)
     rivals = pulled.filter("text is not null").select("h", "doc", "start", "run", "text")
 
     single = pulled.filter("text is null")
-    firsts = single.groupBy("h", "c").agg(F.min("doc").alias("first"))
+    firsts = ws.keep(single.groupBy("h", "c").agg(F.min("doc").alias("first")), "firsts")
     repeat = F.col("doc") > F.col("first")
     if same_document:
         repeat = repeat | (F.col("run") == 0)

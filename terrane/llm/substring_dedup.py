@@ -138,7 +138,7 @@ def spans_of(docs: DataFrame, label: str = "substring") -> DataFrame:
     bounded_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, label)
     spans = ws.keep(repeated_spans(docs, ws), "spans")
-    ws.drop("found", "told", "pulled", "classes")
+    ws.drop("shared", "found", "classes", "crowd", "told", "pulled", "firsts")
     return spans
 
 

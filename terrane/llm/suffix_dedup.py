@@ -120,5 +120,5 @@ def op6(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "suffix")
     spans = ws.keep(repeated_spans(docs, ws), "spans")
-    ws.drop("found", "told", "pulled", "classes")
+    ws.drop("shared", "found", "classes", "crowd", "told", "pulled", "firsts")
     return with_spans(docs, spans).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
