@@ -70,10 +70,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     # Words queued before each hash range of each source.
     sums = rows.groupBy("key", "slot").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
-    in_source = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ws.keep(sums.withColumn("queued", F.coalesce(F.sum("words").over(in_source), F.lit(0))), "sums")
+    sums = ws.keep(sums.withColumn("group", F.shiftright("slot", 8)), "sums")
+    groups = sums.groupBy("key", "group").agg(F.sum("words").alias("words"))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("key", "group", F.coalesce(F.sum("words").over(before("key").orderBy("group")), F.lit(0)).alias("ahead"))
+    in_group = F.coalesce(F.sum("words").over(before("key", "group").orderBy("slot")), F.lit(0))
+    queued = sums.withColumn("in_group", in_group).join(groups, ["key", "group"]).select("key", "slot", (F.col("ahead") + F.col("in_group")).alias("queued"))
     targets = ws.keep(source_targets(sums.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), weights, share, max_epochs), "targets")
-    slots = sums.select("key", "slot", "queued").join(targets.select("key", "source_size", "target"), "key")
+    slots = queued.join(targets.select("key", "source_size", "target"), "key")
 
     within = Window.partitionBy("key", "slot").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     timed = rows.withColumn("own", F.sum("size").over(within)).join(slots, ["key", "slot"])
@@ -85,21 +89,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     # Where the budget is reached: ranges of finish time, then the rows of one range.
     span = F.least(F.lit(RANGES * max_epochs * 64), F.floor(F.col("f") * RANGES)).cast("long")
     queue = timed.select("size", "doc_id", "turn", F.explode("finish").alias("f")).filter("f is not null").withColumn("span", span)
-    totals = queue.groupBy("span").agg(F.sum("size").alias("words"))
-    along = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
-    totals = totals.withColumn("up_to", F.sum("words").over(along))
-    budget = targets.agg((F.sum("source_size") * share).alias("budget"))
-    cut = totals.crossJoin(F.broadcast(budget)).filter(F.col("up_to") > F.col("budget")).agg(F.min(F.struct("span", "up_to", "words", "budget")).alias("cut")).select("cut.*").first()
-    if cut is None or cut["span"] is None:
-        last = float("inf")
-    else:
-        room = cut["budget"] - (cut["up_to"] - cut["words"])
-        in_span = Window.partitionBy("span").orderBy("f", "turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        edge = queue.filter(F.col("span") == cut["span"]).withColumn("up_to", F.sum("size").over(in_span))
-        last = edge.filter(F.col("up_to") > room).agg(F.min("f")).first()[0]
+    budget = targets.agg(F.sum("source_size")).first()[0] or 0
+    last = _cut(queue, budget * share)
     n = F.aggregate("finish", F.lit(0), lambda a, f: a + F.when(f < F.lit(last), 1).otherwise(0))
     return timed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * n).alias("taken"))
 
 
+def _cut(queue: DataFrame, budget: float) -> float:
+    """Finish time of the first row that no longer fits: found in groups of
+    ranges, then in the ranges of one group, then in the rows of one range."""
+    spent = 0
+    for key in ("group", "span"):
+        sums = queue.withColumn("group", F.shiftright("span", 8)).groupBy(key).agg(F.sum("size").alias("words"))
+        up_to = F.sum("words").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) + spent
+        over = sums.withColumn("up_to", up_to).filter(F.col("up_to") > budget).orderBy(key).select(key, "up_to", "words").first()
+        if over is None:
+            return float("inf")
+        spent = over["up_to"] - over["words"]
+        queue = queue.filter((F.shiftright("span", 8) if key == "group" else F.col("span")) == over[key])
+    in_range = Window.partitionBy("span").orderBy("f", "turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = queue.withColumn("up_to", F.sum("size").over(in_range) + spent)
+    return rows.filter(F.col("up_to") > budget).agg(F.min("f")).first()[0]
+
+
 def op9(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
