@@ -274,13 +274,14 @@ def _each(parts: Column, axis: str, bound: float, above: bool, against) -> Colum
     return F.transform(parts, lambda p: against(p, axis, bound, above))
 
 
-def intersection_area(a, b) -> Column:
-    """Area that two polygons share, from their edges alone.
-
-    Each edge is cut where edges of the other polygon meet it; the pieces of
-    either boundary inside the other polygon bound the shared area (rings run
-    counter-clockwise, holes clockwise).  Shared edges of one direction count
-    once.
+def overlay_edges(a, b, how: str) -> Column:
+    """Directed edges that bound the ``intersection``, ``difference`` (a less b)
+    or ``union`` of two polygons whose rings run counter-clockwise (holes
+    clockwise).
+
+    Each edge is cut where edges of the other polygon meet it.  Of the pieces,
+    those inside or outside the other polygon are kept as ``how`` asks; a border
+    that both share counts once, by its direction.
     """
     a, b = _col(a), _col(b)
 
@@ -297,7 +298,7 @@ def intersection_area(a, b) -> Column:
                 v = ((t["ax"] - s["ax"]) * dy - (t["ay"] - s["ay"]) * dx) / den
                 # Along a shared line the other's ends are the cuts.
                 size = F.nullif(dx * dx + dy * dy, F.lit(0.0))
-                along = (((t["ax"] - s["ax"]) * dx + (t["ay"] - s["ay"]) * dy) / size)
+                along = ((t["ax"] - s["ax"]) * dx + (t["ay"] - s["ay"]) * dy) / size
                 return F.when(den.isNotNull(), F.when(v.between(0, 1), u)).otherwise(F.when(_side(s, t["ax"], t["ay"]) == 0, along))
 
             at = F.filter(F.transform(cuts, meet), lambda u: u.isNotNull() & (u > 0) & (u < 1))
@@ -308,11 +309,36 @@ def intersection_area(a, b) -> Column:
         return F.flatten(F.transform(segments(own), of_edge))
 
     mid = lambda s: ((s["ax"] + s["bx"]) / 2, (s["ay"] + s["by"]) / 2)
-    cross = lambda s: s["ax"] * s["by"] - s["bx"] * s["ay"]
-    same_way = lambda s: F.exists(segments(b), lambda t: (_side(t, *mid(s)) == 0) & mid(s)[0].between(F.least(t["ax"], t["bx"]), F.greatest(t["ax"], t["bx"])) & mid(s)[1].between(F.least(t["ay"], t["by"]), F.greatest(t["ay"], t["by"])) & ((s["bx"] - s["ax"]) * (t["bx"] - t["ax"]) + (s["by"] - s["ay"]) * (t["by"] - t["ay"]) > 0))
-    from_a = F.filter(pieces(a, b), lambda s: contains_point(b, *mid(s)) | same_way(s))
-    from_b = F.filter(pieces(b, a), lambda s: contains_point(a, *mid(s)))
-    return F.when(boxes_meet(a, b), F.abs(_sum(from_a, cross) + _sum(from_b, cross)) / 2).otherwise(0.0)
+
+    def along_border(s: Column, sign: int) -> Column:
+        x, y = mid(s)
+        on = lambda t: (_side(t, x, y) == 0) & x.between(F.least(t["ax"], t["bx"]), F.greatest(t["ax"], t["bx"])) & y.between(F.least(t["ay"], t["by"]), F.greatest(t["ay"], t["by"]))
+        way = lambda t: ((s["bx"] - s["ax"]) * (t["bx"] - t["ax"]) + (s["by"] - s["ay"]) * (t["by"] - t["ay"])) * sign > 0
+        return F.exists(segments(b), lambda t: on(t) & way(t))
+
+    turned = lambda s: F.struct(s["bx"].alias("ax"), s["by"].alias("ay"), s["ax"].alias("bx"), s["ay"].alias("by"))
+    if how == "intersection":
+        from_a = F.filter(pieces(a, b), lambda s: contains_point(b, *mid(s)) | along_border(s, 1))
+        from_b = F.filter(pieces(b, a), lambda s: contains_point(a, *mid(s)))
+    elif how == "union":
+        from_a = F.filter(pieces(a, b), lambda s: ~covers_point(b, *mid(s)) | along_border(s, 1))
+        from_b = F.filter(pieces(b, a), lambda s: ~covers_point(a, *mid(s)))
+    elif how == "difference":
+        from_a = F.filter(pieces(a, b), lambda s: ~covers_point(b, *mid(s)) | along_border(s, -1))
+        from_b = F.transform(F.filter(pieces(b, a), lambda s: contains_point(a, *mid(s))), turned)
+    else:
+        raise ValueError(f"unknown overlay: {how}")
+    return F.concat(from_a, from_b)
+
+
+def edges_area(edges: Column) -> Column:
+    """Area that directed edges bound."""
+    return F.abs(_sum(edges, lambda s: s["ax"] * s["by"] - s["bx"] * s["ay"])) / 2
+
+
+def intersection_area(a, b) -> Column:
+    """Area that two polygons share; 0 at once where their boxes miss."""
+    return F.when(boxes_meet(a, b), edges_area(overlay_edges(a, b, "intersection"))).otherwise(0.0)
 
 
 # --- text forms --------------------------------------------------------------

@@ -130,3 +130,14 @@ def test_axis():
     assert A.nice_axis(0, 10, 5) == [0, 2, 4, 6, 8, 10]
     with pytest.raises(ValueError):
         A.nice_axis(1, 1, 5)
+
+
+def test_overlay_rings(spark):
+    from terrane.operators.overlay import clip_to_mask, overlay
+
+    df = _g(spark, a="POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0))", b="POLYGON ((4 -2, 6 -2, 6 12, 4 12, 4 -2))", c="POLYGON ((10 0, 20 0, 20 10, 10 10, 10 0))")
+    for how, other, area, parts in (("intersection", "b", 20.0, 1), ("difference", "b", 80.0, 2), ("union", "b", 108.0, 1), ("union", "c", 200.0, 1), ("intersection", "c", 0.0, 0), ("difference", "c", 100.0, 1)):
+        r = overlay(df, "a", other, how).select(G.area("overlay").alias("area"), F.size("overlay.parts").alias("n")).first()
+        assert (r.area, r.n) == (pytest.approx(area), parts), (how, other)
+    cut = clip_to_mask(df.select("a"), "a", df.select("b"), "b").select(G.area("a")).first()[0]
+    assert cut == pytest.approx(20.0)
