@@ -313,3 +313,20 @@ def test_null_ids(spark, labels):
 def test_columns_carry_ids(docs):
     assert dict(minhash.op4(docs).dtypes)["doc_id"] == "bigint"
     assert docs.filter(F.col("doc_id").isNull()).count() == 0
+
+
+def test_licences_across_paragraphs_and_inside_lines(spark):
+    bsd = next(b for n, _, b in licenses.TEMPLATES if n == "BSD-3-Clause")
+    mit = "Licensed under the MIT License."
+    texts = [
+        "Copyright\n\n" + re.sub(r" (?=[123]\. )", "\n\n", bsd) + "\n\nthe end",
+        "This project is released under the MIT License.",
+        "Released under the MIT License. See LICENSE for details.",
+        "word " * 300 + mit + " word" * 300,
+        f"one {mit} two {mit} three Licensed under CC BY-NC 4.0. four",
+        "the mit and the license are under a word released " * 20,
+        f"{mit}\nand more",
+    ]
+    got = [r for r in licenses.op10(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [(r.n_matches, r.license, r.dice) for r in got] == [(1, "BSD-3-Clause", 1.0), (1, "MIT", 1.0), (1, "MIT", 1.0), (1, "MIT", 1.0), (2, "CC-BY-NC-4.0", 1.0), (0, None, None), (1, "MIT", 1.0)]
+    assert got[4].licenses == "CC-BY-NC-4.0,MIT"
