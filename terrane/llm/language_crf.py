@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm import kernels as K
@@ -35,9 +35,13 @@ from terrane.llm.subwords import Lexemes, lexemes, segment_sums, subword_buckets
 from terrane.llm.text import held_out
 from terrane.llm.workspace import bounded_batches
 
-#: Bounds of the training sample: documents of a label, bytes of one, labels (the most frequent), sequences and their words.
-SAMPLE, SAMPLE_BYTES, MOST_LABELS = 150, 6_000, 64
-SEQUENCES, LENGTH = 1500, 32
+#: Bounds of the training sample: documents of a label, bytes of one; sequences (at least, and of each label) and their words.
+SAMPLE, SAMPLE_BYTES = 150, 6_000
+SEQUENCES, LABEL_SEQUENCES, LENGTH = 1500, 25, 32
+#: Numbers in one array of forward-backward: batches of sequences and of texts are cut to it.
+NUMBERS = 4_000_000
+#: From so many labels on, a word by word recursion takes the place of transfer matrices of labels x labels.
+MANY_LABELS = 32
 BUCKETS = 1 << 15
 SIZES, AFFIXES = (2, 3), (1, 2, 3)
 BLOCK = 32
@@ -91,9 +95,10 @@ def train(texts: list[str], langs: list[str], steps: int = 30, seed: int = 3) ->
     rng = np.random.default_rng(seed)
     # Each sequence is made of spans of 2 to LENGTH words from random documents of random labels.
     by_label = [usable[label[usable] == k] for k in range(n)]
+    sequences = max(SEQUENCES, LABEL_SEQUENCES * n)
     present = [k for k in range(n) if len(by_label[k])]
-    word, truth = np.empty((SEQUENCES, LENGTH), np.int64), np.empty((SEQUENCES, LENGTH), np.int64)
-    for s in range(SEQUENCES):
+    word, truth = np.empty((sequences, LENGTH), np.int64), np.empty((sequences, LENGTH), np.int64)
+    for s in range(sequences):
         at = 0
         while at < LENGTH:
             k = present[rng.integers(len(present))]
@@ -104,24 +109,31 @@ def train(texts: list[str], langs: list[str], steps: int = 30, seed: int = 3) ->
             at += size
     bucket, owner = subword_buckets(lex, SIZES, BUCKETS, AFFIXES)
     used_words, word = np.unique(word, return_inverse=True)
-    word = word.reshape(SEQUENCES, LENGTH)
+    word = word.reshape(sequences, LENGTH)
     inside = np.isin(owner, used_words)
     bucket, owner = bucket[inside], np.searchsorted(used_words, owner[inside])
     feats = np.maximum(1, np.bincount(owner, minlength=len(used_words)))
     by_bucket = np.argsort(bucket, kind="stable")
-    flat = word.reshape(-1)
-    by_word = np.argsort(flat, kind="stable")
     theta, transition, start = np.zeros((BUCKETS, n)), np.zeros((n, n)), np.zeros(n)
-    gold = np.eye(n)[truth]
-    gold_pairs = np.einsum("stl,stm->lm", gold[:, :-1], gold[:, 1:])
+    gold_pairs = np.zeros((n, n))
+    np.add.at(gold_pairs, (truth[:, :-1].ravel(), truth[:, 1:].ravel()), 1.0)
+    chunk = max(1, NUMBERS // (LENGTH * n))
+    by_words = [np.argsort(word[c : c + chunk].reshape(-1), kind="stable") for c in range(0, sequences, chunk)]
     params = [theta, transition, start]
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, steps + 1):
         e = segment_sums(theta[bucket], owner, len(used_words)) * (GAIN / feats)[:, None]
-        post, pairs = marginals(e[word], transition, start)
-        error = (post - gold) / SEQUENCES
-        to_words = segment_sums(error.reshape(-1, n)[by_word], flat[by_word], len(used_words)) * (GAIN / feats)[:, None]
-        grads = [segment_sums(to_words[owner][by_bucket], bucket[by_bucket], BUCKETS) + 1e-6 * theta, (pairs - gold_pairs) / SEQUENCES, error[:, 0].sum(axis=0)]
+        to_words, pairs, opening = np.zeros((len(used_words), n)), np.zeros((n, n)), np.zeros(n)
+        for c, by_word in zip(range(0, sequences, chunk), by_words, strict=True):
+            error, own = marginals(e[word[c : c + chunk]], transition, start)
+            error = error.reshape(-1, n)
+            error[np.arange(len(error)), truth[c : c + chunk].reshape(-1)] -= 1
+            error /= sequences
+            to_words += segment_sums(error[by_word], word[c : c + chunk].reshape(-1)[by_word], len(used_words))
+            pairs += own
+            opening += error[::LENGTH].sum(axis=0)
+        to_words *= (GAIN / feats)[:, None]
+        grads = [segment_sums(to_words[owner][by_bucket], bucket[by_bucket], BUCKETS) + 1e-6 * theta, (pairs - gold_pairs) / sequences, opening]
         for p, g, (m, v) in zip(params, grads, state, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -129,9 +141,35 @@ def train(texts: list[str], langs: list[str], steps: int = 30, seed: int = 3) ->
     return Crf(names, theta.astype(np.float32), transition, start)
 
 
+def stepped_marginals(crf: Crf, e: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``word_marginals`` word by word: labels^2 a word and no transfer matrices."""
+    out, p = np.zeros_like(e), np.exp(e - e.max(axis=1, keepdims=True))
+    a, opening = np.exp(crf.transition), np.exp(crf.start)
+    count = np.diff(first)
+    # Longest texts first: those that have a word i are the first few.
+    order = np.argsort(-count, kind="stable")
+    begin, size = first[:-1][order], count[order]
+    live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")
+    for i, k in enumerate(live):
+        at = begin[:k] + i
+        now = (out[at - 1] @ a if i else opening) * p[at]
+        out[at] = now / now.sum(axis=1, keepdims=True)
+    beta = np.ones((len(size), e.shape[1]))
+    for i in range(len(live) - 1, -1, -1):
+        k = live[i]
+        at = begin[:k] + i
+        now = out[at] * beta[:k]
+        out[at] = now / now.sum(axis=1, keepdims=True)
+        back = (beta[:k] * p[at]) @ a.T
+        beta[:k] = back / back.sum(axis=1, keepdims=True)
+    return out
+
+
 def word_marginals(crf: Crf, e: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Marginals of every word of texts whose words start at ``first``."""
     n = e.shape[1]
+    if n >= MANY_LABELS:
+        return stepped_marginals(crf, e, first)
     out = np.zeros_like(e)
     count = np.diff(first)
     blocks = -(-count // BLOCK)
@@ -197,13 +235,16 @@ def identify(docs: DataFrame, crf: Crf | None) -> DataFrame:
     if crf is None:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
+    # A word has two bytes at least, and so many numbers as there are labels.
+    limit = min(K.SLICE_BYTES, max(1, 2 * NUMBERS // len(crf.labels))) if len(crf.labels) >= MANY_LABELS else K.SLICE_BYTES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*crf.labels, "und"])
         for batch in batches:
             buf, offs = K.text_bytes(batch.column(1))
             letter = batch.column(2).to_numpy(zero_copy_only=False)
             best, share = np.full(batch.num_rows, len(crf.labels)), np.zeros(batch.num_rows)
-            for a, b in K.slices(offs):
+            for a, b in K.slices(offs, limit):
                 lex, m = label_words(crf, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 sums = segment_sums(m, lex.words.row, b - a)
                 total = sums.sum(axis=1)
@@ -218,14 +259,21 @@ def identify(docs: DataFrame, crf: Crf | None) -> DataFrame:
 
 
 def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """A bounded, hashed sample of the rows one may learn from, of each label."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= SAMPLE_BYTES))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()}
+    """A hashed sample of the rows one may learn from, bounded for each label:
+    of all labels, and of every text that has a letter.  A long text gives its
+    span from the first letter on."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return [], []
+    share = docs.sparkSession.createDataFrame([(k, SAMPLE / n) for k, n in counts.items()], "lang string, share double")
     place = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        wanted = wanted | ((F.col("lang") == lang) & (place < SAMPLE / n))
-    rows = known.filter(wanted).select("doc_id", "text", "lang").orderBy("doc_id").limit(2 * SAMPLE * max(1, len(counts))).collect()
+    # A character has four bytes at most.
+    span = F.substring(F.regexp_replace("text", r"^[^\p{L}]+", ""), 1, SAMPLE_BYTES // 4)
+    text = F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(span).alias("text")
+    first = Window.partitionBy("lang").orderBy("place", "doc_id")
+    rows = known.withColumn("place", place).join(F.broadcast(share), "lang").filter("place < share").select("doc_id", text, "lang", "place")
+    rows = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= 2 * SAMPLE).drop("n", "place").orderBy("doc_id").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 

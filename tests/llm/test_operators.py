@@ -330,3 +330,25 @@ def test_licences_across_paragraphs_and_inside_lines(spark):
     got = [r for r in licenses.op10(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert [(r.n_matches, r.license, r.dice) for r in got] == [(1, "BSD-3-Clause", 1.0), (1, "MIT", 1.0), (1, "MIT", 1.0), (1, "MIT", 1.0), (2, "CC-BY-NC-4.0", 1.0), (0, None, None), (1, "MIT", 1.0)]
     assert got[4].licenses == "CC-BY-NC-4.0,MIT"
+
+
+def test_every_language_is_learnt(spark):
+    rng = random.Random(5)
+    consonants, vowels = "bcdfghjklm", "aeiouyw"
+    word = lambda k: "".join(consonants[k // 7] + vowels[k % 7] for _ in range(rng.randint(1, 3)))
+    rows = [(70 * j + k, " ".join(word(k) for _ in range(30)), f"l{k:02}") for k in range(69) for j in range(6)]
+    rows += [(10_000 + j, "  12 " + " ".join(word(69) for _ in range(4_000)), "long") for j in range(6)]
+    got = {r.doc_id: r for r in language_crf.op5(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {r.lang_pred for r in got.values()} == {lang for _, _, lang in rows}
+    judged = [(got[i].lang_pred, lang) for i, _, lang in rows]
+    assert sum(a == b for a, b in judged) >= 0.95 * len(judged)
+
+
+def test_stepped_marginals_are_equal(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    crf = language_crf.Crf(list("abc"), np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    first = np.array([0, 5, 5, 105, 106])
+    e = rng.normal(size=(106, 3))
+    assert np.allclose(language_crf.stepped_marginals(crf, e, first), language_crf.word_marginals(crf, e, first))
