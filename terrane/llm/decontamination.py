@@ -16,11 +16,16 @@ threshold, so the retrieval is exact.
 
 A retrieved item is confirmed when the passage holds enough of its question's
 word 3-grams and of its answer's words (the answer is the last sentence; an item
-of one sentence is all question).
+of one sentence is all question).  It is also confirmed without its answer, by
+nearly all of a question of ``ALONE_WORDS`` words or more, or, where the answer
+is shorter than a word 3-gram, by enough of the whole item's 3-grams.  So that
+such a question is retrieved, what is held against the threshold is divided by
+the score of the question's words; the score given is the whole item's share.
 
 The index is built on the driver and travels in the task's closure, so its size
 is checked: more than ``INDEX_ITEMS`` items are indexed in parts, each with its
-own pass over the documents.  Documents are never shuffled.
+own pass over the documents; numbers of items with a word, mean and greatest
+length are those of all items.  Documents are never shuffled.
 
 Defined results: null and blank texts hold nothing; items without words are
 never found; repeated rows are reported each; repeated items too; empty tables
@@ -42,6 +47,8 @@ from terrane.llm.workspace import bounded_batches
 
 THRESHOLD = 0.6
 QUESTION_SHARE, ANSWER_SHARE, GRAM = 0.5, 0.5, 3
+#: A question that stands for its item without the answer: share of its 3-grams, and its words at least.
+ALONE_SHARE, ALONE_WORDS = 0.8, 8
 K1, B = 1.2, 0.75
 BLOCK = 4
 #: Items of one index; at 200 words each, some 40 MB on the driver.
@@ -72,9 +79,37 @@ class Index:
     block_max: np.ndarray
     block_row: np.ndarray  # first row of each term
     stride: int
+    whole: np.ndarray  # each item's score for its own text
 
 
-def build_index(ids: list[int], texts: list[str]) -> Index | None:
+@dataclass
+class Totals:
+    """Of all items: their number, the sorted codes of their words, the number
+    of items with each, and the mean and greatest number of words."""
+
+    items: int
+    terms: np.ndarray
+    df: np.ndarray
+    mean: float
+    longest: int
+
+
+def totals(parts: Iterator[list[str]]) -> Totals:
+    items, filled, words, longest = 0, 0, 0, 0
+    terms, df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for texts in parts:
+        codes, first = _codes(texts)
+        length = np.diff(first)
+        own, term = np.unique(codes, return_inverse=True)
+        pair = np.unique(term * max(1, len(texts)) + np.repeat(np.arange(len(texts)), length))
+        both, at = np.unique(np.concatenate([terms, own]), return_inverse=True)
+        df = np.bincount(at, np.concatenate([df, np.bincount(pair // max(1, len(texts)), minlength=len(own))]), minlength=len(both)).astype(np.int64)
+        terms = both
+        items, filled, words, longest = items + len(texts), filled + int((length > 0).sum()), words + int(length.sum()), max(longest, int(length.max(initial=0)))
+    return Totals(items, terms, df, words / max(1, filled), longest)
+
+
+def build_index(ids: list[int], texts: list[str], known: Totals | None = None) -> Index | None:
     codes, first = _codes(texts)
     length = np.diff(first)
     if not len(codes):
@@ -90,11 +125,18 @@ def build_index(ids: list[int], texts: list[str]) -> Index | None:
     item = np.repeat(np.arange(len(ids)), length)
     pair, tf = np.unique(term * len(ids) + item, return_counts=True)
     of_term, of_item = pair // len(ids), pair % len(ids)
-    df = np.bincount(of_term, minlength=len(terms))
-    idf = np.log(1 + (len(ids) - df + 0.5) / (df + 0.5))
-    mean = length[length > 0].mean()
+    known = known or totals(iter([texts]))
+    df = known.df[np.searchsorted(known.terms, terms)]
+    idf = np.log(1 + (known.items - df + 0.5) / (df + 0.5))
+    mean = known.mean
     impact = idf[of_term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[of_item] / mean))
-    impact = impact / np.bincount(of_item, impact, minlength=len(ids))[of_item]
+    # A question that may stand alone is the measure of its item.
+    place = np.arange(len(codes)) - np.repeat(first[:-1], length)
+    in_head = np.isin(pair, (term * len(ids) + item)[place < answer[item]])
+    total = np.bincount(of_item, impact, minlength=len(ids))
+    own = np.where(answer >= ALONE_WORDS, np.bincount(of_item, impact * in_head, minlength=len(ids)), total)
+    impact = impact / own[of_item]
+    whole = np.divide(total, own, out=np.ones(len(ids)), where=own > 0)
     posting = np.searchsorted(of_term, np.arange(len(terms) + 1))
     row_new = np.append(True, (of_term[1:] != of_term[:-1]) | (of_item[1:] // BLOCK != of_item[:-1] // BLOCK))
     block_at = np.flatnonzero(row_new)
@@ -102,7 +144,7 @@ def build_index(ids: list[int], texts: list[str]) -> Index | None:
     maybe[terms >> np.uint64(48)] = True
     return Index(
         np.array(ids, np.int64), codes, first, answer, terms, maybe, np.maximum.reduceat(impact, posting[:-1]), posting, of_item, impact,
-        of_item[block_at] // BLOCK, np.append(block_at, len(pair)), np.maximum.reduceat(impact, block_at), np.searchsorted(of_term[block_at], np.arange(len(terms) + 1)), int(max(16, length.max())),
+        of_item[block_at] // BLOCK, np.append(block_at, len(pair)), np.maximum.reduceat(impact, block_at), np.searchsorted(of_term[block_at], np.arange(len(terms) + 1)), int(max(16, known.longest)), whole,
     )
 
 
@@ -150,6 +192,17 @@ def overlap(index: Index, item: int, passage: np.ndarray) -> tuple[float, float]
     return question, float(np.isin(tail, passage).mean()) if len(tail) else 1.0
 
 
+def confirmed(index: Index, item: int, passage: np.ndarray, question: float, answer: float) -> bool:
+    words = index.codes[index.first[item] : index.first[item + 1]]
+    head = int(index.answer[item])
+    if question >= QUESTION_SHARE and answer >= ANSWER_SHARE or head >= ALONE_WORDS and question >= ALONE_SHARE:
+        return True
+    if not 0 < len(words) - head < GRAM:
+        return False
+    k = min(GRAM, len(words))
+    return bool(np.isin(K.grams(words, k), K.grams(passage, k)).mean() >= QUESTION_SHARE)
+
+
 def search(index: Index, codes: np.ndarray, first: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, float, float, float]]:
     """(row, item, score, question, answer) for every text and confirmed item."""
     n = np.diff(first)
@@ -196,9 +249,10 @@ def search(index: Index, codes: np.ndarray, first: np.ndarray, threshold: float
         for item, score in wand(index, rows[begin[i] : limit[i]], threshold):
             text = int(np.searchsorted(base, w, "right") - 1)
             start = first[text] + (w - base[text]) * index.stride
-            question, answer = overlap(index, item, codes[start : min(first[text + 1], start + 2 * index.stride)])
-            if question >= QUESTION_SHARE and answer >= ANSWER_SHARE:
-                best[text, item] = max(best.get((text, item), (0.0, 0.0, 0.0)), (score, question, answer))
+            passage = codes[start : min(first[text + 1], start + 2 * index.stride)]
+            question, answer = overlap(index, item, passage)
+            if confirmed(index, item, passage, question, answer):
+                best[text, item] = max(best.get((text, item), (0.0, 0.0, 0.0)), (score / index.whole[item], question, answer))
     return [(t, i, *found) for (t, i), found in sorted(best.items())]
 
 
@@ -223,10 +277,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     items = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     parts = max(1, -(-items.count() // INDEX_ITEMS))
     found = None
+    own = lambda part: (items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items).orderBy("item_id", "text").collect()
+    known = totals([r["text"] for r in own(part)] for part in range(parts)) if parts > 1 else None
     for part in range(parts):
-        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items
-        rows = own.orderBy("item_id", "text").collect()
-        index = build_index([r["item_id"] for r in rows], [r["text"] for r in rows])
+        rows = own(part)
+        index = build_index([r["item_id"] for r in rows], [r["text"] for r in rows], known)
         if index is not None:
             one = _pass(docs, index, threshold)
             found = one if found is None else found.unionByName(one)

@@ -352,3 +352,18 @@ def test_stepped_marginals_are_equal(monkeypatch):
     first = np.array([0, 5, 5, 105, 106])
     e = rng.normal(size=(106, 3))
     assert np.allclose(language_crf.stepped_marginals(crf, e, first), language_crf.word_marginals(crf, e, first))
+
+
+def test_leaks_without_the_end(spark, monkeypatch):
+    rng = random.Random(12)
+    words = lambda n: " ".join(_word(rng, "en") + _word(rng, "de") for _ in range(n))
+    items = [(i, f"{words(20)}. {'N~' if i % 2 else words(3 + 10 * (i % 3))}.") for i in range(30)]
+    docs = [(i, f"{words(60)} {t[: t.index('. ')]} {words(60)}") for i, t in items] + [(100 + i, f"{words(60)} {t}") for i, t in items] + [(200 + i, words(150)) for i in range(20)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (30, "Why so?")], "item_id long, text string")
+    got = decontamination.op8(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k + i, i) for i, _ in items for k in (0, 100)}
+    assert all(r.score == 1 for r in got if r.doc_id >= 100)
+    # An index in parts has the numbers of all items.
+    monkeypatch.setattr(decontamination, "INDEX_ITEMS", 7)
+    assert sorted(decontamination.op8(docs, bench).collect()) == sorted(got)
