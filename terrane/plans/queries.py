@@ -192,6 +192,19 @@ def clip_polygons_rect(spark, d):
     return p.select("p_partkey", r4(G.area(G.clip_polygon("diamond", -60.0, -80.0, 60.0, 80.0))).alias("area"))
 
 
+#: Of a diamond, what lies beyond an edge at distance p from its centre, and beyond two edges at p and q >= 0.
+BEYOND = "CASE WHEN {0} >= r THEN 0 WHEN {0} >= 0 THEN pow(r-{0}, 2) WHEN {0} > -r THEN 2*r*r - pow(r+{0}, 2) ELSE 2*r*r END"
+
+
+# The rectangle is symmetric and larger than any diamond, so each meets one edge of each direction at most.
+@query(with_layers("dia", f""", m AS (SELECT p_partkey, r, 60.0-abs(cx) AS p, 80.0-abs(cy) AS q FROM dia WHERE abs(cx)-r < 60.0 AND abs(cy)-r < 80.0),
+ b AS (SELECT *, {BEYOND.format("p")} AS bp, {BEYOND.format("q")} AS bq, {BEYOND.format("abs(p)")} AS ap, {BEYOND.format("abs(q)")} AS aq, pow(greatest(0, r-abs(p)-abs(q)), 2)/2 AS c FROM m)
+ SELECT p_partkey, round(2*r*r - bp - bq + CASE WHEN p >= 0 AND q >= 0 THEN c WHEN q >= 0 THEN bq - c WHEN p >= 0 THEN bp - c ELSE 2*r*r - ap - aq + c END, 4) + 0.0 AS area FROM b""").replace(") , m", "), m"))
+def clip_polygons_rect_all(spark, d):
+    p = part_diamonds(spark, d).filter("abs(cx) - r < 60.0 and abs(cy) - r < 80.0")
+    return p.select("p_partkey", r4(F.coalesce(G.area(G.clip_polygon("diamond", -60.0, -80.0, 60.0, 80.0)), F.lit(0.0))).alias("area"))
+
+
 @query(with_layers("dia", "SELECT p_partkey, k, round(cx-r-0.75, 4) AS ax, k*1.5 AS y, round(cx+r+0.75, 4) AS bx FROM (SELECT *, unnest(range(CAST(floor((cy-r)/1.5) AS BIGINT), CAST(ceil((cy+r)/1.5) AS BIGINT)+1)) AS k FROM dia)"))
 def stripes(spark, d):
     return L.stripes(part_diamonds(spark, d), ["p_partkey"], "diamond", 1.5).select("p_partkey", "k", r4("ax").alias("ax"), "y", r4("bx").alias("bx"))
