@@ -147,6 +147,15 @@ def ring_measures(spark, d):
     return m.select("user_id", F.round("area", 3).alias("area"), "clockwise", F.round("centroid_x", 2).alias("centroid_x"), F.round("centroid_y", 2).alias("centroid_y"))
 
 
+# Every ring; of nearly degenerate ones the orientation and the centroid, which are quotients of noise, are null.
+@query(ORACLES["ring_measures"].replace("a < 0 AS clockwise, round(cx/(3*a), 2) AS centroid_x, round(cy/(3*a), 2) AS centroid_y FROM s WHERE abs(a/2) > 50", """CASE WHEN abs(a/2) > 50 THEN a < 0 END AS clockwise,
+ CASE WHEN abs(a/2) > 50 THEN round(cx/(3*a), 2) END AS centroid_x, CASE WHEN abs(a/2) > 50 THEN round(cy/(3*a), 2) END AS centroid_y FROM s"""))
+def ring_measures_all(spark, d):
+    m = L.polygon_measures(user_tracks(spark, d), ["user_id"], ["x"])
+    sound = lambda c, to: F.when(F.col("area") > 50, c).alias(to)
+    return m.select("user_id", F.round("area", 3).alias("area"), sound(F.col("clockwise"), "clockwise"), sound(F.round("centroid_x", 2), "centroid_x"), sound(F.round("centroid_y", 2), "centroid_y"))
+
+
 @query(with_layers("seg meas", """SELECT l_orderkey, k, round(x+(nx-x)*(k*20000.0-m0)/step, 3) AS px, round(y+(ny-y)*(k*20000.0-m0)/step, 3) AS py, round(degrees(atan2(ny-y, nx-x)), 4) AS angle
  FROM (SELECT *, unnest(range(CAST(CASE WHEN rn = 1 THEN 0 ELSE floor(m0/20000.0)+1 END AS BIGINT), CAST(floor(m1/20000.0) AS BIGINT)+1)) AS k FROM meas WHERE step > 0)"""))
 def sample_line(spark, d):
