@@ -141,3 +141,16 @@ def test_overlay_rings(spark):
         assert (r.area, r.n) == (pytest.approx(area), parts), (how, other)
     cut = clip_to_mask(df.select("a"), "a", df.select("b"), "b").select(G.area("a")).first()[0]
     assert cut == pytest.approx(20.0)
+
+
+def test_every_mask_clips(spark):
+    from terrane.operators.overlay import clip_to_mask
+
+    box = lambda a, b, c, d: f"POLYGON (({a} {b}, {c} {b}, {c} {d}, {a} {d}, {a} {b}))"
+    layer = lambda name, *shapes: spark.createDataFrame([(w,) for w in shapes], f"{name} string").select(G.from_wkt(name).alias(name))
+    df, masks = layer("a", box(0, 0, 10, 10)), [box(4, -2, 6, 12), box(-1, 3, 11, 5), box(5, -1, 12, 11)]
+    for order in (masks, masks[::-1]):
+        assert [r[0] for r in clip_to_mask(df, "a", layer("b", *order), "b").select(G.area("a")).collect()] == [pytest.approx(2.0)]
+        # What is left is 0..4 x (0..3 and 5..10).
+        assert [r[0] for r in clip_to_mask(df, "a", layer("b", *order), "b", inside=False).select(G.area("a")).collect()] == [pytest.approx(32.0)]
+    assert clip_to_mask(df, "a", layer("b", masks[0], box(20, 20, 30, 30)), "b").select(F.size("a.parts")).first()[0] == 0
