@@ -5,7 +5,9 @@ smaller id.  Shards are chunks of whole anchors (see ``anchors``): each builds
 the FM-index of its passages, then streams the passages through it.  Backward
 search gives, at every word, the length of the longest match that ends there;
 where it reaches 13 words, the interval of suffixes lists every place of the
-window, and the least document among them decides.
+window, and the least document among them decides.  Before a shard is built,
+its passages are cut to what another passage of their anchor may share
+(``anchors.reach``).
 
 Defined results: null and short texts have no window and keep all words; a
 repeat within one document alone is kept; ids are taken to be unique (rows that
@@ -34,16 +36,16 @@ UNIT = anchors.Unit(words=True, width=WIDTH, k=5)
 CHUNK_BYTES = 128 << 10
 
 
-def repeated_words(buf: np.ndarray, offs: np.ndarray, doc: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset in words) of windows that a smaller document has too."""
-    words = K.find_words(buf, offs)
-    _, ids = np.unique(K.word_codes(buf, words), return_inverse=True)
+def repeated_words(codes: np.ndarray, first: np.ndarray, doc: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(string, offset in words) of windows that a smaller document has too;
+    codes: the strings' words, of which each has those from ``first`` on."""
+    _, ids = np.unique(codes, return_inverse=True)
     text = (ids + 1).astype(np.uint16 if ids.max(initial=0) < 65000 else np.int64)
-    index = FMIndex(text, words.first)
-    count = np.diff(words.first)
+    index = FMIndex(text, first)
+    count = np.diff(first)
     windows = np.maximum(0, count - width + 1)
     string = np.repeat(np.arange(len(count)), windows)
-    begin = K.ranges(words.first[:-1], windows)
+    begin = K.ranges(first[:-1], windows)
     matched, low, high = index.matching_statistics(text, begin + width, width)
     # Every streamed window is in its own shard's index; one place is itself.
     hit = np.flatnonzero((matched == width) & (high - low > 1))
@@ -55,15 +57,20 @@ def repeated_words(buf: np.ndarray, offs: np.ndarray, doc: np.ndarray, width: in
     length[back] = (high - low)[hit]
     least = np.minimum.reduceat(of_suffix[K.ranges(places, length)], np.cumsum(length) - length)
     hit = hit[least[back] < doc[string[hit]]]
-    return string[hit], begin[hit] - words.first[string[hit]]
+    return string[hit], begin[hit] - first[string[hit]]
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in anchors.chunks(batches, CHUNK_BYTES):
         buf, offs = K.text_bytes(table.column("text"))
-        doc, start = table.column("doc").to_numpy(), table.column("start").to_numpy().astype(np.int64)
-        string, offset, length = merged(*repeated_words(buf, offs, doc), WIDTH)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[string]), pa.array((start[string] + offset).astype(np.int32)), pa.array(length.astype(np.int32))], names=["doc", "start", "length"])
+        key, doc, start, at = (table.column(c).to_numpy().astype(np.int64) for c in ("h", "doc", "start", "at"))
+        words = K.find_words(buf, offs)
+        codes = K.word_codes(buf, words)
+        string, begin, end = anchors.reach(UNIT, codes, words.first, key, at, 1)
+        doc, start = doc[string], start[string] + begin - words.first[string]
+        cut = np.concatenate([[0], np.cumsum(end - begin)])
+        string, offset, length = merged(*repeated_words(codes[K.ranges(begin, end - begin)], cut, doc), WIDTH)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[string]), pa.array(start[string] + offset), pa.array(length)], names=["doc", "start", "length"])
 
 
 def kept_words(buf: np.ndarray, offs: np.ndarray, spans: pa.ListArray) -> tuple[K.Words, np.ndarray]:
@@ -130,7 +137,7 @@ def repeated_spans(docs: DataFrame, ws: Workspace) -> DataFrame:
     """(doc, start, length) in words; spans may overlap."""
     keyed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
     spare, rivals = anchors.candidates(keyed, UNIT, ws, same_document=False)
-    compared = anchors.grouped(rivals, ws).mapInArrow(_stream, "doc long, start int, length int")
+    compared = anchors.grouped(rivals, ws).mapInArrow(_stream, "doc long, start long, length long")
     return spare.unionByName(compared)
 
 
@@ -147,7 +154,7 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     ``text`` (kept words joined by one space); ``n_chars`` follows, if there."""
     names = docs.columns
     lists = spans_of(docs).groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("__spans"))
-    none = F.array().cast("array<struct<start:int,length:int>>")
+    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
     rows = docs.join(lists, docs["doc_id"] == lists["doc"], "left").select(*[docs[c] for c in names], F.coalesce("__spans", none).alias("__spans"))
     return rows.mapInArrow(_cutter(names.index("text"), names.index("n_chars") if "n_chars" in names else None), docs.schema)
 

@@ -6,7 +6,8 @@ a round.  Its arrays are read and written once a round, front to back; they
 stand for the external files of a one-machine version, since a cluster's tasks
 may not use machine-local folders: what exceeds memory is the shuffle and the
 written tables around it.  A task holds one chunk of whole anchors of about
-``CHUNK_BYTES``.
+``CHUNK_BYTES``.  Before a chunk is sorted, its strings are cut to what another
+string of their anchor may share (``anchors.reach``).
 
 In the finished order, suffixes of 100 bytes or more whose common prefixes are
 100 or more are equal windows; all but the earliest are repeats.
@@ -34,7 +35,9 @@ from terrane.llm.workspace import Workspace, bounded_batches
 
 WIDTH = 100
 UNIT = anchors.Unit(words=False, width=WIDTH, k=32)
-CHUNK_BYTES = 96 << 10
+CHUNK_BYTES = 256 << 10
+#: Bytes to which shared lengths before and behind an anchor are found.
+STEP = 2
 
 
 def repeated_windows(buf: np.ndarray, offs: np.ndarray, doc: np.ndarray, start: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +74,12 @@ def merged(string: np.ndarray, offset: np.ndarray, width: int) -> tuple[np.ndarr
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in anchors.chunks(batches, CHUNK_BYTES):
         buf, offs = K.text_bytes(table.column("text"))
-        doc, start = table.column("doc").to_numpy(), table.column("start").to_numpy().astype(np.int64)
-        string, offset, length = merged(*repeated_windows(buf, offs, doc, start), WIDTH)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[string]), pa.array((start[string] + offset).astype(np.int32)), pa.array(length.astype(np.int32))], names=["doc", "start", "length"])
+        key, doc, start, at = (table.column(c).to_numpy().astype(np.int64) for c in ("h", "doc", "start", "at"))
+        string, begin, end = anchors.reach(UNIT, K.BYTE_CODE[buf], offs, key, at, STEP)
+        doc, start = doc[string], start[string] + begin - offs[string]
+        cut = np.concatenate([[0], np.cumsum(end - begin)])
+        string, offset, length = merged(*repeated_windows(buf[K.ranges(begin, end - begin)], cut, doc, start), WIDTH)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[string]), pa.array(start[string] + offset), pa.array(length)], names=["doc", "start", "length"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +111,7 @@ def repeated_spans(docs: DataFrame, ws: Workspace) -> DataFrame:
     """(doc, start, length): bytes that 100-byte repeats cover; spans may overlap."""
     keyed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
     spare, rivals = anchors.candidates(keyed, UNIT, ws, same_document=True)
-    compared = anchors.grouped(rivals, ws).mapInArrow(_compare, "doc long, start int, length int")
+    compared = anchors.grouped(rivals, ws).mapInArrow(_compare, "doc long, start long, length long")
     return spare.unionByName(compared)
 
 
@@ -113,7 +119,7 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, text and the list of the document's spans (empty: none)."""
     lists = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(lists, F.col("doc_id") == F.col("doc"), "left")
-    return joined.select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>")).alias("spans"))
+    return joined.select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<start:bigint,length:bigint>>")).alias("spans"))
 
 
 def op6(docs: DataFrame) -> DataFrame:
