@@ -1,16 +1,26 @@
 """The geometry column: a struct of type, parts and bounding box.
 
 ``parts`` holds rings or lines as arrays of (x, y); a polygon's rings are
-closed.  The bounding box is stored, so that filters and joins on it are plain
-comparisons (and are pushed down to Parquet).  Everything is a Column
-expression; nested functions over the arrays replace user functions.
+closed.  Outer rings run counter-clockwise and their holes, which follow them,
+clockwise; so each ring of a MULTIPOLYGON that runs like the first one begins
+another polygon.  What reads or builds polygons keeps to that, and ``oriented``
+brings others into it.
+
+The bounding box is stored, so that filters and joins on it are plain
+comparisons (and are pushed down to Parquet).  Most of this module is Column
+expressions over the nested arrays; what compares all edges of two geometries
+(predicates, overlay areas) is one numpy function over Arrow batches of pairs
+(``pieces``).
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terrane.functions import pieces
+
 #: Geometry type codes.
 POINT, LINESTRING, POLYGON, MULTIPOINT, MULTILINESTRING, MULTIPOLYGON, COLLECTION = range(1, 8)
 NAMES = {POINT: "POINT", LINESTRING: "LINESTRING", POLYGON: "POLYGON", MULTIPOINT: "MULTIPOINT", MULTILINESTRING: "MULTILINESTRING", MULTIPOLYGON: "MULTIPOLYGON", COLLECTION: "GEOMETRYCOLLECTION"}
@@ -78,10 +88,43 @@ def shift(g, dx, dy) -> Column:
     return geometry(g["gtype"], F.transform(g["parts"], lambda p: F.transform(p, lambda v: vertex(v["x"] + dx, v["y"] + dy))))
 
 
+def is_polygon(g) -> Column:
+    return _col(g)["gtype"].isin(POLYGON, MULTIPOLYGON)
+
+
 def reverse(g) -> Column:
-    """Parts and their vertices in reverse order; closed parts stay closed."""
+    """Parts and their vertices in reverse order; closed parts stay closed, and
+    a polygon's rings keep their places, since holes follow their outer ring."""
     g = _col(g)
-    return geometry(g["gtype"], F.reverse(F.transform(g["parts"], lambda p: F.reverse(p))))
+    turned = F.transform(g["parts"], lambda p: F.reverse(p))
+    return geometry(g["gtype"], F.when(is_polygon(g), turned).otherwise(F.reverse(turned)))
+
+
+def ring_area(ring: Column) -> Column:
+    """Signed area of one closed ring, reckoned from its first vertex."""
+    a = F.element_at(ring, 1)
+    cross = lambda p, q: (p["x"] - a["x"]) * (q["y"] - a["y"]) - (q["x"] - a["x"]) * (p["y"] - a["y"])
+    return F.aggregate(F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), cross), F.lit(0.0), lambda t, v: t + v) / 2
+
+
+def _turned(ring: Column, left: Column | bool) -> Column:
+    wrong = ring_area(ring) < 0 if left is True else ring_area(ring) > 0 if left is False else F.when(left, ring_area(ring) < 0).otherwise(ring_area(ring) > 0)
+    return F.when((F.size(ring) > 3) & wrong, F.reverse(ring)).otherwise(ring)
+
+
+def begins_polygon(parts: Column, ring: Column, i: Column) -> Column:
+    """Ring i of a polygon or multipolygon is an outer ring."""
+    return (i == 0) | (F.signum(ring_area(ring)) == F.signum(ring_area(F.get(parts, 0))))
+
+
+def oriented(g) -> Column:
+    """The geometry with outer rings counter-clockwise and holes clockwise.  In a
+    POLYGON the first ring is the outer one, in a MULTIPOLYGON those that run
+    like the first; other types stay as they are."""
+    g = _col(g)
+    outer = lambda r, i: F.when(g["gtype"] == POLYGON, i == 0).otherwise(begins_polygon(g["parts"], r, i))
+    parts = F.transform(g["parts"], lambda r, i: _turned(r, outer(r, i)))
+    return F.when(is_polygon(g), geometry(g["gtype"], parts)).otherwise(g)
 
 
 def path_type(parts: Column) -> Column:
@@ -173,44 +216,36 @@ def _side(s: Column, x: Column, y: Column) -> Column:
     return F.signum((s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"]))
 
 
-def edges_cross(a, b) -> Column:
-    """Some edges of both cross at a point inside each of them."""
-    proper = lambda s, t: (_side(s, t["ax"], t["ay"]) * _side(s, t["bx"], t["by"]) < 0) & (_side(t, s["ax"], s["ay"]) * _side(t, s["bx"], s["by"]) < 0)
-    return F.exists(segments(a), lambda s: F.exists(segments(b), lambda t: proper(s, t)))
+def _of_pairs(kind: str, f):
+    """A Column function of pairs of geometries.  It is called nondeterministic
+    so that a filter on its result does not evaluate it a second time."""
+    return F.arrow_udf(kind)(f).asNondeterministic()
+
 
+def _relation(name: str, a, b) -> Column:
+    def test(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(pieces.relations(x, y)[name])
 
-def _points(g) -> Column:
-    """Vertices and edge midpoints."""
-    return F.concat(F.flatten(_col(g)["parts"]), F.transform(segments(g), lambda s: F.struct(((s["ax"] + s["bx"]) / 2).alias("x"), ((s["ay"] + s["by"]) / 2).alias("y"))))
+    return boxes_meet(a, b) & _of_pairs("boolean", test)(_col(a), _col(b))
 
 
 def contains(a, b) -> Column:
-    """Polygon a holds b: nothing of b is outside and interiors meet."""
-    inside = F.forall(_points(b), lambda v: covers_point(a, v["x"], v["y"]))
-    hole_free = ~F.exists(_points(a), lambda v: contains_point(b, v["x"], v["y"]))
-    meets = F.exists(_points(b), lambda v: contains_point(a, v["x"], v["y"])) | F.exists(F.array(centroid(b)), lambda v: v["x"].isNotNull() & contains_point(a, v["x"], v["y"]))
-    return boxes_meet(a, b) & inside & ~edges_cross(a, b) & hole_free & meets
+    """a (a polygon or line) holds b: nothing of b is outside, and interiors
+    meet.  Null geometries give null, empty ones null or false."""
+    return _relation("contains", a, b)
 
 
 def overlaps(a, b) -> Column:
-    """Polygons share some interior, and each has some of its own."""
-    share = edges_cross(a, b) | F.exists(_points(b), lambda v: contains_point(a, v["x"], v["y"])) | F.exists(_points(a), lambda v: contains_point(b, v["x"], v["y"]))
-    own = lambda p, q: edges_cross(p, q) | F.exists(_points(p), lambda v: ~covers_point(q, v["x"], v["y"]))
-    return boxes_meet(a, b) & share & own(a, b) & own(b, a)
+    """Two polygons, or two lines, share some interior (a stretch), and each has
+    some of its own."""
+    return _relation("overlaps", a, b)
 
 
 def crosses(a, b) -> Column:
-    """Line and line: they meet at points inside both.  Line (or points) and
-    polygon: partly inside and partly outside."""
-    a, b = _col(a), _col(b)
-    polygon = lambda g: g["gtype"].isin(POLYGON, MULTIPOLYGON)
-
-    def through(l: Column, p: Column) -> Column:
-        inner = F.exists(_points(l), lambda v: contains_point(p, v["x"], v["y"]))
-        outer = F.exists(_points(l), lambda v: ~covers_point(p, v["x"], v["y"]))
-        return edges_cross(l, p) | (inner & outer)
-
-    return boxes_meet(a, b) & F.when(polygon(b) & ~polygon(a), through(a, b)).when(polygon(a) & ~polygon(b), through(b, a)).when(~polygon(a) & ~polygon(b), edges_cross(a, b)).otherwise(F.lit(False))
+    """Line and line: they meet at a point that is an end of neither, and share
+    no stretch.  Line or points and polygon, points and line: partly inside and
+    partly outside."""
+    return _relation("crosses", a, b)
 
 
 def distance_to_point(g, x, y) -> Column:
@@ -274,71 +309,23 @@ def _each(parts: Column, axis: str, bound: float, above: bool, against) -> Colum
     return F.transform(parts, lambda p: against(p, axis, bound, above))
 
 
-def overlay_edges(a, b, how: str) -> Column:
-    """Directed edges that bound the ``intersection``, ``difference`` (a less b)
-    or ``union`` of two polygons whose rings run counter-clockwise (holes
-    clockwise).
-
-    Each edge is cut where edges of the other polygon meet it.  Of the pieces,
-    those inside or outside the other polygon are kept as ``how`` asks; a border
-    that both share counts once, by its direction.
-    """
-    a, b = _col(a), _col(b)
-
-    def pieces(own: Column, other: Column) -> Column:
-        cuts = segments(other)
-
-        def of_edge(s: Column) -> Column:
-            dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
-
-            def meet(t: Column) -> Column:
-                ex, ey = t["bx"] - t["ax"], t["by"] - t["ay"]
-                den = F.nullif(dx * ey - dy * ex, F.lit(0.0))
-                u = ((t["ax"] - s["ax"]) * ey - (t["ay"] - s["ay"]) * ex) / den
-                v = ((t["ax"] - s["ax"]) * dy - (t["ay"] - s["ay"]) * dx) / den
-                # Along a shared line the other's ends are the cuts.
-                size = F.nullif(dx * dx + dy * dy, F.lit(0.0))
-                along = ((t["ax"] - s["ax"]) * dx + (t["ay"] - s["ay"]) * dy) / size
-                return F.when(den.isNotNull(), F.when(v.between(0, 1), u)).otherwise(F.when(_side(s, t["ax"], t["ay"]) == 0, along))
-
-            at = F.filter(F.transform(cuts, meet), lambda u: u.isNotNull() & (u > 0) & (u < 1))
-            at = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), at, F.array(F.lit(1.0)))))
-            piece = lambda p, q: F.struct((s["ax"] + p * dx).alias("ax"), (s["ay"] + p * dy).alias("ay"), (s["ax"] + q * dx).alias("bx"), (s["ay"] + q * dy).alias("by"))
-            return F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), piece)
-
-        return F.flatten(F.transform(segments(own), of_edge))
-
-    mid = lambda s: ((s["ax"] + s["bx"]) / 2, (s["ay"] + s["by"]) / 2)
-
-    def along_border(s: Column, sign: int) -> Column:
-        x, y = mid(s)
-        on = lambda t: (_side(t, x, y) == 0) & x.between(F.least(t["ax"], t["bx"]), F.greatest(t["ax"], t["bx"])) & y.between(F.least(t["ay"], t["by"]), F.greatest(t["ay"], t["by"]))
-        way = lambda t: ((s["bx"] - s["ax"]) * (t["bx"] - t["ax"]) + (s["by"] - s["ay"]) * (t["by"] - t["ay"])) * sign > 0
-        return F.exists(segments(b), lambda t: on(t) & way(t))
-
-    turned = lambda s: F.struct(s["bx"].alias("ax"), s["by"].alias("ay"), s["ax"].alias("bx"), s["ay"].alias("by"))
-    if how == "intersection":
-        from_a = F.filter(pieces(a, b), lambda s: contains_point(b, *mid(s)) | along_border(s, 1))
-        from_b = F.filter(pieces(b, a), lambda s: contains_point(a, *mid(s)))
-    elif how == "union":
-        from_a = F.filter(pieces(a, b), lambda s: ~covers_point(b, *mid(s)) | along_border(s, 1))
-        from_b = F.filter(pieces(b, a), lambda s: ~covers_point(a, *mid(s)))
-    elif how == "difference":
-        from_a = F.filter(pieces(a, b), lambda s: ~covers_point(b, *mid(s)) | along_border(s, -1))
-        from_b = F.transform(F.filter(pieces(b, a), lambda s: contains_point(a, *mid(s))), turned)
-    else:
+def overlay_area(a, b, how: str = "intersection") -> Column:
+    """Area of the ``intersection``, ``difference`` (a less b) or ``union`` of
+    two polygons, whichever way their rings run."""
+    if how not in pieces.KEPT:
         raise ValueError(f"unknown overlay: {how}")
-    return F.concat(from_a, from_b)
 
+    def measure(x: pa.Array, y: pa.Array) -> pa.Array:
+        ea, eb = pieces.edges(x), pieces.edges(y)
+        out = [pieces.enclosed(pieces.bounding(m, how)) for _, _, m in pieces.in_runs(ea, eb)]
+        return pa.array([v + 0.0 for o in out for v in o], pa.float64())
 
-def edges_area(edges: Column) -> Column:
-    """Area that directed edges bound."""
-    return F.abs(_sum(edges, lambda s: s["ax"] * s["by"] - s["bx"] * s["ay"])) / 2
+    return _of_pairs("double", measure)(_col(a), _col(b))
 
 
 def intersection_area(a, b) -> Column:
-    """Area that two polygons share; 0 at once where their boxes miss."""
-    return F.when(boxes_meet(a, b), edges_area(overlay_edges(a, b, "intersection"))).otherwise(0.0)
+    """Area that two polygons share."""
+    return overlay_area(a, b, "intersection")
 
 
 # --- text forms --------------------------------------------------------------
@@ -346,42 +333,59 @@ def intersection_area(a, b) -> Column:
 
 def from_wkt(text) -> Column:
     """Geometry of a well-known text without nested collections; NULL for
-    anything else."""
+    anything else.  Rings are oriented: each polygon's first one is outer."""
     text = F.trim(_col(text))
     name = F.regexp_extract(text, r"^([A-Z]+)", 1)
     body = F.regexp_replace(text, r"^[A-Z]+\s*", "")
     pair = lambda s: F.filter(F.split(F.trim(F.regexp_replace(s, r"[()]", " ")), r"\s+"), lambda t: t != "")
     number = lambda s: vertex(F.get(pair(s), 0).try_cast("double"), F.get(pair(s), 1).try_cast("double"))
+    rings_of = lambda s: F.split(s, r"\)\s*,\s*\(")
     # A part ends where a bracket closes; points without brackets of their own stay one part each.
-    groups = F.when(name.isin("POINT", "LINESTRING"), F.array(body)).when(name == "MULTIPOINT", F.split(F.regexp_replace(body, r"[()]", ""), ",")).otherwise(F.split(body, r"\)\s*,\s*\("))
-    parts = F.transform(groups, lambda g: F.transform(F.split(g, ","), number))
+    lines = F.when(name.isin("POINT", "LINESTRING"), F.array(body)).when(name == "MULTIPOINT", F.split(F.regexp_replace(body, r"[()]", ""), ",")).otherwise(rings_of(body))
+    read = lambda groups: F.transform(groups, lambda g: F.transform(F.split(g, ","), number))
+    # A polygon ends where two brackets close.
+    polygons = F.when(name == "POLYGON", F.array(body)).otherwise(F.split(body, r"\)\s*\)\s*,\s*\(\s*\("))
+    turned = F.flatten(F.transform(polygons, lambda p: F.transform(read(rings_of(p)), lambda r, i: _turned(r, i == 0))))
+    parts = F.when(name.isin("POLYGON", "MULTIPOLYGON"), turned).otherwise(read(lines))
     code = None
     for value, known in NAMES.items():
         if value != COLLECTION:
             code = F.when(name == known, F.lit(value)) if code is None else code.when(name == known, F.lit(value))
     parts = F.when(body == "EMPTY", F.array().cast(f"array<array<{VERTEX}>>")).otherwise(parts)
-    wrong = F.exists(F.flatten(parts), lambda v: v["x"].isNull() | v["y"].isNull()) | F.exists(groups, lambda g: F.exists(F.split(g, ","), lambda s: F.size(pair(s)) != 2))
+    wrong = F.exists(F.flatten(parts), lambda v: v["x"].isNull() | v["y"].isNull()) | F.exists(lines, lambda g: F.exists(F.split(g, ","), lambda s: F.size(pair(s)) != 2))
     return F.when(code.isNotNull() & ((body == "EMPTY") | ~wrong), geometry(code, parts))
 
 
+def _polygons_joined(parts: Column, ring, within: str, between: str) -> Column:
+    """Texts of a multipolygon's rings, with one separator before a hole and
+    another one before the next polygon's outer ring."""
+    first = lambda r, i: F.when(i == 0, F.lit("")).when(begins_polygon(parts, r, i), F.lit(between)).otherwise(F.lit(within))
+    return F.array_join(F.transform(parts, lambda r, i: F.concat(first(r, i), ring(r))), "")
+
+
 def to_wkt(g) -> Column:
     g = _col(g)
     pair = lambda v: F.concat(v["x"].cast("string"), F.lit(" "), v["y"].cast("string"))
     part = lambda p: F.concat(F.lit("("), F.array_join(F.transform(p, pair), ", "), F.lit(")"))
     name = F.element_at(F.create_map(*[F.lit(x) for item in NAMES.items() for x in item]), g["gtype"])
     joined = F.array_join(F.transform(g["parts"], part), ", ")
-    body = F.when(g["gtype"].isin(POINT, LINESTRING), joined).when(g["gtype"] == MULTIPOLYGON, F.concat(F.lit("(("), joined, F.lit("))"))).otherwise(F.concat(F.lit("("), joined, F.lit(")")))
+    many = F.concat(F.lit("(("), _polygons_joined(g["parts"], part, ", ", "), ("), F.lit("))"))
+    body = F.when(g["gtype"].isin(POINT, LINESTRING), joined).when(g["gtype"] == MULTIPOLYGON, many).otherwise(F.concat(F.lit("("), joined, F.lit(")")))
     return F.when(is_empty(g), F.concat(name, F.lit(" EMPTY"))).otherwise(F.concat(name, F.lit(" "), body))
 
 
 def to_geojson(g, properties: Column | None = None, identifier: Column | None = None) -> Column:
     """A feature as one line of JSON; properties is a struct or map column."""
     g = _col(g)
-    xy = lambda v: F.array(v["x"], v["y"])
-    lines = F.transform(g["parts"], lambda p: F.transform(p, xy))
-    name = F.element_at(F.create_map(*[F.lit(x) for k, v in {POINT: "Point", LINESTRING: "LineString", POLYGON: "Polygon", MULTIPOINT: "MultiPoint", MULTILINESTRING: "MultiLineString", MULTIPOLYGON: "MultiPolygon"}.items() for x in (k, v)]), g["gtype"])
-    coords = F.when(g["gtype"] == POINT, F.to_json(F.get(F.get(lines, 0), 0))).when(g["gtype"] == LINESTRING, F.to_json(F.get(lines, 0))).when(g["gtype"] == MULTIPOINT, F.to_json(F.flatten(lines))).when(g["gtype"] == MULTIPOLYGON, F.to_json(F.array(lines))).otherwise(F.to_json(lines))
+    names = {POINT: "Point", LINESTRING: "LineString", POLYGON: "Polygon", MULTIPOINT: "MultiPoint", MULTILINESTRING: "MultiLineString", MULTIPOLYGON: "MultiPolygon"}
+    xy = lambda p: F.transform(p, lambda v: F.array(v["x"], v["y"]))
+    lines = F.transform(g["parts"], xy)
+    name = F.element_at(F.create_map(*[F.lit(x) for item in names.items() for x in item]), g["gtype"])
+    many = F.concat(F.lit("[["), _polygons_joined(g["parts"], lambda r: F.to_json(xy(r)), ",", "],["), F.lit("]]"))
+    one = F.when(g["gtype"] == POINT, F.to_json(F.get(F.get(lines, 0), 0))).when(g["gtype"] == LINESTRING, F.to_json(F.get(lines, 0)))
+    coords = F.when(is_empty(g), F.lit("[]")).otherwise(one.when(g["gtype"] == MULTIPOINT, F.to_json(F.flatten(lines))).when(g["gtype"] == MULTIPOLYGON, many).otherwise(F.to_json(lines)))
     shape = F.concat(F.lit('{"type":"'), name, F.lit('","coordinates":'), coords, F.lit("}"))
     attributes = F.coalesce(F.to_json(properties), F.lit("null")) if properties is not None else F.lit("null")
-    tail = F.concat(F.lit(',"id":'), F.to_json(F.array(identifier.cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(identifier.cast("string")))) - 2)) if identifier is not None else F.lit("")
+    quoted = F.to_json(F.array(identifier.cast("string"))) if identifier is not None else None
+    tail = F.concat(F.lit(',"id":'), quoted.substr(F.lit(2), F.length(quoted) - 2)) if quoted is not None else F.lit("")
     return F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":'), attributes, tail, F.lit("}"))

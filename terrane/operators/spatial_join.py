@@ -131,9 +131,10 @@ def within_distance(left: DataFrame, lx: str, ly: str, right: DataFrame, rx: str
     return a.join(b, ["__cx", "__cy"]).filter(near).drop("__cx", "__cy")
 
 
-def near_geometry(points: DataFrame, x: str, y: str, features: DataFrame, geom: str, distance: float) -> DataFrame:
-    """Pairs of points and features (lines, polygon borders) at most
-    ``distance`` apart."""
+def near_geometry(points: DataFrame, x: str, y: str, features: DataFrame, geom: str, distance: float, border_only: bool = False) -> DataFrame:
+    """Pairs of points and features at most ``distance`` apart: the points in a
+    buffer with round caps.  A point inside a polygon is at distance 0, unless
+    only the distance from its border is asked for."""
     g = F.col(geom)
     bounds = (g["xmin"] - distance, g["ymin"] - distance, g["xmax"] + distance, g["ymax"] + distance)
     base = base_size(features, bounds)
@@ -141,7 +142,10 @@ def near_geometry(points: DataFrame, x: str, y: str, features: DataFrame, geom:
     levels = sorted(r[0] for r in cells.select("__level").distinct().collect()) or [0]
     dealt = points.withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels])))
     dealt = dealt.withColumns({"__cx": _cell(F.col(x), F.col("__level"), base), "__cy": _cell(F.col(y), F.col("__level"), base)})
-    return dealt.join(cells, ["__level", "__cx", "__cy"]).filter(G.distance_to_point(g, x, y) <= distance).drop("__level", "__cx", "__cy")
+    near = G.distance_to_point(g, x, y) <= distance
+    if not border_only:
+        near = near | (G.is_polygon(g) & G.contains_point(g, x, y))
+    return dealt.join(cells, ["__level", "__cx", "__cy"]).filter(near).drop("__level", "__cx", "__cy")
 
 
 def key_lookup(df: DataFrame, table: DataFrame, key: str, value: str, order: str, default) -> DataFrame:

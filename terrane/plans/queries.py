@@ -82,7 +82,7 @@ def within_distance(spark, d):
  CASE WHEN x > xmin AND x < xmax AND y > ymin AND y < ymax THEN least(x-xmin, xmax-x, y-ymin, ymax-y)
  ELSE sqrt(pow(greatest(xmin-x, 0, x-xmax), 2) + pow(greatest(ymin-y, 0, y-ymax), 2)) END <= 1.0033"""))
 def near_border(spark, d):
-    return J.near_geometry(customer_points(spark, d), "x", "y", nation_cells(spark, d), "cell", 1.0033).select("c_custkey", "n_nationkey")
+    return J.near_geometry(customer_points(spark, d), "x", "y", nation_cells(spark, d), "cell", 1.0033, border_only=True).select("c_custkey", "n_nationkey")
 
 
 @query(with_layers("cells dia", "SELECT n_nationkey, p_partkey FROM cells, dia WHERE cx-r >= xmin AND cx+r <= xmax AND cy-r >= ymin AND cy+r <= ymax"))

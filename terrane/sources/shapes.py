@@ -12,12 +12,14 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions.geometry import LINESTRING, MULTILINESTRING, MULTIPOINT, MULTIPOLYGON, POINT, POLYGON, SCHEMA
+from terrane.functions.pieces import nested, ring_area
 
 #: Record type codes of the format, by kind (plain, with Z, with M).
 POINTS, LINES, POLYGONS, MULTIPOINTS = (1, 11, 21), (3, 13, 23), (5, 15, 25), (8, 18, 28)
@@ -50,8 +52,11 @@ def decode_shape(record: bytes) -> dict | None:
                 if not part or part[-1] != v:
                     part.append(v)
             parts.append(part)
-        single = len(parts) == 1
-        return bounded((POLYGON if single else MULTIPOLYGON) if kind in POLYGONS else (LINESTRING if single else MULTILINESTRING), parts)
+        if kind in POLYGONS:
+            # The format's outer rings run clockwise, and rings come in any order.
+            polygons = nested([np.array(p) for p in parts if len(p) > 3])
+            return bounded(MULTIPOLYGON if len(polygons) > 1 else POLYGON, [[(x, y) for x, y in r.tolist()] for p in polygons for r in p])
+        return bounded(LINESTRING if len(parts) == 1 else MULTILINESTRING, parts)
     return None
 
 
@@ -163,7 +168,10 @@ def decode_wkb(data: bytes) -> dict:
             for _ in range(n):
                 m = struct.unpack_from(f"{end}I", data, at)[0]
                 flat = struct.unpack_from(f"{end}{2 * m}d", data, at + 4)
-                parts.append(list(zip(flat[::2], flat[1::2], strict=True)))
+                ring = list(zip(flat[::2], flat[1::2], strict=True))
+                # The first ring is the outer one; it runs counter-clockwise here, its holes clockwise.
+                turned = (ring_area(np.array(ring)) < 0) == (not parts) if len(ring) > 3 else False
+                parts.append(ring[::-1] if turned else ring)
                 at += 4 + 16 * m
             return kind, parts, at
         if kind in (4, 5, 6, 7):

@@ -1,5 +1,6 @@
 """Geometry columns: text forms, predicates, clipping, overlay, hull, labels."""
 
+import math
 import random
 
 import pytest
@@ -154,3 +155,73 @@ def test_every_mask_clips(spark):
         # What is left is 0..4 x (0..3 and 5..10).
         assert [r[0] for r in clip_to_mask(df, "a", layer("b", *order), "b", inside=False).select(G.area("a")).collect()] == [pytest.approx(32.0)]
     assert clip_to_mask(df, "a", layer("b", masks[0], box(20, 20, 30, 30)), "b").select(F.size("a.parts")).first()[0] == 0
+
+
+def test_multipolygons_keep_their_holes(spark):
+    many = "MULTIPOLYGON (((0.0 0.0, 4.0 0.0, 4.0 4.0, 0.0 4.0, 0.0 0.0), (1.0 1.0, 1.0 2.0, 2.0 2.0, 2.0 1.0, 1.0 1.0)), ((9.0 9.0, 10.0 9.0, 10.0 10.0, 9.0 10.0, 9.0 9.0)))"
+    # The same with every ring the other way round.
+    turned = "MULTIPOLYGON (((0 0, 0 4, 4 4, 4 0, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1)), ((9 9, 9 10, 10 10, 10 9, 9 9)))"
+    for r in _g(spark, a=many, b=turned).select(G.to_wkt("a"), G.to_wkt("b"), G.area("a"), G.to_wkt(G.oriented(G.reverse("a")))).collect():
+        assert list(r) == [many, many, 16.0, many]
+    import json
+
+    got = json.loads(_g(spark, a=many).select(G.to_geojson("a")).first()[0])
+    assert [len(p) for p in got["geometry"]["coordinates"]] == [2, 1]
+
+
+def test_orientation_does_not_matter(spark):
+    # Column structs that no reader has oriented.
+    ring = lambda *xy: F.array(*[G.vertex(F.lit(x), F.lit(y)) for x, y in xy])
+    left, right = ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)), ring((2, 2), (2, 6), (6, 6), (6, 2), (2, 2))
+    df = spark.range(1).select(left.alias("l"), right.alias("r")).select(G.make_polygon(F.col("l")).alias("a"), G.make_polygon(F.reverse("l")).alias("b"), G.make_polygon(F.col("r")).alias("c"), G.make_polygon(F.reverse("r")).alias("d"))
+    r = df.select(*[G.overlay_area(a, b, how).alias(f"{how}{a}{b}") for how in ("intersection", "difference", "union") for a in "ab" for b in "cd"]).first()
+    assert list(r) == [pytest.approx(v) for v in [4.0] * 4 + [12.0] * 4 + [28.0] * 4]
+
+
+def test_predicates_at_corners(spark):
+    df = _g(
+        spark, n="POLYGON ((0 0, 10 0, 10 10, 6 10, 5 5, 4 10, 0 10, 0 0))", l="LINESTRING (3 9, 7 9)", k="LINESTRING (1 1, 1 9)", v="LINESTRING (0 0, 1 1, 2 2)", w="LINESTRING (0 2, 1 1, 2 0)", t="LINESTRING (1 1, 5 0)", o="LINESTRING (1 1, 2 2, 9 9)",
+        d="POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (3 3, 3 6, 6 6, 6 3, 3 3))", h="POLYGON ((3 3, 6 3, 6 6, 3 6, 3 3))", p="MULTIPOINT (1 1, 20 20)", q="POINT (1 1)", c="LINESTRING (0 0, 10 0)",
+    )
+    r = df.select(
+        G.contains("n", "l"), G.crosses("l", "n"), G.contains("n", "k"), G.crosses("v", "w"), G.crosses("v", "t"), G.crosses("v", "o"), G.overlaps("v", "o"),
+        G.contains("d", "h"), G.overlaps("d", "h"), G.crosses("p", "d"), G.crosses("d", "p"), G.contains("d", "q"), G.contains("d", "c"), G.crosses("c", "d"),
+    ).first()
+    assert list(r) == [False, True, True, True, False, False, True, False, False, True, True, True, False, False]
+
+
+def test_overlay_against_sampling(spark):
+    """Random polygons with holes: areas of all three overlays, and of their rings."""
+    from terrane.operators.overlay import overlay
+
+    rng = random.Random(6)
+    star = lambda cx, cy, lo, hi: [(cx + d * math.cos(a), cy + d * math.sin(a)) for a, d in ((k * math.tau / 7, rng.uniform(lo, hi)) for k in range(7))]
+    text = lambda rings: "POLYGON (" + ", ".join("(" + ", ".join(f"{x} {y}" for x, y in [*r, r[0]]) + ")" for r in rings) + ")"
+    rows = [tuple(text([star(cx, 0, 4, 6), star(cx, 0, 1, 2)]) for cx in (0, rng.uniform(0, 8))) for _ in range(25)]
+    df = spark.createDataFrame(rows, "a string, b string").select(G.from_wkt("a").alias("a"), G.from_wkt("b").alias("b"))
+    for how in ("intersection", "difference", "union"):
+        for r in overlay(df, "a", "b", how).select(G.area("a").alias("x"), G.area("b").alias("y"), G.intersection_area("a", "b").alias("s"), G.overlay_area("a", "b", how).alias("m"), G.area("overlay").alias("g"), G.to_wkt("overlay").alias("t")).collect():
+            want = {"intersection": r.s, "difference": r.x - r.s, "union": r.x + r.y - r.s}[how]
+            assert (r.m, r.g) == (pytest.approx(want, abs=1e-6),) * 2
+    near = df.select(G.intersection_area("a", "a").alias("s"), G.area("a").alias("x")).collect()
+    assert all(r.s == pytest.approx(r.x) for r in near)
+
+
+def test_rings_close_across_rounding():
+    import numpy as np
+
+    from terrane.functions import pieces
+
+    e = 4e-10
+    ax, ay, bx, by = (np.array(v) for v in zip((0, 0, 1, 0), (1 + e, e, 1, 1), (1 - e, 1, -e, 1 + e), (0, 1, 0, 0), strict=True))
+    rings = pieces.chained(ax, ay, bx, by)
+    assert len(rings) == 1 and pieces.ring_area(rings[0]) == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        pieces.chained(ax[:2], ay[:2], bx[:2], by[:2])
+
+
+def test_inside_a_buffer(spark):
+    df = _g(spark, p="POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0))")
+    pts = spark.createDataFrame([(1, 5.0, 5.0), (2, 10.5, 5.0), (3, 12.0, 5.0), (4, 9.5, 5.0)], "i int, x double, y double")
+    near = lambda **k: {r.i for r in J.near_geometry(pts, "x", "y", df, "p", 1.0, **k).collect()}
+    assert near() == {1, 2, 4} and near(border_only=True) == {2, 4}
