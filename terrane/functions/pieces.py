@@ -403,3 +403,84 @@ def nested(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
             own = min((j for j in holders[i] if j in out), key=lambda j: area[j])
             out[own].append(turned(rings[i], False))
     return [out[i] for i in outer]
+
+
+def border_distance(x: np.ndarray, y: np.ndarray, first: np.ndarray, e: Edges) -> np.ndarray:
+    """Distance of points from the edges of their row, negative outside."""
+    out = np.empty(len(x))
+    for lo, hi in _runs(first, e.first):
+        a, b = first[lo], first[hi]
+        part = e.slice(lo, hi)
+        i, t = _product(first[lo : hi + 1] - a, part.first)
+        px, py = x[a:b][i] - part.ax[t], y[a:b][i] - part.ay[t]
+        ex, ey = (part.bx - part.ax)[t], (part.by - part.ay)[t]
+        u = np.clip((px * ex + py * ey) / (ex * ex + ey * ey), 0, 1)
+        far = np.hypot(px - u * ex, py - u * ey)
+        spans = ((part.ay[t] > py + part.ay[t]) != (part.by[t] > py + part.ay[t])) & (px < py * ex / np.where(ey == 0, 1.0, ey))
+        begin = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        odd = np.bincount(i[spans], minlength=b - a) % 2 == 1
+        out[a:b] = np.minimum.reduceat(far, begin) * np.where(odd, 1, -1)
+    return out
+
+
+def label_points(shapes: pa.StructArray, cells: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The point of each polygon's grid that is farthest inside, found from
+    coarse cells down to fine ones; cells that cannot hold a better point than
+    the best so far are dropped."""
+    e = edges(shapes)
+    rows = len(e.first) - 1
+    has = np.flatnonzero(np.diff(e.first))
+    out_x, out_y = np.full(rows, np.nan), np.full(rows, np.nan)
+    if not len(has):
+        return out_x, out_y
+    e = Edges(e.ax, e.ay, e.bx, e.by, np.append(e.first[has], len(e.ax)))
+    begin = e.first[:-1]
+    x0, y0 = (np.minimum.reduceat(v, begin) for v in (e.ax, e.ay))
+    w, h = (np.maximum.reduceat(v, begin) - o for v, o in ((e.ax, x0), (e.ay, y0)))
+    n = len(has)
+    best = np.full(n, -np.inf)
+    best_i, best_j = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    # Points of the finest grid, as whole numbers; the first step has every eighth of them.
+    step = max(1, cells // 8)
+    side = np.arange(step // 2 if step > 1 else 1, cells, step)
+    row = np.repeat(np.arange(n), len(side) ** 2)
+    i, j = (np.tile(v.reshape(-1), n) for v in np.meshgrid(side, side, indexing="ij"))
+    while True:
+        d = border_distance(x0[row] + w[row] * i / cells, y0[row] + h[row] * j / cells, np.searchsorted(row, np.arange(n + 1)), e)
+        # Of equal distances the one with least (i, j).
+        order = np.lexsort((j, i, -d, row))
+        lead = order[np.append(True, row[order][1:] != row[order][:-1])]
+        better = d[lead] > best[row[lead]]
+        k = lead[better]
+        best[row[k]], best_i[row[k]], best_j[row[k]] = d[k], i[k], j[k]
+        if step == 1:
+            break
+        reach = np.hypot(w[row], h[row]) / cells * step
+        live = d + reach >= np.maximum(best[row], 0)
+        row, i, j = row[live], i[live], j[live]
+        # The points around each, half as far apart.
+        half = max(1, step // 2)
+        moves = np.array([(a, b) for a in range(-step, step + 1, half) for b in range(-step, step + 1, half)])
+        row = np.repeat(row, len(moves))
+        i, j = (np.repeat(v, len(moves)) + np.tile(moves[:, m], len(v)) for m, v in ((0, i), (1, j)))
+        ok = (i > 0) & (i < cells) & (j > 0) & (j < cells)
+        place = np.unique((row[ok] * cells + i[ok]) * cells + j[ok])
+        row, i, j, step = place // (cells * cells), place // cells % cells, place % cells, half
+    px, py = x0 + w * best_i / cells, y0 + h * best_j / cells
+    for r in np.flatnonzero(best <= 0):
+        px[r], py[r] = _middle_of_line(e.slice(r, r + 1))
+    out_x[has], out_y[has] = px, py
+    return out_x, out_y
+
+
+def _middle_of_line(e: Edges) -> tuple[float, float]:
+    """Middle of the longest stretch inside, of lines halfway between corners."""
+    levels = np.unique(e.ay)
+    best = (0.0, np.nan, np.nan)
+    for y in (levels[1:] + levels[:-1]) / 2:
+        spans = (e.ay > y) != (e.by > y)
+        x = np.sort(e.ax[spans] + (y - e.ay[spans]) * (e.bx - e.ax)[spans] / (e.by - e.ay)[spans])
+        for a, b in zip(x[::2], x[1::2], strict=False):
+            if b - a > best[0]:
+                best = (b - a, (a + b) / 2, y)
+    return best[1], best[2]

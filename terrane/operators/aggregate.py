@@ -50,7 +50,11 @@ def share_of_total(df: DataFrame, keys: list[str], order: list[str], value: str,
 
 
 def scale_to_max(df: DataFrame, keys: list[str], value: str, size: float) -> DataFrame:
-    return df.withColumn("scaled", F.col(value) / F.max(value).over(Window.partitionBy(*keys)) * size)
+    """Each value's share of its group's greatest, times ``size``.  Maxima are
+    combined before the shuffle and joined back, so a large group is split."""
+    most = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max(value).alias("__most"))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return df.join(most, on, "left").withColumn("scaled", F.col(value) / F.col("__most") * size).drop("__most", *[f"__{k}" for k in keys])
 
 
 def nice_axis(low: float, high: float, intervals: int) -> list[float]:
@@ -71,12 +75,17 @@ def nice_axis(low: float, high: float, intervals: int) -> list[float]:
 
 
 def axis_histogram(df: DataFrame, value: str, intervals: int) -> DataFrame:
-    """Rows counted between neighbouring ticks of the column's own axis."""
-    low, high = df.agg(F.min(value), F.max(value)).first()
+    """Rows counted between neighbouring ticks of the column's own axis.  No
+    values give no rows; equal ones give one bin without width that holds all."""
+    known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    low, high = known.agg(F.min(value), F.max(value)).first()
+    if low is None or low == high:
+        bins = known.groupBy(F.lit(0).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.min(F.col(value).cast("double")).alias("at"))
+        return bins.select("bin", F.col("at").alias("from_tick"), F.col("at").alias("to_tick"), "n")
     ticks = nice_axis(float(low), float(high), intervals)
     first, step = ticks[0], ticks[1] - ticks[0]
     bin_no = F.least(F.floor((F.col(value) - first) / step), F.lit(len(ticks) - 2)).cast("long")
-    return df.filter(F.col(value).isNotNull()).groupBy(bin_no.alias("bin")).agg(F.count("*").alias("n")).select("bin", (F.col("bin") * step + first).alias("from_tick"), ((F.col("bin") + 1) * step + first).alias("to_tick"), "n")
+    return known.groupBy(bin_no.alias("bin")).agg(F.count("*").alias("n")).select("bin", (F.col("bin") * step + first).alias("from_tick"), ((F.col("bin") + 1) * step + first).alias("to_tick"), "n")
 
 
 def tree_levels(df: DataFrame, entry: str, delimiter: str = " ") -> DataFrame:
@@ -167,14 +176,29 @@ def hull_agg(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
 
 def dissolved_area(rects: DataFrame, keys: list[str], bounds: tuple[str, str, str, str]) -> DataFrame:
-    """Area and border length of the union of each group's axis-parallel boxes:
-    the group's own grid of box edges, its cells covered once each."""
-    x0, y0, x1, y1 = bounds
-    xs = rects.select(*keys, F.explode(F.array(x0, x1)).alias("v")).distinct()
-    ys = rects.select(*keys, F.explode(F.array(y0, y1)).alias("v")).distinct()
-    w = Window.partitionBy(*keys).orderBy("v")
-    nx = xs.select(*keys, F.col("v").alias("cx0"), F.lead("v").over(w).alias("cx1")).filter("cx1 is not null")
-    ny = ys.select(*keys, F.col("v").alias("cy0"), F.lead("v").over(w).alias("cy1")).filter("cy1 is not null")
-    columns = rects.join(nx, keys).filter((F.col("cx0") >= F.col(x0)) & (F.col("cx1") <= F.col(x1)))
-    cells = columns.join(ny, keys).filter((F.col("cy0") >= F.col(y0)) & (F.col("cy1") <= F.col(y1))).select(*keys, "cx0", "cx1", "cy0", "cy1").distinct()
-    return cells.groupBy(*keys).agg(F.sum((F.col("cx1") - F.col("cx0")) * (F.col("cy1") - F.col("cy0"))).alias("area"))
+    """Area of the union of each group's axis-parallel boxes.
+
+    Boxes are cut along tiles about as large as a middling box, so that a group
+    of any size is spread over tasks.  In a tile, the strips between neighbouring
+    x edges hold intervals of y, and a running maximum over these gives the
+    length that they cover.  Boxes with a null bound or no area count nothing; a
+    group without a box has no row.
+    """
+    x0, y0, x1, y1 = (F.col(b) for b in bounds)
+    boxes = rects.select(*keys, *[c.cast("double").alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1), strict=True)]).filter("x0 < x1 and y0 < y1")
+    middle, low, high = boxes.agg(F.percentile_approx(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), 0.5, 100), F.least(F.min("x0"), F.min("y0")), F.greatest(F.max("x1"), F.max("y1"))).first()
+    # Even a box over everything has at most 512 x 512 tiles.
+    size = max(middle, (high - low) / 512) if middle else 1.0
+    at = lambda c: F.floor(F.col(c) / size).cast("long")
+    tiled = boxes.withColumn("tx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("ty", F.explode(F.sequence(at("y0"), at("y1"))))
+    cut = {"x0": F.greatest("x0", F.col("tx") * size), "x1": F.least("x1", (F.col("tx") + 1) * size), "y0": F.greatest("y0", F.col("ty") * size), "y1": F.least("y1", (F.col("ty") + 1) * size)}
+    tiled = tiled.withColumns(cut).filter("x0 < x1 and y0 < y1").distinct()
+    tile = [*keys, "tx", "ty"]
+    edges = tiled.select(*tile, F.explode(F.array("x0", "x1")).alias("a")).distinct()
+    strips = edges.withColumn("b", F.lead("a").over(Window.partitionBy(*tile).orderBy("a"))).filter("b is not null")
+    strips = strips.select(*[F.col(k).alias(f"__{k}") for k in tile], "a", "b")
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in tile] + [F.col("x0") <= F.col("a"), F.col("x1") >= F.col("b")]
+    inside = tiled.join(strips, on).select(*tile, "a", "b", "y0", "y1")
+    before = F.max("y1").over(Window.partitionBy(*tile, "a").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
+    covered = F.greatest(F.lit(0.0), F.col("y1") - F.greatest("y0", F.coalesce(before, F.col("y0"))))
+    return inside.select(*keys, (covered * (F.col("b") - F.col("a"))).alias("area")).groupBy(*keys).agg(F.sum("area").alias("area"))

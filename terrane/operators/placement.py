@@ -1,66 +1,53 @@
 """Choosing label positions that do not conflict, in parallel.
 
 Sequential greedy placement gives each row, in order of priority, its first
-candidate box that no accepted box meets.  The same result comes from rounds: a
-row is decided as soon as every earlier row that shares a conflict with it is.
-Conflicts come once from the grid join of all candidate boxes; a round is a few
-joins over the undecided rows only, written so that lineage does not grow.
+candidate box that no accepted box meets.  The same result comes from rounds.  A
+row's first free candidate is taken as soon as no earlier open row still has a
+free candidate that conflicts with it; then the candidates that conflict with
+what was taken are no longer free.  The first open row always gets its turn, so
+rounds end; in a random order their number grows like the logarithm of the rows.
+
+Conflicts come once from the grid join of all candidate boxes.  A round joins
+only what is still open, and writes it, so that neither work nor lineage grows.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
 from terrane.operators.spatial_join import bbox_join
-
-
-def _shared_dir(spark) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="terrane-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/labels-{uuid.uuid4().hex[:12]}"
+from terrane.workspace import Workspace
 
 
 def place_labels(candidates: DataFrame, row: str, choice: str, bounds: tuple[str, str, str, str]) -> DataFrame:
     """candidates: one row for each (row, choice) with a box; lower ``row``
     values come first, lower ``choice`` values are preferred.  Returns the
-    accepted (row, choice); rows without a free candidate are left out."""
-    spark, root = candidates.sparkSession, _shared_dir(candidates.sparkSession)
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
-
-    boxes = candidates.select(F.col(row).alias("r"), F.col(choice).alias("c"), G.make_box(*bounds).alias("g"))
+    accepted (row, choice); rows without a free candidate are left out, as are
+    candidates with a null row, choice or bound."""
+    spark = candidates.sparkSession
+    ws = Workspace(spark, "labels")
+    boxes = candidates.dropna(subset=[row, choice, *bounds]).select(F.col(row).alias("r"), F.col(choice).alias("c"), G.make_box(*bounds).alias("g"))
     other = boxes.select(F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("g").alias("g2"))
     # Touching boxes share no area and are no conflict.
     share = (F.col("g.xmin") < F.col("g2.xmax")) & (F.col("g.xmax") > F.col("g2.xmin")) & (F.col("g.ymin") < F.col("g2.ymax")) & (F.col("g.ymax") > F.col("g2.ymin"))
-    conflicts = keep(bbox_join(boxes, "g", other, "g2").filter(share & (F.col("r2") < F.col("r"))).select("r", "c", "r2", "c2"), "conflicts")
-    open_rows = keep(boxes.select("r", "c"), "open-0")
-    decided = spark.createDataFrame([], "r long, c long").select(F.col("r").cast(dict(candidates.dtypes)[row]).alias("r"), F.col("c").cast(dict(candidates.dtypes)[choice]).alias("c"))
-    accepted = [decided]
-    n = 0
-    while open_rows.limit(1).count():
-        n += 1
-        waiting = open_rows.select(F.col("r").alias("r2")).distinct()
-        ready = open_rows.select("r").distinct().join(conflicts.join(waiting, "r2").select("r").distinct(), "r", "left_anti")
-        taken = accepted[0]
-        for more in accepted[1:]:
-            taken = taken.unionByName(more)
-        blocked = conflicts.join(taken.select(F.col("r").alias("r2"), F.col("c").alias("c2")), ["r2", "c2"]).select("r", "c").distinct()
-        free = open_rows.join(ready, "r").join(blocked, ["r", "c"], "left_anti")
-        now = keep(free.groupBy("r").agg(F.min("c").alias("c")), f"accepted-{n}")
-        ready = keep(ready, f"ready-{n}")
-        open_rows = keep(open_rows.join(ready, "r", "left_anti"), f"open-{n}")
-        accepted.append(now)
-    out = accepted[0]
-    for more in accepted[1:]:
+    conflicts = ws.keep(bbox_join(boxes, "g", other, "g2").filter(share & (F.col("r2") < F.col("r"))).select("r", "c", "r2", "c2").distinct(), "conflicts-0")
+    free = ws.keep(boxes.select("r", "c").distinct(), "free-0")
+    taken: list[DataFrame] = []
+    while not free.isEmpty():
+        n = len(taken) + 1
+        first = free.groupBy("r").agg(F.min("c").alias("c"))
+        now = ws.keep(first.join(conflicts.select("r", "c").distinct(), ["r", "c"], "left_anti"), f"taken-{n}")
+        lost = conflicts.join(now.select(F.col("r").alias("r2"), F.col("c").alias("c2")), ["r2", "c2"], "left_semi").select("r", "c").distinct()
+        left = ws.keep(free.join(now.select("r"), "r", "left_anti").join(lost, ["r", "c"], "left_anti"), f"free-{n}")
+        both = conflicts.join(left, ["r", "c"], "left_semi").join(left.select(F.col("r").alias("r2"), F.col("c").alias("c2")), ["r2", "c2"], "left_semi")
+        conflicts = ws.keep(both.select("r", "c", "r2", "c2"), f"conflicts-{n}")
+        free = left
+        ws.drop(f"free-{n - 1}", f"conflicts-{n - 1}")
+        taken.append(now)
+    out = taken[0] if taken else free
+    for more in taken[1:]:
         out = out.unionByName(more)
     return out.select(F.col("r").alias(row), F.col("c").alias(choice))
 
@@ -72,5 +59,3 @@ def occupancy(boxes: DataFrame, order: str, state: str, bounds: tuple[str, str,
     at = lambda c: F.floor(F.col(c) / cell).cast("long")
     cells = boxes.withColumn("cx", F.explode(F.sequence(at(x0), at(x1)))).withColumn("cy", F.explode(F.sequence(at(y0), at(y1))))
     return cells.groupBy("cx", "cy").agg(F.max_by(state, order).alias("set")).filter("set").select("cx", "cy")
-
-

@@ -221,7 +221,7 @@ def stripes(spark, d):
 
 @query(with_layers("dia", "SELECT p_partkey, round(cx, 4) AS x, round(cy, 4) AS y FROM dia"))
 def label_point(spark, d):
-    return L.label_point(part_diamonds(spark, d), ["p_partkey"], "diamond", 8).select("p_partkey", r4("x").alias("x"), r4("y").alias("y"))
+    return L.label_point(part_diamonds(spark, d), ["p_partkey"], "diamond").select("p_partkey", r4("x").alias("x"), r4("y").alias("y"))
 
 
 @query()

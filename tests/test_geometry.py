@@ -225,3 +225,34 @@ def test_inside_a_buffer(spark):
     pts = spark.createDataFrame([(1, 5.0, 5.0), (2, 10.5, 5.0), (3, 12.0, 5.0), (4, 9.5, 5.0)], "i int, x double, y double")
     near = lambda **k: {r.i for r in J.near_geometry(pts, "x", "y", df, "p", 1.0, **k).collect()}
     assert near() == {1, 2, 4} and near(border_only=True) == {2, 4}
+
+
+def test_label_point_is_inside(spark):
+    shapes = {"l": "POLYGON ((0 0, 100 0, 100 8, 8 8, 8 100, 0 100, 0 0))", "thin": "POLYGON ((0 0, 100 100, 100 100.01, 0 0.01, 0 0))", "sq": "POLYGON ((0 0, 8 0, 8 8, 0 8, 0 0))", "ring": "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 1 6, 6 6, 6 1, 1 1))"}
+    df = spark.createDataFrame([*shapes.items(), ("none", None)], "k string, w string").select("k", G.from_wkt("w").alias("g"))
+    got = {r.k: (r.x, r.y) for r in L.label_point(df, ["k"], "g").collect()}
+    assert got["none"] == (None, None) and got["sq"] == (4.0, 4.0)
+    inside = df.filter("g is not null").join(spark.createDataFrame([(k, *v) for k, v in got.items() if v[0] is not None], "k string, x double, y double"), "k").select("k", G.contains_point("g", "x", "y").alias("ok"), G.distance_to_point("g", "x", "y").alias("d")).collect()
+    assert all(r.ok for r in inside)
+    assert {r.k: r.d for r in inside}["ring"] == pytest.approx(1.5, abs=0.15)
+
+
+def test_dissolve_and_axis_edge_cases(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 30), rng.randint(0, 30), rng.randint(1, 9), rng.randint(1, 9)) for _ in range(60)] + [("a", 0, 0, 60, 1), ("b", 5, 5, 0, 3), ("c", None, 1, 2, 2)]
+    cells = {}
+    for k, x, y, w, h in rows:
+        if x is not None:
+            cells.setdefault(k, set()).update((i, j) for i in range(x, x + w) for j in range(y, y + h))
+    df = spark.createDataFrame(rows, "k string, x int, y int, w int, h int").selectExpr("k", "x x0", "y y0", "x + w x1", "y + h y1")
+    assert {r.k: r.area for r in A.dissolved_area(df, ["k"], ("x0", "y0", "x1", "y1")).collect()} == {k: float(len(v)) for k, v in cells.items()}
+    assert A.dissolved_area(df.limit(0), ["k"], ("x0", "y0", "x1", "y1")).count() == 0
+    values = spark.createDataFrame([(3.0,), (3.0,), (None,)], "v double")
+    assert [tuple(r) for r in A.axis_histogram(values, "v", 5).collect()] == [(0, 3.0, 3.0, 2)]
+    assert A.axis_histogram(values.limit(0), "v", 5).count() == 0
+
+
+def test_labels_without_a_row_number(spark):
+    df = spark.createDataFrame([(1, 0, 0.0), (None, 0, 0.5), (2, None, 9.0), (3, 0, 0.5), (3, 1, 5.0), (4, 0, 5.5)], "i long, c int, x double").selectExpr("*", "0.0 y0", "x + 1 x1", "1.0 y1")
+    assert {(r.i, r.c) for r in Q.place_labels(df, "i", "c", ("x", "y0", "x1", "y1")).collect()} == {(1, 0), (3, 1)}
+    assert Q.place_labels(df.limit(0), "i", "c", ("x", "y0", "x1", "y1")).count() == 0
