@@ -61,11 +61,17 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(keep: Workspace | None = None) -> None:
-    """Delete the tables of all workspaces but ``keep``: for a caller that has
-    written the results that read them."""
+def opened() -> list[Workspace]:
+    """The workspaces that are open now."""
+    return list(_open)
+
+
+def release(*keep: Workspace) -> None:
+    """Delete the tables of all workspaces but those given: for a caller that
+    has written the results that read them.  ``release(*before)``, with
+    ``before = opened()`` from its start, leaves other callers' tables alone."""
     for ws in list(_open):
-        if ws is not keep:
+        if ws not in keep:
             ws.close()
 
 
