@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm import kernels as K
-from terrane.llm.workspace import Workspace
+from terrane.workspace import Workspace
 
 #: Classes of one anchor that are compared together; beyond, windows go alone.
 HOT = 4096
@@ -251,7 +251,7 @@ def candidates(docs: DataFrame, unit: Unit, ws: Workspace, same_document: bool)
 
 def grouped(rivals: DataFrame, ws: Workspace) -> DataFrame:
     """Rivals with equal anchors next to each other, whole anchors in one task."""
-    from terrane.llm.workspace import partitions
+    from terrane.workspace import partitions
 
     return rivals.repartition(partitions(ws.spark), "h").sortWithinPartitions("h", "doc", "start")
 

@@ -23,13 +23,16 @@ such a question is retrieved, what is held against the threshold is divided by
 the score of the question's words; the score given is the whole item's share.
 
 The index is built on the driver and travels in the task's closure, so its size
-is checked: more than ``INDEX_ITEMS`` items are indexed in parts, each with its
-own pass over the documents; numbers of items with a word, mean and greatest
-length are those of all items.  Documents are never shuffled.
-
-Defined results: null and blank texts hold nothing; items without words are
-never found; repeated rows are reported each; repeated items too; empty tables
-give empty results; further columns are ignored.
+is checked: more than ``INDEX_ITEMS`` items are indexed in parts, one after the
+other, each with its own pass over the documents whose result is written before
+the next part is built; numbers of items with a word and the mean length are
+those of all items.  Documents are never shuffled.
+
+Defined results: null and blank texts hold nothing; items with a null id or
+without words are never found; a document with a null id is reported under it;
+repeated rows are reported each; repeated items too; items of equal score are
+reported each; texts of any length are searched whole; empty tables give empty
+results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm import kernels as K
-from terrane.llm.workspace import bounded_batches
+from terrane.workspace import Workspace, bounded_batches
 
 THRESHOLD = 0.6
 QUESTION_SHARE, ANSWER_SHARE, GRAM = 0.5, 0.5, 3
@@ -85,17 +88,16 @@ class Index:
 @dataclass
 class Totals:
     """Of all items: their number, the sorted codes of their words, the number
-    of items with each, and the mean and greatest number of words."""
+    of items with each, and the mean number of words."""
 
     items: int
     terms: np.ndarray
     df: np.ndarray
     mean: float
-    longest: int
 
 
 def totals(parts: Iterator[list[str]]) -> Totals:
-    items, filled, words, longest = 0, 0, 0, 0
+    items, filled, words = 0, 0, 0
     terms, df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for texts in parts:
         codes, first = _codes(texts)
@@ -105,11 +107,32 @@ def totals(parts: Iterator[list[str]]) -> Totals:
         both, at = np.unique(np.concatenate([terms, own]), return_inverse=True)
         df = np.bincount(at, np.concatenate([df, np.bincount(pair // max(1, len(texts)), minlength=len(own))]), minlength=len(both)).astype(np.int64)
         terms = both
-        items, filled, words, longest = items + len(texts), filled + int((length > 0).sum()), words + int(length.sum()), max(longest, int(length.max(initial=0)))
-    return Totals(items, terms, df, words / max(1, filled), longest)
+        items, filled, words = items + len(texts), filled + int((length > 0).sum()), words + int(length.sum())
+    return Totals(items, terms, df, words / max(1, filled))
+
+
+def stride_of(words: int) -> int:
+    """Stride of the passages in which an item of so many words is sought."""
+    stride = 64
+    while stride < words:
+        stride *= 4
+    return stride
 
 
-def build_index(ids: list[int], texts: list[str], known: Totals | None = None) -> Index | None:
+def build_indexes(ids: list[int], texts: list[str], known: Totals | None = None) -> list[Index]:
+    """An index for each stride that the items need."""
+    known = known or totals(iter([texts]))
+    stride = np.array([stride_of(n) for n in np.diff(_codes(texts)[1])], np.int64)
+    out = []
+    for s in np.unique(stride):
+        own = np.flatnonzero(stride == s)
+        index = build_index([ids[i] for i in own], [texts[i] for i in own], known, int(s))
+        if index is not None:
+            out.append(index)
+    return out
+
+
+def build_index(ids: list[int], texts: list[str], known: Totals | None = None, stride: int = 64) -> Index | None:
     codes, first = _codes(texts)
     length = np.diff(first)
     if not len(codes):
@@ -144,7 +167,7 @@ def build_index(ids: list[int], texts: list[str], known: Totals | None = None) -
     maybe[terms >> np.uint64(48)] = True
     return Index(
         np.array(ids, np.int64), codes, first, answer, terms, maybe, np.maximum.reduceat(impact, posting[:-1]), posting, of_item, impact,
-        of_item[block_at] // BLOCK, np.append(block_at, len(pair)), np.maximum.reduceat(impact, block_at), np.searchsorted(of_term[block_at], np.arange(len(terms) + 1)), int(max(16, known.longest)), whole,
+        of_item[block_at] // BLOCK, np.append(block_at, len(pair)), np.maximum.reduceat(impact, block_at), np.searchsorted(of_term[block_at], np.arange(len(terms) + 1)), stride, whole,
     )
 
 
@@ -256,7 +279,7 @@ def search(index: Index, codes: np.ndarray, first: np.ndarray, threshold: float
     return [(t, i, *found) for (t, i), found in sorted(best.items())]
 
 
-def _pass(docs: DataFrame, index: Index, threshold: float) -> DataFrame:
+def _pass(docs: DataFrame, indexes: list[Index], threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -264,9 +287,12 @@ def _pass(docs: DataFrame, index: Index, threshold: float) -> DataFrame:
             for a, b in K.slices(offs):
                 part = K.lower_case(buf[offs[a] : offs[b]])
                 words = K.find_words(part, offs[a : b + 1] - offs[a], K.NOT_LETTER)
-                found = search(index, K.word_codes(part, words), words.first, threshold)
-                rows = [np.array([f[k] for f in found], np.int64 if k < 2 else np.float64) for k in range(5)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[0] + a)), pa.array(index.ids[rows[1]]), *[pa.array(np.minimum(1.0, x)) for x in rows[2:]]], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                codes = K.word_codes(part, words)
+                for index in indexes:
+                    found = search(index, codes, words.first, threshold)
+                    rows = [np.array([f[k] for f in found], np.int64 if k < 2 else np.float64) for k in range(5)]
+                    shares = [pa.array(np.minimum(1.0, x)) for x in rows[2:]]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[0] + a)), pa.array(index.ids[rows[1]]), *shares], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
@@ -276,16 +302,23 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     bounded_batches(docs.sparkSession)
     items = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     parts = max(1, -(-items.count() // INDEX_ITEMS))
+
+    def own(part: int) -> list:
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
+        return mine.orderBy("item_id", "text").collect()
+
+    if parts == 1:
+        rows = own(0)
+        return _pass(docs, build_indexes([r["item_id"] for r in rows], [r["text"] for r in rows]), threshold)
+    # The driver holds one part at a time: its result is written before the next is read.
+    ws = Workspace(docs.sparkSession, "leaks")
+    known = totals([r["text"] for r in own(part)] for part in range(parts))
     found = None
-    own = lambda part: (items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items).orderBy("item_id", "text").collect()
-    known = totals([r["text"] for r in own(part)] for part in range(parts)) if parts > 1 else None
     for part in range(parts):
         rows = own(part)
-        index = build_index([r["item_id"] for r in rows], [r["text"] for r in rows], known)
-        if index is not None:
-            one = _pass(docs, index, threshold)
-            found = one if found is None else found.unionByName(one)
-    return found if found is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        one = ws.keep(_pass(docs, build_indexes([r["item_id"] for r in rows], [r["text"] for r in rows], known), threshold), f"part-{part}")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def op8(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def word_codes(buf: np.ndarray, words: Words) -> np.ndarray:
             text = np.zeros(-(-int(length[i]) // 8) * 8, np.uint8)
             text[: length[i]] = buf[words.start[i] : words.end[i]]
             lanes = text.view(np.uint64)
-            code[i] += (mix(lanes + BASE) * powers(WORD_BASE, len(lanes))).sum(dtype=np.uint64)
+            code[i : i + 1] += (mix(lanes + BASE) * powers(WORD_BASE, len(lanes))).sum(dtype=np.uint64, keepdims=True)
     while len(live):
         h = (code[live] ^ (eight[start] & _LOW_BYTES[np.minimum(left, 8)])) * WORD_BASE
         code[live] = h ^ (h >> np.uint64(29))

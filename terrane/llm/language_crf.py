@@ -16,7 +16,7 @@ its score that sum's share.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; without any labelled row all texts are; ties go to the label that comes first
-in order; repeated rows get equal results; ids only choose the rows to learn
+in order; empty tables give empty results; repeated rows get equal results; ids only choose the rows to learn
 from; lang and source are never read for a prediction.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from terrane.llm import kernels as K
 from terrane.llm.subwords import Lexemes, lexemes, segment_sums, subword_buckets
 from terrane.llm.text import held_out
-from terrane.llm.workspace import bounded_batches
+from terrane.workspace import bounded_batches
 
 #: Bounds of the training sample: documents of a label, bytes of one; sequences (at least, and of each label) and their words.
 SAMPLE, SAMPLE_BYTES = 150, 6_000

@@ -19,7 +19,9 @@ Stages (every one a Spark shuffle on a high-cardinality key):
     exactly, inside tasks: an inverted index of the bucket's shingles counts
     the intersections of all nodes of the smaller components, and only edges
     that join two components leave the task.  A large bucket is dealt out in
-    pairs of blocks, so that no task holds more than two blocks.
+    pairs of blocks, so that no task holds more than two blocks; blocks of the
+    largest component are never paired with one another, so a large group of
+    copies that stage 2 has joined costs a task for each of its blocks.
 4.  connected components of the confirmed links.
 
 With 40 bands of 5 rows a pair at similarity 0.75 shares no band with
@@ -28,7 +30,12 @@ probability 2e-5, one at 0.8 with 1e-7.
 Defined results: null or blank texts have size 0 and stand alone; repeated rows
 are in one class (an id that repeats with several texts is linked if any of
 them is); ties go to the smallest id; a null id has a null component and is
-never kept; empty tables give empty results; other columns are ignored.
+never kept; texts of any length are sketched and compared whole; empty tables
+give empty results; other columns are ignored.
+
+Sets are compared by 64-bit codes of their shingles, identical ones by their
+size and two 64-bit sums, so a pair of sets of m shingles is misjudged with
+probability m * m / 2**64 at most.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm import kernels as K
 from terrane.llm.components import components
-from terrane.llm.workspace import Workspace, bounded_batches
+from terrane.workspace import Workspace, bounded_batches
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
@@ -201,11 +208,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = ws.keep(known, "known")
     marks = known.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     open_keys = marks.filter("lo <> hi").groupBy("m", "total", "x", "y").agg(F.min("key").alias("key"))
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_NODES, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    dealt = known.join(open_keys.select("key", blocks.alias("blocks")), "key").withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("i")))
-    dealt = dealt.select("key", "node", "comp", "i", F.explode(others).alias("j"))
-    dealt = dealt.select(F.col("node").alias("id"), "comp", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("task"))
+    # Only nodes outside a bucket's largest component are compared with all: they and the others lie in blocks of
+    # their own, and a task is a pair of small blocks, or a small and a large one.
+    sizes = known.join(open_keys, "key").groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    largest = F.max_by(F.struct("comp", "m", "total"), F.struct("m", "comp"))
+    per_key = sizes.groupBy("key").agg(largest.alias("big"), F.sum("m").alias("m"), F.sum("total").alias("total"))
+    blocks = lambda m, total: F.greatest(F.lit(1), F.ceil(F.greatest(m / BLOCK_NODES, total / BLOCK_SHINGLES))).cast("int")
+    plan = per_key.select("key", F.col("big.comp").alias("big_comp"), blocks(F.col("big.m"), F.col("big.total")).alias("bigs"), blocks(F.col("m") - F.col("big.m"), F.col("total") - F.col("big.total")).alias("smalls"))
+    dealt = known.join(plan, "key").withColumn("small", F.col("comp") != F.col("big_comp"))
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("small"), F.col("smalls")).otherwise(F.col("bigs"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    i = F.col("i")
+    with_big = F.transform(upto(F.col("bigs")), lambda b: pair("big", i, b))
+    with_small = F.transform(F.array_remove(upto(F.col("smalls")), i), lambda k: pair("small", F.least(i, k), F.greatest(i, k)))
+    of_big = F.transform(upto(F.col("smalls")), lambda k: pair("big", k, i))
+    tasks = F.when(F.col("small"), F.concat(with_big, with_small)).otherwise(of_big)
+    dealt = dealt.select("key", F.col("node").alias("id"), "comp", F.explode(tasks).alias("t")).select("id", "comp", F.xxhash64("key", "t").alias("task"))
     grouped = dealt.join(text_of, F.col("id") == F.col("doc_id")).select(F.col("id").alias("node"), "comp", "text", "task").groupBy("task")
     more = ws.keep(grouped.applyInArrow(_link_groups, "a long, b long"), "more")
 

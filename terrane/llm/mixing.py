@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.text import word_count
-from terrane.llm.workspace import Workspace
+from terrane.workspace import Workspace
 
 #: Ranges of the hashed order within a source, and of finish time.  The rows
 #: of one range are summed in one task: at 10**11 rows, about 10**6 of them.
@@ -62,11 +62,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """doc_id, source, size, source_size, target, taken for every document."""
     spark = docs.sparkSession
     ws = Workspace(spark, "mix")
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    # A hash that SQL engines have too, as hexadecimal text.
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))))
     sized = ws.keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("turn")), "sized")
     # A key that is never null and tells the null source from the empty name.
     key = F.concat(F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce("source", F.lit("")))
-    rows = sized.select("doc_id", "source", "size", "turn", key.alias("key"), F.shiftrightunsigned(F.col("turn"), 48).cast("int").alias("slot"))
+    rows = sized.select("doc_id", "source", "size", "turn", key.alias("key"), F.conv(F.substring("turn", 1, 4), 16, 10).cast("int").alias("slot"))
 
     # Words queued before each hash range of each source.
     sums = rows.groupBy("key", "slot").agg(F.first("source").alias("source"), F.sum("size").alias("words"))

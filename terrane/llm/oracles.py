@@ -72,6 +72,25 @@ sums AS (SELECT doc_id, sum(b - a) AS n, count(*) AS c FROM runs GROUP BY doc_id
 SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(c, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+def mixing(weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 17) -> str:
+    """Targets by the water level of sources in order of cap / weight; then all
+    copies of all documents in one order of finish time, cut at the budget."""
+    pick = f"[{', '.join(f'CAST({w} AS DOUBLE)' for w in weights)}]"
+    return rf"""
+WITH d AS (SELECT doc_id, source, CAST(len({WORDS.format("text")}) AS BIGINT) AS size, md5(concat_ws('|', '{seed}', coalesce(CAST(doc_id AS VARCHAR), '-'), coalesce(text, ''))) AS turn FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, {pick}[place % {len(weights)} + 1] AS weight, source_size * {float(epochs)} AS cap, (SELECT sum(source_size) FROM s) * CAST({share} AS DOUBLE) AS budget FROM s),
+f AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+r AS (SELECT arg_min(level, cap / weight + place * 1e-9) AS level FROM f WHERE level * weight <= cap),
+t AS (SELECT source, source_size, least(cap, weight * coalesce((SELECT level FROM r), CAST('inf' AS DOUBLE))) AS target FROM f),
+q AS (SELECT doc_id, d.source, size, turn, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING) AS own FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT q.*, (source_size * e + own) / target AS finish FROM q, range({epochs}) x(e) WHERE target > 0),
+o AS (SELECT *, sum(size) OVER (ORDER BY finish, turn, doc_id, size ROWS UNBOUNDED PRECEDING) AS spent FROM c),
+l AS (SELECT coalesce(min(finish), CAST('inf' AS DOUBLE)) AS finish FROM o WHERE spent > (SELECT max(budget) FROM w)),
+n AS (SELECT doc_id, turn, source, count(*) AS n FROM c WHERE finish < (SELECT finish FROM l) GROUP BY ALL)
+SELECT q.doc_id, size, source_size, target, CAST(size * coalesce(n, 0) AS BIGINT) AS taken FROM q LEFT JOIN n ON q.doc_id = n.doc_id AND q.turn = n.turn AND q.source IS NOT DISTINCT FROM n.source"""
+
+
 def licenses(threshold: float = 0.8) -> str:
     rows = ", ".join(f"({i}, {_quoted(name)}, {_quoted(kind)}, {_quoted(body)})" for i, (name, kind, body) in enumerate(TEMPLATES))
     tokens = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"

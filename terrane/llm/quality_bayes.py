@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm import kernels as K
 from terrane.llm.toxicity import training_sample
-from terrane.llm.workspace import Workspace, bounded_batches
+from terrane.workspace import Workspace, bounded_batches
 
 #: Bounds of the training sample: documents of each label, and bytes of one.
 SAMPLE, SAMPLE_BYTES = 2000, 50_000

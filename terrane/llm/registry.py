@@ -78,5 +78,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_minhash": oracles.near_duplicates(),
         "op6_suffix_dedup": oracles.repeated_bytes(),
         "op7_substring_dedup": oracles.repeated_words(),
+        "op9_mixing": oracles.mixing(),
         "op10_license_scan": oracles.licenses(),
     }

@@ -12,7 +12,8 @@ its passages are cut to what another passage of their anchor may share
 Defined results: null and short texts have no window and keep all words; a
 repeat within one document alone is kept; ids are taken to be unique (rows that
 repeat an id are cut by that id's spans together); a null id is never compared
-and keeps its words; empty tables give empty results.
+and keeps its words; empty tables give empty results; other columns are ignored
+(``cut_texts`` hands them on).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from terrane.llm import anchors
 from terrane.llm import kernels as K
 from terrane.llm.fm_index import FMIndex
 from terrane.llm.suffix_dedup import merged, with_spans
-from terrane.llm.workspace import Workspace, bounded_batches
+from terrane.workspace import Workspace, bounded_batches
 
 WIDTH = 13
 UNIT = anchors.Unit(words=True, width=WIDTH, k=5)
@@ -107,6 +109,20 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(n - left), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def cut_bytes(buf: np.ndarray, offs: np.ndarray, words: K.Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts without the words that are not kept and
+    the white space after each of them; everything else stays as it is."""
+    gone = np.flatnonzero(~kept)
+    row = np.searchsorted(words.first, gone, "right") - 1
+    last = gone + 1 == words.first[row + 1]
+    follows = words.start[np.minimum(gone + 1, len(words.start) - 1)]
+    end = np.where(last, offs[row + 1], follows)
+    cut = np.zeros(len(buf), bool)
+    cut[K.ranges(words.start[gone], end - words.start[gone])] = True
+    left = np.concatenate([[0], np.cumsum(~cut)])
+    return buf[~cut], left[offs]
+
+
 def _cutter(text: int, chars: int | None):
     """Batches of documents with a last column of spans -> the documents with
     those words cut out; texts without spans stay as they are."""
@@ -115,19 +131,15 @@ def _cutter(text: int, chars: int | None):
         for batch in batches:
             columns = list(batch.columns[:-1])
             spans = batch.column(batch.num_columns - 1)
-            touched = np.flatnonzero(np.diff(spans.offsets.to_numpy()))
-            if len(touched):
+            if len(spans.values):
                 buf, offs = K.text_bytes(columns[text])
-                words, kept = kept_words(buf, offs, spans)
-                texts = columns[text].to_pylist()
-                sizes = columns[chars].to_pylist() if chars is not None else []
-                for i in touched:
-                    texts[i] = joined(buf, words, kept, i).decode("utf-8", "replace")
-                    if chars is not None:
-                        sizes[i] = len(texts[i])
-                columns[text] = pa.array(texts, columns[text].type)
+                left, ends = cut_bytes(buf, offs, *kept_words(buf, offs, spans))
+                # 64-bit offsets, whatever the batch holds; null texts have no spans and stay null.
+                whole = pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(left)).cast(columns[text].type)
+                touched = pa.array(np.diff(spans.offsets.to_numpy()) > 0)
+                columns[text] = pc.if_else(touched, whole, columns[text])
                 if chars is not None:
-                    columns[chars] = pa.array(sizes, columns[chars].type)
+                    columns[chars] = pc.if_else(touched, pc.utf8_length(columns[text]).cast(columns[chars].type), columns[chars])
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     return run
@@ -151,7 +163,8 @@ def spans_of(docs: DataFrame, label: str = "substring") -> DataFrame:
 
 def cut_texts(docs: DataFrame) -> DataFrame:
     """The documents with all their columns, their repeated passages cut out of
-    ``text`` (kept words joined by one space); ``n_chars`` follows, if there."""
+    ``text`` with the white space after each word, so that lines and spacing of
+    the rest stay; ``n_chars`` follows, if there."""
     names = docs.columns
     lists = spans_of(docs).groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("__spans"))
     none = F.array().cast("array<struct<start:bigint,length:bigint>>")

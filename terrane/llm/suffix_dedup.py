@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from terrane.llm import anchors
 from terrane.llm import kernels as K
 from terrane.llm.collection_bwt import Collection
-from terrane.llm.workspace import Workspace, bounded_batches
+from terrane.workspace import Workspace, bounded_batches
 
 WIDTH = 100
 UNIT = anchors.Unit(words=False, width=WIDTH, k=32)

@@ -11,9 +11,10 @@ score only through its product with the softmax weights: scoring carries one
 number a bucket (1 MB in the task's closure) and costs one pass over the text.
 
 Defined results: null, blank and unlabelled texts are scored like any other (a
-text without words gets the score of the bias alone); repeated rows get equal
-scores; ids only choose the rows to learn from; without labels of both kinds
-the score is the share of toxic labels (0.5 without any).
+text without words gets the score of the bias alone); texts of any length are
+scored whole; repeated rows get equal scores; ids only choose the rows to learn
+from; without labels of both kinds the score is the share of toxic labels (0.5
+without any); empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from terrane.llm import kernels as K
 from terrane.llm.subwords import lexemes, segment_sums, subword_buckets
 from terrane.llm.text import held_out
-from terrane.llm.workspace import bounded_batches
+from terrane.workspace import bounded_batches
 
 #: Bounds of the training sample: documents of each label, and bytes of one.
 SAMPLE, SAMPLE_BYTES = 1200, 8_000
@@ -39,6 +40,7 @@ DIMENSIONS = 4
 #: The mean of a long text is small; this keeps the gradients in range.
 GAIN = 20.0
 RATE = 0.05
+PATIENCE = 8
 LEAST_DOCUMENTS = 3
 
 
@@ -69,9 +71,13 @@ def _first_vectors(seen: np.ndarray, toxic: np.ndarray, labels: np.ndarray) -> n
 
 def train(texts: list[str], labels: np.ndarray, prior: float, steps: int = 50, seed: int = 5) -> Model:
     """prior: share of toxic documents among all labelled ones, to which the
-    balanced sample's odds are moved back."""
+    balanced sample's odds are moved back.
+
+    Training stops after ``PATIENCE`` rounds without a lower loss on the fifth of
+    the sample that is held back, and the round of the least loss is taken; so
+    samples of any size are trained alike, and a small one is not memorised.
+    """
     labels = np.asarray(labels, np.int64)
-    steps = int(np.clip(len(labels) / 40, 6, steps))  # a small sample is fitted for fewer rounds, lest it be memorised
     if not len(labels) or labels.min() == labels.max():
         p = min(max(prior, 1e-3), 1 - 1e-3) if len(labels) else 0.5
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
@@ -116,13 +122,25 @@ def train(texts: list[str], labels: np.ndarray, prior: float, steps: int = 50, s
         docs = segment_sums(words[word_of] * share[:, None], doc_of, len(labels)) * GAIN
         return docs, docs @ w + b
 
+    # Both labels weigh the same in the loss of the documents held back.
+    back = ~fit
+    share_back = labels[back].mean() if back.any() else 0.0
+    back_weight = np.where(labels == 1, 0.5 / max(share_back, 1e-6), 0.5 / max(1 - share_back, 1e-6)) * back / max(1, back.sum())
+    least, kept, since = np.inf, None, 0
     for step in range(1, steps + 1):
         docs, logit = forward()
+        loss = float((back_weight * np.logaddexp(0, np.where(labels == 1, -logit, logit))).sum())
+        if not 0 < share_back < 1 or loss < least:
+            least, kept, since = loss, [p.copy() for p in (e, w, b)], 0
+        elif (since := since + 1) >= PATIENCE:
+            break
         error = (weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels)).astype(np.float32)
         to_docs = error[:, None] * w * GAIN
         to_words = segment_sums((to_docs[doc_of] * share[:, None])[by_word], word_of[by_word], len(grams)) / grams[:, None]
         to_grams = segment_sums(to_words[owner][by_gram], local[by_gram], len(used))
         _adam([e, w, b], [to_grams, docs.T @ error, error.sum(keepdims=True)], state, step, RATE)
+    if kept is not None:
+        e, w, b = kept
     _, logit = forward()
 
     # Calibration on the documents left out: slope and offset by Newton's method, then back to the true prior.
@@ -154,7 +172,9 @@ def score_texts(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> tuple[list[str], np.ndarray, float]:
     """Texts and labels of a bounded, hashed sample of the rows one may learn
-    from, and the share of 1 among all of those labels."""
+    from, and the share of 1 among all of those labels.  A text of more than
+    ``max_bytes`` gives its first ``max_bytes // 4`` characters, so that a label
+    whose texts are all long is learnt as well."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y"))
     counts = dict(known.groupBy("y").count().collect())
     total = sum(counts.values())
@@ -163,7 +183,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for y, n in counts.items():
         wanted = wanted | ((F.col("y") == y) & (place < per_class / n))
     ids = known.filter(wanted).limit(3 * per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.octet_length("text") <= max_bytes).select("doc_id", "text", "y").orderBy("doc_id").collect()
+    text = F.when(F.octet_length("text") <= max_bytes, F.col("text")).otherwise(F.substring("text", 1, max_bytes // 4))
+    rows = docs.select("doc_id", text.alias("text")).filter("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").orderBy("doc_id", "text").collect()
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64), (counts.get(1, 0) / total if total else 0.0)
 
 
