@@ -3,6 +3,13 @@
 Every stage takes the documents that the one before has kept, and all but the
 last return the columns of ``documents``.  Rejected ids are removed by an
 anti-join on the id, which is spread evenly whatever the sources are.
+
+Defined results: a row whose id is null cannot be named by a verdict, so no
+stage removes or cuts it; rows that repeat an id go, stay and are cut together;
+null and empty texts are judged by the quality classifier like any other, and
+share nothing; texts of any length are worked on whole; ties (copies) leave the
+smallest id; an empty table gives an empty result; columns beyond those of
+``documents`` are handed on by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm import decontamination, minhash, mixing, quality_bayes, substring_dedup
-from terrane.llm.workspace import Workspace
+from terrane.workspace import Workspace, opened, release
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +70,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
+    before = opened()
     ws = Workspace(spark, "pipeline")
     docs = _table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         docs = ws.keep(stage(spark, docs, sf_dir), f"stage-{i}")
+        release(ws, *before)  # the stage's own tables
         if i:
             ws.drop(f"stage-{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
