@@ -2,6 +2,7 @@
 null and empty texts, a very long one, ties, repeated rows, clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -79,6 +80,17 @@ def test_toxicity(docs, labels, empty, rows):
     assert {r.score for r in toxicity.op1(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_labels_of_long_texts_only_are_learnt(spark):
+    rng = random.Random(1)
+    words = lambda n: " ".join(_word(rng, "en") for _ in range(n))
+    rows = [(i, (("idiot scum " * 3 + words(9) + " ") * 200) if i % 2 else words(40)) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i, _ in rows], "doc_id long, toxic int, quality int")
+    assert min(len(t) for i, t in rows if i % 2) > toxicity.SAMPLE_BYTES
+    got = {r.doc_id: r.score for r in toxicity.op1(docs, labels).collect()}
+    assert min(v for i, v in got.items() if i % 2) > max(v for i, v in got.items() if not i % 2)
+
+
 def test_misspellings_share_grams():
     import numpy as np
     import pyarrow as pa
@@ -100,6 +112,42 @@ def test_quality_classifier(docs, labels, empty, rows):
     assert all(r.kept for r in quality_bayes.op2(docs, labels.limit(0)).collect())
 
 
+def test_posteriors_are_the_formula(spark):
+    """Shrunk rates and posteriors in plain Python, over hosts and paths of all sizes."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "b", "b", "b", "c", None]), rng.choice(["x", "y", ""]), rng.uniform(0.05, 0.95)) for i in range(400)] + [(900, "lone", None, 0.3), (900, "lone", None, 0.3)]
+    clip = lambda v: min(max(v, 1e-4), 1 - 1e-4)
+    logit = lambda v: math.log(clip(v) / (1 - clip(v)))
+
+    def totals(key):
+        out = {}
+        for r in rows:
+            n, t = out.get(key(r), (0, 0.0))
+            out[key(r)] = n + 1, t + r[3]
+        return out
+
+    def strength(sites):  # (documents, sum, rate of the parent)
+        n = sum(k for k, _, _ in sites)
+        excess = (sum(k * (t / k - p) ** 2 for k, t, p in sites) - sum(p * (1 - p) for _, _, p in sites)) / n
+        found = sum(k * p * (1 - p) for k, _, p in sites) / n / max(excess, 1e-9)
+        return min(max(found, quality_bayes.STRENGTHS[0]), quality_bayes.STRENGTHS[1])
+
+    hosts, paths = totals(lambda r: r[1]), totals(lambda r: (r[1], r[2]))
+    rate = clip(sum(r[3] for r in rows) / len(rows))
+    of_hosts = strength([(n, t, rate) for n, t in hosts.values()])
+    shrunk = {h: clip((t + of_hosts * rate) / (n + of_hosts)) for h, (n, t) in hosts.items()}
+    of_paths = strength([(n, t, shrunk[k[0]]) for k, (n, t) in paths.items()])
+    want = []
+    for i, host, path, p in rows:
+        (hn, ht), (pn, pt) = hosts[host], paths[host, path]
+        own_host = (ht - p + of_hosts * rate) / (hn - 1 + of_hosts)
+        own_path = (pt - p + of_paths * own_host) / (pn - 1 + of_paths)
+        z = logit(p) + quality_bayes.SITE_WEIGHT * (logit(own_path) - logit(rate))
+        want.append((i, round(shrunk[host], 8), round(own_path, 8), round(1 / (1 + math.exp(-z)), 8)))
+    got = quality_bayes.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, p double")).collect()
+    assert sorted((r.doc_id, round(r.host_rate, 8), round(r.path_rate, 8), round(r.posterior, 8)) for r in got) == sorted(want)
+
+
 def test_sparse_sites_are_shrunk(spark):
     rows = [(i, "big", "p", 0.9) for i in range(500)] + [(1000 + i, "bad", "p", 0.1) for i in range(500)] + [(2000, "tiny", "p", 0.1)]
     got = {r.doc_id: r for r in quality_bayes.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, p double")).collect()}
@@ -143,6 +191,29 @@ def test_near_duplicates(docs, empty, rows):
     assert minhash.op4(docs).count() == len(rows) and minhash.op4(empty).count() == 0
 
 
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    """Large buckets in several blocks: chains of texts that differ by a few words."""
+    monkeypatch.setattr(minhash, "BLOCK_NODES", 3)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(50):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: _shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.doc_id: r.component_id for r in minhash.op4(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) > 1
+
+
 def test_group_links_are_exact():
     import numpy as np
 
@@ -208,7 +279,10 @@ def test_substring_dedup(docs, empty, rows, hot, monkeypatch):
         for k in range(len(w) - 12):
             if first.setdefault(tuple(w[k : k + 13]), i) < i:
                 gone[k : k + 13] = [True] * 13
-        texts[i] = " ".join(x for x, g in zip(w, gone, strict=True) if not g) if any(gone) else t
+        # A removed word goes with the white space after it.
+        spaced = re.findall(WORD + r"[\x20\x09-\x0D]*", t or "")
+        lead = (t or "")[: len(t or "") - len("".join(spaced))]
+        texts[i] = lead + "".join(x for x, g in zip(spaced, gone, strict=True) if not g) if any(gone) else t
         want.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
     assert got == want
     cut = substring_dedup.cut_texts(single)
@@ -303,6 +377,52 @@ def test_pipeline(spark, docs, labels, tmp_path):
     assert corpus_pipeline.run(spark, d).count() == now.count() > 50
 
 
+def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
+    """Near copies, repeated passages and leaks on a table with null and repeated ids."""
+    rng = random.Random(21)
+    words = lambda n: [_word(rng, "en") + _word(rng, "de") for _ in range(n)]
+    passage, item = words(30), words(25)
+    texts = {i: words(rng.randint(40, 90)) for i in range(30)}
+    for i in range(0, 30, 6):
+        texts[i][10:10] = passage
+    for i in (3, 9):
+        texts[i] += item
+    for i in range(30, 36):
+        texts[i] = [*texts[i - 30][:-1], "end"]
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in texts.items()] + [(36, None, "en", "s", 0), (37, "", None, None, 0), (None, " ".join(texts[1]), "en", "s", 0), (5, " ".join(texts[5]), "en", "s", 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    d = str(tmp_path)
+    table.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    sets = {r[0]: _shingles(r[1]) for r in rows if r[0] is not None}
+    root = {i: i for i in sets}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    left = [(i, (t or "").split()) for i, t, *_ in rows if i is None or find(i) == i]
+    first, cut = {}, []
+    for i, w in sorted((r for r in left if r[0] is not None), key=lambda r: r[0]):
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    for i, w in left:
+        gone = {p for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
+        cut.append((i, [x for p, x in enumerate(w) if p not in gone]))
+    holds = lambda w: " ".join(item) in " ".join(w)
+    want = sorted(((i, len(w)) for i, w in cut if i is None or not holds(w)), key=repr)
+    before = set(tmp_path.iterdir())
+    got = corpus_pipeline.run(spark, d).select("doc_id", "size").collect()
+    assert sorted(((r.doc_id, r.size) for r in got), key=repr) == want and len(want) < len(rows)
+    assert set(tmp_path.iterdir()) == before
+    empty = str(tmp_path / "empty")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{d}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
 def test_null_ids(spark, labels):
     df = spark.createDataFrame([(None, "some words here", None, None, 3), (1, "some words here", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
     for op in (minhash.op4, suffix_dedup.op6, substring_dedup.op7, mixing.op9, licenses.op10, quality_rules.op3, language_crf.op5, lambda d: toxicity.op1(d, labels), lambda d: quality_bayes.op2(d, labels)):
@@ -354,6 +474,50 @@ def test_stepped_marginals_are_equal(monkeypatch):
     assert np.allclose(language_crf.stepped_marginals(crf, e, first), language_crf.word_marginals(crf, e, first))
 
 
+def test_search_is_full_scoring():
+    """Every window of every text scored in full, against block-max WAND and its bounds."""
+    import numpy as np
+
+    rng = random.Random(10)
+    words = lambda n: " ".join(f"t{rng.randint(0, 60)}" for _ in range(n))
+    items = [words(rng.choice([4, 9, 20, 90])) + ". " + words(3) for _ in range(40)]
+    texts = [words(rng.choice([0, 5, 100, 700])) + " " + rng.choice(items) + " " + words(rng.choice([0, 200])) for _ in range(40)]
+    indexes = decontamination.build_indexes(list(range(40)), items)
+    assert sorted({i.stride for i in indexes}) == [64, 256] and sum(len(i.ids) for i in indexes) == 40
+    codes, first = decontamination._codes(texts)
+    total = 0
+    for index in indexes:
+        want = {}
+        for t in range(len(texts)):
+            own = codes[first[t] : first[t + 1]]
+            for w in range(max(1, -(-len(own) // index.stride) - 1)):
+                passage = own[w * index.stride : (w + 2) * index.stride]
+                score = np.zeros(len(index.ids))
+                for k in np.flatnonzero(np.isin(index.terms, passage)):
+                    p = slice(index.posting[k], index.posting[k + 1])
+                    score[index.item[p]] += index.impact[p]
+                for i in np.flatnonzero(score >= decontamination.THRESHOLD - 1e-9):
+                    question, answer = decontamination.overlap(index, i, passage)
+                    if decontamination.confirmed(index, i, passage, question, answer):
+                        want[t, i] = max(want.get((t, i), (0, 0, 0)), (score[i] / index.whole[i], question, answer))
+        got = {(t, i): tuple(v) for t, i, *v in decontamination.search(index, codes, first)}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+        total += len(got)
+    assert total >= 40
+
+
+def test_items_do_not_change_one_another(spark):
+    """A long item leaves the windows of the others alone; repeated items and null ids are reported."""
+    rng = random.Random(13)
+    words = lambda n: " ".join(_word(rng, "en") + _word(rng, "fr") for _ in range(n))
+    head, tail = words(14), words(14)
+    docs = spark.createDataFrame([(1, f"{head} {words(300)} {tail}"), (2, f"{words(5)} {head} {tail}"), (None, f"{head} {tail}"), (3, None), (4, "")], "doc_id long, text string")
+    few = [(1, f"{head} {tail}"), (2, words(20)), (2, f"{head} {tail}"), (None, words(9))]
+    bench = lambda rows: spark.createDataFrame(rows, "item_id long, text string")
+    found = lambda items: sorted(((r.doc_id or 0), r.item_id) for r in decontamination.op8(docs, bench(items)).collect())
+    assert found(few) == found([*few, (7, words(2000))]) == [(0, 1), (0, 2), (2, 1), (2, 2)]
+
+
 def test_leaks_without_the_end(spark, monkeypatch):
     rng = random.Random(12)
     words = lambda n: " ".join(_word(rng, "en") + _word(rng, "de") for _ in range(n))
