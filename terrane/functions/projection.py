@@ -101,6 +101,19 @@ def forward(name: str, lon, lat, lon0: float = 0.0, **par) -> tuple[Column, Colu
     raise ValueError(f"unknown projection: {name}")
 
 
+def _conic(name: str, par: dict):
+    """Cone constant, radius of the origin's parallel, and latitude of a radius."""
+    p1, p2, p0 = (math.radians(par[k]) for k in ("lat_1", "lat_2", "lat_0"))
+    r = RADIUS
+    if name == "lcc":
+        n = math.sin(p1) if p1 == p2 else math.log(math.cos(p1) / math.cos(p2)) / math.log(math.tan(math.pi / 4 + p2 / 2) / math.tan(math.pi / 4 + p1 / 2))
+        f = math.cos(p1) * math.tan(math.pi / 4 + p1 / 2) ** n / n
+        return n, r * f / math.tan(math.pi / 4 + p0 / 2) ** n, lambda rho: 2 * F.atan(F.pow(r * f / rho, F.lit(1 / n))) - math.pi / 2
+    n = (math.sin(p1) + math.sin(p2)) / 2
+    c = math.cos(p1) ** 2 + 2 * n * math.sin(p1)
+    return n, r * math.sqrt(c - 2 * n * math.sin(p0)) / n, lambda rho: F.asin(F.least(F.greatest((c - (rho * n / r) ** 2) / (2 * n), F.lit(-1.0)), F.lit(1.0)))
+
+
 def inverse(name: str, x, y, lon0: float = 0.0, **par) -> tuple[Column, Column]:
     """Longitude and latitude in degrees of projected metres."""
     x, y, r = _col(x), _col(y), RADIUS
@@ -118,6 +131,12 @@ def inverse(name: str, x, y, lon0: float = 0.0, **par) -> tuple[Column, Column]:
     if name == "moll":
         t = F.asin(y / (r * math.sqrt(2)))
         return F.degrees(math.pi * x / (2 * r * math.sqrt(2) * F.cos(t))) + lon0, F.degrees(F.asin((2 * t + F.sin(2 * t)) / math.pi))
+    if name in ("lcc", "aea"):
+        n, rho0, back = _conic(name, par)
+        dy = F.lit(rho0) - y
+        rho = F.sqrt(x * x + dy * dy) * math.copysign(1.0, n)
+        theta = F.atan2(x * math.copysign(1.0, n), dy * math.copysign(1.0, n))
+        return F.degrees(theta / n) + lon0, F.degrees(back(rho))
     if name == "tmerc":
         d = y / r + math.radians(par.get("lat_0", 0.0))
         return F.degrees(F.atan2(F.sinh(x / r), F.cos(d))) + lon0, F.degrees(F.asin(F.sin(d) / F.cosh(x / r)))

@@ -13,6 +13,7 @@ from terrane.functions import scalars as S
 from terrane.operators import aggregate as A
 from terrane.operators import linear as L
 from terrane.operators import placement as Q
+from terrane.operators import rows as R
 from terrane.operators import spatial_join as J
 from terrane.plans.layers import PATH_ORDER, customer_points, nation_cells, order_paths, part_diamonds, supplier_points, table, user_tracks, with_layers
 
@@ -373,7 +374,7 @@ def dissolved_area(spark, d):
 def append_layers(spark, d):
     a = customer_points(spark, d).select(F.lit("customer").alias("layer"), "x", "y")
     b = supplier_points(spark, d).select(F.lit("supplier").alias("layer"), F.col("sx").alias("x"), F.col("sy").alias("y"))
-    return a.unionByName(b, allowMissingColumns=True).groupBy("layer").agg(F.count("*").alias("n"), r4(F.min("x")).alias("xmin"), r4(F.max("y")).alias("ymax"))
+    return R.append(a, b).groupBy("layer").agg(F.count("*").alias("n"), r4(F.min("x")).alias("xmin"), r4(F.max("y")).alias("ymax"))
 
 
 # --- placement ---------------------------------------------------------------
@@ -442,7 +443,7 @@ def wms_bbox(spark, d):
     from terrane.sources.rasters import wms_bbox as parse
 
     k = F.col("page_id")
-    url = F.concat(F.lit("http://maps.example.org/wms?Request=GetMap&bbox="), F.concat_ws(",", k % 360 - 180, k % 180 - 90, k * 7 % 360 - 180, k * 11 % 180 - 90), F.lit("&format=png"))
+    url = F.concat("url", F.when(F.col("url").contains("?"), F.lit("&")).otherwise(F.lit("?")), F.lit("Request=GetMap&bbox="), F.concat_ws(",", k % 360 - 180, k % 180 - 90, k * 7 % 360 - 180, k * 11 % 180 - 90), F.lit("&format=png"))
     return table(spark, d, "pages").select("page_id", parse(url).alias("b")).select("page_id", "b.xmin", "b.ymin", "b.xmax", "b.ymax")
 
 

@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrane.functions.geometry import LINESTRING, MULTILINESTRING, MULTIPOINT, MULTIPOLYGON, POINT, POLYGON, SCHEMA
 from terrane.functions.pieces import nested, ring_area
@@ -194,3 +195,41 @@ def from_wkb(df: DataFrame, column: str, to: str) -> DataFrame:
         return pd.DataFrame([decode_wkb(bytes(v)) if v is not None else empty for v in s], columns=list(empty))
 
     return df.withColumn(to, decode(column))
+
+
+def encode_wkb(gtype: int, parts: list[list[dict]]) -> bytes:
+    """Well-known binary (little-endian) of points, lines, polygons and their
+    collections of one kind."""
+    pairs = lambda p: b"".join(struct.pack("<2d", v["x"], v["y"]) for v in p)
+    head = lambda kind, n=None: struct.pack("<BI", 1, kind) + (b"" if n is None else struct.pack("<I", n))
+    rings = lambda ps: b"".join(struct.pack("<I", len(p)) + pairs(p) for p in ps)
+    if gtype == POINT:
+        return head(1) + pairs(parts[0])
+    if gtype == LINESTRING:
+        return head(2, len(parts[0])) + pairs(parts[0])
+    if gtype == POLYGON:
+        return head(3, len(parts)) + rings(parts)
+    if gtype == MULTIPOINT:
+        return head(4, len(parts)) + b"".join(head(1) + pairs(p) for p in parts)
+    if gtype == MULTILINESTRING:
+        return head(5, len(parts)) + b"".join(head(2, len(p)) + pairs(p) for p in parts)
+    polygons: list[list[list[dict]]] = []
+    for p in parts:
+        if not polygons or ring_area(np.array([(v["x"], v["y"]) for v in p])) > 0:
+            polygons.append([])
+        polygons[-1].append(p)
+    return head(6, len(polygons)) + b"".join(head(3, len(ps)) + rings(ps) for ps in polygons)
+
+
+def to_wkb(df: DataFrame, column: str, to: str) -> DataFrame:
+    """The frame with a geometry column written as well-known binary; null stays
+    null."""
+    kept = [c for c in df.columns if c != to]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [encode_wkb(g["gtype"], g["parts"]) if g is not None else None for g in batch.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(data, pa.binary())], names=[*kept, to])
+
+    schema = T.StructType([*df.select(*kept).schema.fields, T.StructField(to, T.BinaryType())])
+    return df.mapInArrow(run, schema)
