@@ -24,8 +24,9 @@ only shuffle carries matches.
 
 Defined results: null and empty texts, and texts without a match, give one row
 with 0 matches and null licence; rows that repeat an id all get the matches of
-that id's texts together; ties of Dice
-go to the licence first in order of name; long passages fall to the size bound.
+that id's texts together; ties of Dice go to the licence first in order of name;
+texts of any length are scanned whole (long passages fall to the size bound,
+windows go on); empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ form a table of one row a source; it is accumulated in one small window.
 
 Defined results: null text has size 0; the null source is a source, last in
 order; rows of size 0 are taken 0 times; repeated rows and repeated ids are
-rows of their own (order ties break by a hash of the text); an empty table
-gives an empty result; further columns of the input are ignored.
+rows of their own (order ties break by a hash of the text); texts of any
+length are counted whole; an empty table gives an empty result; further columns
+of the input are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ each row is independent of every other.
 Defined results for odd input: a null or blank text has no words, fails the
 base rule and is not kept; repeated rows are judged one by one; a very long
 text costs one sort of its own windows; columns of the input with clashing
-names are not carried, except ``id_column``.
+names are not carried, except ``id_column``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
