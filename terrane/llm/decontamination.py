@@ -113,9 +113,9 @@ def totals(parts: Iterator[list[str]]) -> Totals:
 
 def stride_of(words: int) -> int:
     """Stride of the passages in which an item of so many words is sought."""
-    stride = 64
+    stride = 32
     while stride < words:
-        stride *= 4
+        stride *= 2
     return stride
 
 
@@ -132,7 +132,7 @@ def build_indexes(ids: list[int], texts: list[str], known: Totals | None = None)
     return out
 
 
-def build_index(ids: list[int], texts: list[str], known: Totals | None = None, stride: int = 64) -> Index | None:
+def build_index(ids: list[int], texts: list[str], known: Totals | None = None, stride: int = 32) -> Index | None:
     codes, first = _codes(texts)
     length = np.diff(first)
     if not len(codes):

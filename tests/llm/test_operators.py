@@ -483,7 +483,7 @@ def test_search_is_full_scoring():
     items = [words(rng.choice([4, 9, 20, 90])) + ". " + words(3) for _ in range(40)]
     texts = [words(rng.choice([0, 5, 100, 700])) + " " + rng.choice(items) + " " + words(rng.choice([0, 200])) for _ in range(40)]
     indexes = decontamination.build_indexes(list(range(40)), items)
-    assert sorted({i.stride for i in indexes}) == [64, 256] and sum(len(i.ids) for i in indexes) == 40
+    assert sorted({i.stride for i in indexes}) == [32, 128] and sum(len(i.ids) for i in indexes) == 40
     codes, first = decontamination._codes(texts)
     total = 0
     for index in indexes:
