@@ -356,7 +356,12 @@ def running_counter(spark, d):
     return r.select("o_orderkey", "counter", F.round("accumulated", 2).alias("accumulated"))
 
 
-@query()
+# An edge of the hull has no point on its right, nor one beyond its ends on its line; corners follow the angle of their edges.
+@query(with_layers("cust", """, p AS (SELECT DISTINCT c_nationkey AS k, x, y FROM cust),
+ e AS (SELECT a.k, a.x, a.y, b.x AS u, b.y AS v FROM p a JOIN p b ON a.k = b.k AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.k = a.k AND ((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) < -1e-9
+   OR (abs((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x)) <= 1e-9 AND ((c.x-a.x)*(b.x-a.x)+(c.y-a.y)*(b.y-a.y) < -1e-9 OR (c.x-b.x)*(b.x-a.x)+(c.y-b.y)*(b.y-a.y) > 1e-9)))))
+ SELECT k AS c_nationkey, row_number() OVER (PARTITION BY k ORDER BY (degrees(atan2(v-y, u-x)) + 450.0 - 1e-9) % 360.0) - 1 AS pos, x, y FROM e""").replace(") , p", "), p"))
 def hull_agg(spark, d):
     return A.hull_agg(customer_points(spark, d), "c_nationkey", "x", "y")
 
@@ -380,7 +385,13 @@ def append_layers(spark, d):
 # --- placement ---------------------------------------------------------------
 
 
-@query()
+# Row by row: the list holds each row's side so far (2: none), the numbers of the earlier boxes in conflict were joined before.
+@query((with_layers("cust", """, b AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) AS i, x AS l0, x + length(c_name)*0.2 AS r0, x - length(c_name)*0.2 AS l1, y AS y0, y + 1.0 AS y1 FROM cust),
+ c AS (SELECT i, k, 0 AS side, l0 AS a, r0 AS e, y0, y1 FROM b UNION ALL SELECT i, k, 1, l1, l1 + (r0 - l0), y0, y1 FROM b),
+ p AS (SELECT c.i, c.side, list({'i': o.i, 's': o.side}) AS hits FROM c JOIN c o ON o.i < c.i AND c.a < o.e AND c.e > o.a AND c.y0 < o.y1 AND c.y1 > o.y0 GROUP BY c.i, c.side),
+ h AS (SELECT b.i, b.k, coalesce(p0.hits, []) AS h0, coalesce(p1.hits, []) AS h1 FROM b LEFT JOIN p p0 ON p0.i = b.i AND p0.side = 0 LEFT JOIN p p1 ON p1.i = b.i AND p1.side = 1),
+ g(i, acc) AS (SELECT CAST(0 AS BIGINT), CAST([] AS INTEGER[]) UNION ALL SELECT h.i, list_append(acc, CASE WHEN len(list_filter(h0, lambda t: acc[t.i] = t.s)) = 0 THEN 0 WHEN len(list_filter(h1, lambda t: acc[t.i] = t.s)) = 0 THEN 1 ELSE 2 END) FROM g JOIN h ON h.i = g.i + 1)
+ SELECT k AS c_custkey, CAST(z.s AS INT) AS side FROM (SELECT unnest(acc) AS s, unnest(range(1, len(acc)+1)) AS i FROM (SELECT acc FROM g ORDER BY i DESC LIMIT 1)) z JOIN b ON b.i = z.i WHERE s < 2""").replace(") , b", "), b")).replace("WITH ", "WITH RECURSIVE ", 1))
 def place_labels(spark, d):
     c = customer_points(spark, d).select("c_custkey", "x", "y", F.length("c_name").cast("double").alias("w"))
     c = c.select("c_custkey", "x", "y", "w", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
