@@ -136,16 +136,18 @@ def sorted_rows(df: DataFrame, by: str, descending: bool = False) -> DataFrame:
 
 
 def hull_points(xy: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Corners of the convex hull, counter-clockwise (monotone chain)."""
+    """Corners of the convex hull, counter-clockwise (monotone chain); points on
+    a straight border, to within rounding, are no corners."""
     pts = sorted(set(xy))
     if len(pts) < 3:
         return pts
-    turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    # Sine of the turn at o, which does not depend on the unit.
+    turn = lambda o, a, b: ((a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])) / (math.dist(o, a) * math.dist(o, b))
     chains = []
     for run in (pts, pts[::-1]):
         chain: list[tuple[float, float]] = []
         for p in run:
-            while len(chain) > 1 and turn(chain[-2], chain[-1], p) <= 0:
+            while len(chain) > 1 and turn(chain[-2], chain[-1], p) <= 1e-12:
                 chain.pop()
             chain.append(p)
         chains.append(chain[:-1])
