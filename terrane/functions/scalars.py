@@ -7,6 +7,8 @@ by the caller where it matters.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -207,29 +209,54 @@ def split_text(s, pattern: str = r"\s+", keep_delimiters: bool = False) -> Colum
     return F.filter(pairs, lambda x: x.isNotNull() & (x != ""))
 
 
-def word_wrap(s, width: int, hyphen: str | None = None) -> Column:
-    """Greedy lines of at most ``width`` characters.  Longer words are cut with
-    a hyphen; a word may also break at the ``hyphen`` marker, which is not shown
-    elsewhere."""
-    words = F.filter(F.split(_col(s), r"\s+"), lambda w: w != "")
-    if hyphen:
-        # The marker splits a word into pieces that are joined again without it.
-        words = F.transform(words, lambda w: F.replace(w, F.lit(hyphen), F.lit("")))
-
-    def pieces(w: Column) -> Column:
-        step = max(1, width - 1)
-        n = F.ceil((F.length(w) - width) / step).cast("int")
-        cut = F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i < n, F.concat(F.substring(w, i * step + 1, F.lit(step)), F.lit("-"))).otherwise(F.substring(w, i * step + 1, F.lit(width))))
-        return F.when(F.length(w) <= width, F.array(w)).otherwise(cut)
-
-    flat = F.flatten(F.transform(words, pieces))
-
-    def add(lines: Column, w: Column) -> Column:
-        last = F.element_at(lines, -1)
-        fits = F.length(last) + 1 + F.length(w) <= width
-        return F.when(F.size(lines) == 0, F.array(w)).when(fits, F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(F.concat_ws(" ", last, w)))).otherwise(F.concat(lines, F.array(w)))
-
-    return F.aggregate(flat, F.array().cast("array<string>"), add)
+def word_wrap(s, width: int, hyphen: str | None = None, justify: bool = False, keep_newlines: bool = False) -> Column:
+    """Greedy lines of at most ``width`` characters.
+
+    A word that is wider than a line is cut with a hyphen.  With a ``hyphen``
+    marker, words may also break where it stands; a hyphen shows where one
+    does, and the marker never shows.  ``justify`` widens the gaps of all lines
+    but the last of a paragraph, from the left.  ``keep_newlines`` makes each
+    line of the text a paragraph (an empty one gives an empty line).
+    """
+    step = max(1, width - 1)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+
+    def pieces(word: Column) -> Column:
+        parts = F.filter(F.split(word, re.escape(hyphen)), lambda p: p != "") if hyphen else F.array(word)
+        return F.transform(parts, lambda p, i: F.struct(p.alias("text"), (i == 0).alias("head"), (i == F.size(parts) - 1).alias("last")))
+
+    def place(state: Column, p: Column) -> Column:
+        line, text = state["line"], p["text"]
+        mark = F.when(p["last"], 0).otherwise(1)
+        joined = F.concat(line, F.when(p["head"] & (line != ""), F.lit(" ")).otherwise(F.lit("")), text)
+        # On a line of its own: cut while what is left, with its hyphen, is too wide.
+        cuts = F.greatest(F.lit(0), F.ceil((F.length(text) + mark - width) / step)).cast("int")
+        heads = F.transform(F.sequence(F.lit(1), cuts), lambda i: F.concat(F.substring(text, (i - 1) * step + 1, F.lit(step)), F.lit("-")))
+        heads = F.when(cuts > 0, heads).otherwise(F.array().cast("array<string>"))
+        ended = F.when(line == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(line, F.when(p["head"], F.lit("")).otherwise(F.lit("-")))))
+        fits = F.length(joined) + mark <= width
+        done = F.when(fits, state["done"]).otherwise(F.concat(state["done"], ended, heads))
+        rest = F.substring(text, cuts * step + 1, F.length(text))
+        return F.struct(done.alias("done"), F.when(fits, joined).otherwise(rest).alias("line"))
+
+    def spread(line: Column) -> Column:
+        words, spare = F.split(line, " "), F.greatest(F.lit(0), F.lit(width) - F.length(line))
+        gaps = F.size(words) - 1
+        share = lambda i: (F.floor(spare / gaps) + F.when(i < spare % gaps, 2).otherwise(1)).cast("int")
+        wide = F.array_join(F.transform(words, lambda w, i: F.when(i < gaps, F.concat(w, F.repeat(F.lit(" "), share(i)))).otherwise(w)), "")
+        return F.when(gaps > 0, wide).otherwise(line)
+
+    def paragraph(text: Column) -> Column:
+        words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+        done = (lambda d: F.transform(d, spread)) if justify else (lambda d: d)
+        last = lambda st: F.when(st["line"] == "", F.array().cast("array<string>")).otherwise(F.array(st["line"]))
+        return F.aggregate(F.flatten(F.transform(words, pieces)), start, place, lambda st: F.concat(done(st["done"]), last(st)))
+
+    if not keep_newlines:
+        return paragraph(_col(s))
+    lines = F.split(F.regexp_replace(_col(s), r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")
+    empty = F.array(F.lit(""))
+    return F.flatten(F.transform(lines, lambda line: F.when(F.trim(F.regexp_replace(line, r"\s", "")) == "", empty).otherwise(paragraph(line))))
 
 
 # --- colours -----------------------------------------------------------------
@@ -275,16 +302,49 @@ def colour_name_rgb(name) -> Column:
     return out
 
 
+def colour_components(text: str) -> tuple[float, ...]:
+    """Red, green, blue (0 .. 1) of a name, ``#rrggbb`` or ``0xrrggbb``, or the
+    four components of ``cmyk(c,m,y,k)``."""
+    known = re.sub(r"\s", "", text).lower()
+    if found := re.fullmatch(r"(?:#|0x)([0-9a-f]{6})", known):
+        return tuple(int(found[1][i : i + 2], 16) / 255 for i in (0, 2, 4))
+    if found := re.fullmatch(r"cmyk\(([^,]+),([^,]+),([^,]+),([^,]+)\)", known):
+        return tuple(float(v) for v in found.groups())
+    if known not in COLOURS:
+        raise ValueError(f"unknown colour: {text}")
+    return tuple(v / 255 for v in COLOURS[known])
+
+
+def _rgb(parts: tuple[float, ...]) -> tuple[float, ...]:
+    """Components of a colour as red, green and blue; black is added to each ink."""
+    return parts if len(parts) == 3 else tuple(1 - min(1.0, ink + parts[3]) for ink in parts[:3])
+
+
 def interpolate_colour(c, points: list[tuple[float, str]]) -> Column:
-    """Hex colour between named colours at break points, along hue, saturation
-    and brightness."""
+    """Colour between the colours at break points.
+
+    Below the first point and from the last one on it is the text given there.
+    Between two CMYK colours it is ``cmyk(c,m,y,k)``, component by component;
+    between others ``0xrrggbb``, along hue, saturation and brightness.
+    """
     import colorsys
 
-    hsb = [(x, colorsys.rgb_to_hsv(*[v / 255 for v in COLOURS[name]])) for x, name in points]
-    h, s, b = (interpolate(c, [(x, v[k]) for x, v in hsb]) for k in range(3))
-    rgb = rgb_from_hsb(h, s, b)
+    if not points or any(b[0] <= a[0] for a, b in zip(points, points[1:], strict=False)):
+        raise ValueError("break points must be in ascending order")
+    c = _col(c)
+    colours = [colour_components(text) for _, text in points]
     two = lambda v: F.lpad(F.hex(round_half_up(v * 255).cast("long")), 2, "0")
-    return F.lower(F.concat(F.lit("#"), two(rgb["r"]), two(rgb["g"]), two(rgb["b"])))
+    out = F.when(c < float(points[0][0]), F.lit(points[0][1]))
+    for (x0, _), (x1, _), low, high in zip(points, points[1:], colours, colours[1:], strict=False):
+        if len(low) == len(high) == 4:
+            mixed = [interpolate(c, [(x0, u), (x1, v)]).cast("float").cast("string") for u, v in zip(low, high, strict=True)]
+            value = F.concat(F.lit("cmyk("), F.concat_ws(",", *mixed), F.lit(")"))
+        else:
+            ends = [colorsys.rgb_to_hsv(*_rgb(v)) for v in (low, high)]
+            rgb = rgb_from_hsb(*[interpolate(c, [(x0, u), (x1, v)]) for u, v in zip(*ends, strict=True)])
+            value = F.concat(F.lit("0x"), F.lower(F.concat(two(rgb["r"]), two(rgb["g"]), two(rgb["b"]))))
+        out = out.when(c < float(x1), value)
+    return F.when(c.isNotNull(), out.otherwise(F.lit(points[-1][1])))
 
 
 # --- time --------------------------------------------------------------------

@@ -44,8 +44,16 @@ def cases():
         (S.total(F.array(F.lit(1.0), F.lit(2.0)), F.lit(4.0)), 7.0),
         (S.lookup(F.create_map(F.lit("a"), F.lit("1")), F.lit("b")), ""),
         (S.ordered_keys(F.create_map(*[F.lit(x) for k in ("b", "10", "2", "a") for x in (k, k)])), ["2", "10", "a", "b"]),
-        (S.interpolate_colour(F.lit(0.0), [(0, "red"), (1, "blue")]), "#ff0000"),
-        (S.interpolate_colour(F.lit(1.0), [(0, "red"), (1, "blue")]), "#0000ff"),
+        (S.interpolate_colour(F.lit(0.0), [(0, "red"), (1, "blue")]), "0xff0000"),
+        (S.interpolate_colour(F.lit(1.0), [(0, "red"), (1, "blue")]), "blue"),
+        (S.interpolate_colour(F.lit(-1.0), [(0, "red"), (1, "blue")]), "red"),
+        (S.interpolate_colour(F.lit(0.5), [(0, "#ff0000"), (1, "0x00ff00")]), "0xffff00"),
+        (S.interpolate_colour(F.lit(0.5), [(0, "cmyk(0,0.5,1,0)"), (1, "cmyk(1,0.5,0,0)")]), "cmyk(0.5,0.5,0.5,0.0)"),
+        (S.interpolate_colour(F.lit(0.0), [(0, "cmyk(0,1,1,0)"), (1, "blue")]), "0xff0000"),
+        (S.word_wrap(F.lit("ex~am~ple of hy~phen~a~tion"), 8, "~"), ["example", "of hy-", "phena-", "tion"]),
+        (S.word_wrap(F.lit("a bb ccc d eee"), 7, justify=True), ["a    bb", "ccc   d", "eee"]),
+        (S.word_wrap(F.lit("a bb\n\nccc dd\n"), 4, keep_newlines=True), ["a bb", "", "ccc", "dd"]),
+        (S.word_wrap(F.lit(" "), 4), []),
         (P.parse_geo(F.lit("33.83S")), -33.83),
         (P.parse_geo(F.lit("148.04E")), 148.04),
         (P.parse_geo(F.lit("42d 11m 47.75s")), 42 + 11 / 60 + 47.75 / 3600),
@@ -90,3 +98,34 @@ def test_window_keeps_aspect():
     assert w.sx == w.sy == 2.0
     assert P.Window.fit((0, 0, 100, 10), (0, 0, 200, 200), distortion=True).sy == 20.0
     assert math.isclose(w.world_scale(), 500.0)
+
+
+def wrapped(text: str, width: int, marker: str) -> list[str]:
+    """The longest run of each word's pieces that fits, tried longest first."""
+    lines, line = [], ""
+    for word in text.split():
+        left, head = [p for p in word.split(marker) if p], True
+        while left:
+            glue = " " if line and head else ""
+            tried = [(n, line + glue + "".join(left[:n]) + "-" * (n < len(left))) for n in range(len(left), 0, -1)]
+            fit = next(((n, t) for n, t in tried if len(t) <= width), None)
+            if fit:
+                line, left = fit[1], left[fit[0] :]
+            elif not line:
+                line, left[0] = left[0][: width - 1] + "-", left[0][width - 1 :]
+            if left:
+                lines.append(line)
+                line = ""
+            head = head and not fit
+    return lines + [line] * bool(line)
+
+
+def test_word_wrap_against_trial(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("ab~") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 8))) for _ in range(200)]
+    for width in (2, 3, 7, 11):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.word_wrap("t", width, "~").alias("lines")).collect()
+        for r in rows:
+            assert r["lines"] == wrapped(r["t"], width, "~"), (r["t"], width)
