@@ -1,7 +1,7 @@
 """World and page coordinates, map projections, and latitude/longitude text.
 
-Projections are closed formulas on the unit sphere or an ellipsoid's semi-major
-axis, from degrees to metres, as Column arithmetic; no datum shift is applied.
+Projections are closed formulas from degrees to metres as Column arithmetic, on
+a sphere (UTM: on the WGS 84 ellipsoid); no datum shift is applied.
 """
 
 from __future__ import annotations
@@ -66,6 +66,92 @@ def _theta(lat: Column) -> Column:
     return F.when(F.abs(F.abs(lat) - math.pi / 2) < 1e-9, lat).otherwise(theta)
 
 
+#: Axis and flattening of the WGS 84 ellipsoid; scale and false easting and northing of UTM.
+AXIS, FLATTENING = 6378137.0, 1 / 298.257223563
+UTM_SCALE, UTM_EAST, UTM_SOUTH = 0.9996, 500_000.0, 10_000_000.0
+
+_N = FLATTENING / (2 - FLATTENING)
+_MERIDIAN = AXIS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+#: Krueger's series to the third order: from the sphere, back to it, and from conformal to geodetic latitude.
+_TO_GRID = (_N / 2 - 2 / 3 * _N**2 + 5 / 16 * _N**3, 13 / 48 * _N**2 - 3 / 5 * _N**3, 61 / 240 * _N**3)
+_FROM_GRID = (_N / 2 - 2 / 3 * _N**2 + 37 / 96 * _N**3, _N**2 / 48 + _N**3 / 15, 17 / 480 * _N**3)
+_GEODETIC = (2 * _N - 2 / 3 * _N**2 - 2 * _N**3, 7 / 3 * _N**2 - 8 / 5 * _N**3, 56 / 15 * _N**3)
+
+
+def _series(terms: tuple[float, ...], xi: Column, eta: Column) -> tuple[Column, Column]:
+    """Corrections to both coordinates on the sphere's transverse cylinder."""
+    north = sum(k * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, k in enumerate(terms, 1))
+    east = sum(k * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, k in enumerate(terms, 1))
+    return north, east
+
+
+def _utm_origin(zone: int, south: bool) -> tuple[float, float]:
+    if not 1 <= zone <= 60:
+        raise ValueError(f"no such UTM zone: {zone}")
+    return zone * 6.0 - 183.0, UTM_SOUTH if south else 0.0
+
+
+def utm_forward(lon, lat, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Easting and northing of degrees; NULL a quarter turn or more off the zone."""
+    lon0, north0 = _utm_origin(zone, south)
+    lam, sine = F.radians(_col(lon) - lon0), F.sin(F.radians(_col(lat)))
+    e = 2 * math.sqrt(_N) / (1 + _N)
+    t = F.sinh(F.atanh(sine) - e * F.atanh(e * sine))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    north, east = _series(_TO_GRID, xi, eta)
+    ok, k = F.cos(lam) > 1e-9, UTM_SCALE * _MERIDIAN
+    return F.when(ok, UTM_EAST + k * (eta + east)), F.when(ok, north0 + k * (xi + north))
+
+
+def utm_inverse(x, y, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Degrees of easting and northing."""
+    lon0, north0 = _utm_origin(zone, south)
+    k = UTM_SCALE * _MERIDIAN
+    xi, eta = (_col(y) - north0) / k, (_col(x) - UTM_EAST) / k
+    north, east = _series(_FROM_GRID, xi, eta)
+    xi, eta = xi - north, eta - east
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    lat = chi + sum(d * F.sin(2 * j * chi) for j, d in enumerate(_GEODETIC, 1))
+    return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + lon0, F.degrees(lat)
+
+
+def definition(text: str) -> tuple[str, dict]:
+    """Name and parameters of a projection: a plain name, or ``+proj=`` text.
+
+    Text may hold lon_0, lat_0, lat_1, lat_2, lat_ts, zone, south, x_0, y_0,
+    k_0 (or k), R (or a), and units=m; ellps, datum, type and no_defs are read
+    and change nothing.  Anything else is an error.
+    """
+    if "proj=" not in text:
+        return text, {}
+    given = dict(word.lstrip("+").partition("=")[::2] for word in text.split())
+    name = given.pop("proj")
+    for ignored in ("ellps", "datum", "type", "no_defs"):
+        given.pop(ignored, None)
+    if given.pop("units", "m") != "m":
+        raise ValueError(f"only metres are known: {text}")
+    par: dict = {"south": True} if given.pop("south", None) is not None else {}
+    if "zone" in given:
+        par["zone"] = int(given.pop("zone"))
+    rename = {"lon_0": "lon0", "k": "k_0", "a": "R"}
+    for key, value in given.items():
+        if key not in ("lon_0", "lat_0", "lat_1", "lat_2", "lat_ts", "x_0", "y_0", "k_0", "k", "R", "a"):
+            raise ValueError(f"unknown parameter {key}: {text}")
+        par[rename.get(key, key)] = float(value)
+    if name in ("longlat", "lonlat", "latlon"):
+        name = "latlong"
+    if name in ("lcc", "aea"):
+        par.setdefault("lat_0", 0.0)
+        par.setdefault("lat_2", par.get("lat_1"))
+    return name, par
+
+
+def _frame(par: dict) -> tuple[float, float, float, dict]:
+    """Scale, false easting and northing, and the other parameters."""
+    rest = {k: v for k, v in par.items() if k not in ("x_0", "y_0", "k_0", "R")}
+    return par.get("k_0", 1.0) * par.get("R", RADIUS) / RADIUS, par.get("x_0", 0.0), par.get("y_0", 0.0), rest
+
+
 def forward(name: str, lon, lat, lon0: float = 0.0, **par) -> tuple[Column, Column]:
     """Projected x, y in metres of degrees."""
     lam, phi, r = F.radians(_col(lon) - lon0), F.radians(_col(lat)), RADIUS
@@ -144,9 +230,24 @@ def inverse(name: str, x, y, lon0: float = 0.0, **par) -> tuple[Column, Column]:
 
 
 def reproject(source: str, target: str, x, y, source_par: dict | None = None, target_par: dict | None = None) -> tuple[Column, Column]:
-    """Inverse of the source, then forward of the target."""
-    lon, lat = inverse(source, x, y, **(source_par or {}))
-    return forward(target, lon, lat, **(target_par or {}))
+    """Inverse of the source, then forward of the target; both by name with
+    parameters, or by ``+proj=`` text."""
+    (source, own), (target, other) = definition(source), definition(target)
+    scale, x0, y0, par = _frame(own | (source_par or {}))
+    x, y = _col(x), _col(y)
+    if source == "utm":
+        lon, lat = utm_inverse(x, y, par["zone"], par.get("south", False))
+    elif source == "latlong":
+        lon, lat = x, y
+    else:
+        lon, lat = inverse(source, (x - x0) / scale, (y - y0) / scale, **par)
+    scale, x0, y0, par = _frame(other | (target_par or {}))
+    if target == "utm":
+        return utm_forward(lon, lat, par["zone"], par.get("south", False))
+    if target == "latlong":
+        return lon, lat
+    px, py = forward(target, lon, lat, **par)
+    return px * scale + x0, py * scale + y0
 
 
 def parse_geo(text) -> Column:

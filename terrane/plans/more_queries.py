@@ -351,3 +351,30 @@ def reproject_roundtrip(spark, d):
         one = there.select("c_custkey", F.lit(name).alias("name"), F.round(x, 5).alias("x"), F.round(y, 5).alias("y"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+#: Krueger's series in SQL: t is the tangent of the conformal latitude.
+UTM_SQL = """, c AS (SELECT c_custkey, x, y, CAST(0.0016792203863837047 AS DOUBLE) AS n, radians(x - 9.0) AS lam, sin(radians(y)) AS s FROM cust WHERE abs(x - 9.0) < 40 AND abs(y) < 84),
+t AS (SELECT *, sinh(atanh(s) - 2*sqrt(n)/(1+n) * atanh(2*sqrt(n)/(1+n) * s)) AS t FROM c),
+g AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam)/sqrt(1+t*t)) AS eta, n/2 - 2*n*n/3 + 5*n*n*n/16 AS a1, 13*n*n/48 - 3*n*n*n/5 AS a2, 61*n*n*n/240 AS a3,
+  0.9996*6378137.0/(1+n)*(1+n*n/4+n*n*n*n/64) AS k FROM t)
+SELECT c_custkey, round(500000 + k*(eta + a1*cos(2*xi)*sinh(2*eta) + a2*cos(4*xi)*sinh(4*eta) + a3*cos(6*xi)*sinh(6*eta)), 1) AS px,
+  round(10000000 + k*(xi + a1*sin(2*xi)*cosh(2*eta) + a2*sin(4*xi)*cosh(4*eta) + a3*sin(6*xi)*cosh(6*eta)), 1) AS py, round(x, 5) AS x, round(y, 5) AS y FROM g"""
+
+
+@query(with_layers("cust", UTM_SQL))
+def reproject_utm(spark, d):
+    """Into UTM zone 32 south and back, by projection text, for longitudes within 40 degrees of its meridian (farther off the series does not hold)."""
+    utm = "+proj=utm +zone=32 +south +datum=WGS84 +units=m +no_defs"
+    points = customer_points(spark, d).filter((F.abs(F.col("x") - 9.0) < 40) & (F.abs("y") < 84))
+    px, py = P.reproject("latlong", utm, "x", "y")
+    there = points.select("c_custkey", px.alias("px"), py.alias("py"))
+    x, y = P.reproject(utm, "+proj=longlat", "px", "py")
+    return there.select("c_custkey", F.round("px", 1).alias("px"), F.round("py", 1).alias("py"), F.round(x, 5).alias("x"), F.round(y, 5).alias("y"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'red' WHEN o_totalprice >= 400000 THEN 'yellow' ELSE '0xff' || lpad(lower(to_hex(CAST(floor(255*((o_totalprice-1000)/399000.0) + 0.5) AS BIGINT))), 2, '0') || '00' END AS colour FROM orders")
+def price_colour(spark, d):
+    """A colour for each order's price, from red to yellow."""
+    colour = S.interpolate_colour(F.col("o_totalprice").cast("double"), [(1000, "red"), (400_000, "yellow")])
+    return table(spark, d, "orders").select("o_orderkey", colour.alias("colour"))

@@ -129,3 +129,21 @@ def test_word_wrap_against_trial(spark):
         rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.word_wrap("t", width, "~").alias("lines")).collect()
         for r in rows:
             assert r["lines"] == wrapped(r["t"], width, "~"), (r["t"], width)
+
+
+def test_projection_text(spark):
+    """Known grid coordinates, and false origins, scale and radius by text."""
+    import pytest
+
+    # The tower of Paris lies at 448,252 east and 5,411,933 north in zone 31.
+    utm = P.reproject("latlong", "+proj=utm +zone=31", F.lit(2.2945), F.lit(48.8582))
+    plain = P.reproject("latlong", "merc", F.lit(10.0), F.lit(20.0))
+    moved = P.reproject("latlong", "+proj=merc +lon_0=0 +k=2 +x_0=100 +y_0=-50", F.lit(10.0), F.lit(20.0))
+    back = P.reproject("+proj=merc +k_0=2 +x_0=100 +y_0=-50", "+proj=longlat", *moved)
+    far = P.reproject("latlong", "+proj=utm +zone=31", F.lit(120.0), F.lit(10.0))
+    row = list(spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate([*utm, *plain, *moved, *back, *far])]).first())
+    assert row[0] == pytest.approx(448_252, abs=20) and row[1] == pytest.approx(5_411_933, abs=20)
+    assert row[4:6] == pytest.approx([2 * row[2] + 100, 2 * row[3] - 50]) and row[6:8] == pytest.approx([10, 20]) and row[8:] == [None, None]
+    for wrong in ("+proj=merc +foo=1", "+proj=merc +units=ft", "+proj=utm +zone=61"):
+        with pytest.raises(ValueError):
+            P.reproject("latlong", wrong, F.lit(1.0), F.lit(2.0))
