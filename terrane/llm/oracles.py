@@ -8,6 +8,11 @@ from terrane.llm.quality_rules import BASE_RULES, RULES, STOP_WORDS, Rule
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 
+#: The crc32 of the bytes of an ASCII column b, bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * length(b)), lambda j: CAST(ascii(b[j // 8 + 1]) >> (j % 8) & 1 AS BIGINT))),
+ lambda c, bit: CASE WHEN (c & 1) <> bit THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"""
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -107,3 +112,85 @@ shr AS (SELECT doc_id, s, template, license, kind, count(*) AS c FROM pb JOIN tb
 m AS (SELECT shr.doc_id, shr.s, license, kind, 2.0 * c / (pn.n + tn.n) AS dice FROM shr JOIN pn ON pn.doc_id = shr.doc_id AND pn.s = shr.s JOIN tn USING (template) WHERE 2.0 * c / (pn.n + tn.n) >= {threshold}),
 f AS (SELECT doc_id, count(DISTINCT s) AS n, min({{'d': -dice, 'l': license, 'k': kind}}) AS b, array_to_string(list_sort(list(DISTINCT license)), ',') AS ls FROM m GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, b.l AS license, b.k AS kind, round(-b.d, 6) AS dice, ls AS licenses FROM documents LEFT JOIN f USING (doc_id)"""
+
+
+def repeated_lines(min_chars: int = 40, min_docs: int = 5) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    space = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+    return f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+k AS (SELECT *, translate(trim(line, {space}), '{upper}', '{lower}') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= {min_chars} GROUP BY key HAVING count(DISTINCT doc_id) >= {min_docs}),
+s AS (SELECT doc_id, i, line, coalesce(doc_id < top, FALSE) AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM s GROUP BY doc_id"""
+
+
+def conversations() -> str:
+    """Rows from the last to the first, the best edits of all four states beside
+    one another: a way is its cost in six digits and its letters, so that the
+    least string is the cheapest and, of those, the ASCII-least."""
+    after = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
+    expects = {0: "u", 1: "u", 2: "a", 3: "u"}
+    role = {"u": "user", "a": "assistant"}
+
+    def way(to: int, cost: str, letter: str, line: str | None) -> str:
+        text = f"f{to}.t" if line is None else f"{line} || CASE WHEN f{to}.t = '' THEN '' ELSE chr(10) || f{to}.t END"
+        return f"{{'k': lpad(CAST(CAST(f{to}.k[1:6] AS INT) + {cost} AS VARCHAR), 6, '0') || '{letter}' || f{to}.k[7:], 't': {text}}}"
+
+    def own(s: int) -> str:
+        ways = [way(s, "3", "D", None)]
+        to = after[s][-1]
+        must = "fault IN ('blank', 'duplicate')"
+        never = "{'k': '900000', 't': ''}"
+        extra = "CAST(fault = 'truncated' AS INT)"
+        ways.append(f"CASE WHEN {must} THEN {never} ELSE {way(to, '2 + ' + extra, 'R', _quoted(role[expects[s]] + ':') + ' || text')} END")
+        kept = f"CASE WHEN {must} THEN {never} WHEN role[1] = '{expects[s]}' THEN {way(to, extra, 'K', 'role || chr(58) || text')}"
+        kept += f" WHEN role[1] = 's' THEN {way(1, extra, 'K', 'role || chr(58) || text')}" if s == 0 else ""
+        ways.append(kept + f" ELSE {never} END")
+        return f"list_sort([{', '.join(ways)}])[1] AS f{s}"
+
+    def inserted(source: str) -> str:
+        now = source
+        for _ in range(3):
+            states = ", ".join(f"list_sort([f{s}, {way(after[s][-1], '2', 'I', _quoted(role[expects[s]] + ':'))}])[1] AS f{s}" for s in range(4))
+            now = f"(SELECT conv_id, i, {states} FROM {now})"
+        return now
+
+    blank = r"NOT regexp_matches(text, '[^\x20\x09-\x0D]')"
+    last = r"regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1)"
+    end = "(SELECT conv_id, max(i) + 1 AS i, {'k': '000000', 't': ''} AS f0, {'k': '900000', 't': ''} AS f1, {'k': '900000', 't': ''} AS f2, {'k': '000000', 't': ''} AS f3 FROM g GROUP BY conv_id)"
+    return rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS b FROM conversations),
+z AS (SELECT * EXCLUDE (b), {CRC32} % 20 AS d FROM o),
+m AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM z WHERE d <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM m),
+g AS (SELECT conv_id, turn, role, text, i, CASE WHEN {blank} THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN {last} NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+ lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS two FROM n),
+w(conv_id, i, f0, f1, f2, f3) AS (SELECT * FROM {inserted(end)}
+ UNION ALL SELECT * FROM {inserted("(SELECT g.conv_id, g.i, " + ", ".join(own(s) for s in range(4)) + " FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i - 1)")}),
+c AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+ count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+r AS (SELECT conv_id, f0 FROM w WHERE i = 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ CAST(coalesce(f0.k[1:6], '0') AS BIGINT) AS cost, coalesce(f0.k[7:], '') AS audit, sha256(coalesce(f0.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN r ON a.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+
+def periodic_runs() -> str:
+    """Every pair of equal words at most a quarter of the text apart; stretches
+    of such pairs of one distance are runs."""
+    return rf"""
+WITH b AS (SELECT doc_id, {WORDS.format("text")} AS w, CAST(doc_id AS VARCHAR) AS b FROM documents),
+h AS (SELECT doc_id, w, len(w) AS n, {CRC32} AS h FROM b),
+a AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM h),
+i AS (SELECT doc_id, w, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda x: CASE WHEN x < a THEN x ELSE a + (x - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END) ELSE range(n) END AS src FROM a),
+v AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(src) AS k, w FROM i),
+x AS MATERIALIZED (SELECT doc_id, n, i, w[k + 1] AS x FROM v),
+e AS (SELECT p.doc_id, p.i, q.i - p.i AS q FROM x p JOIN x q ON p.doc_id = q.doc_id AND p.x = q.x AND q.i > p.i AND q.i - p.i <= p.n // 4),
+g AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e) GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, s, l, min(q) AS q FROM g GROUP BY doc_id, s, l),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+f AS (SELECT doc_id, count(*) AS n_runs, min({{'l': -l, 's': s, 'q': q}}) AS b, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM r GROUP BY doc_id)
+SELECT i.doc_id, CAST(n AS BIGINT) AS n_words, coalesce(n_runs, 0) AS n_runs, b.s AS start, -b.l AS length, b.q AS period, 1000 * -b.l // b.q AS exponent_milli,
+ sha256(coalesce(f.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256 FROM i LEFT JOIN f USING (doc_id) LEFT JOIN kept USING (doc_id)"""

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import decontamination, language_crf, licenses, minhash, mixing, quality_bayes, quality_rules, substring_dedup, suffix_dedup, toxicity
+from terrane.llm import (
+    conversation_repair,
+    decontamination,
+    language_crf,
+    licenses,
+    line_dedup,
+    minhash,
+    mixing,
+    periodic_runs,
+    quality_bayes,
+    quality_rules,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +67,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.op12(table(spark, sf_dir, "conversations"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op13(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -65,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
         "op10_license_scan": op10_license_scan,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
@@ -80,4 +109,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_dedup": oracles.repeated_words(),
         "op9_mixing": oracles.mixing(),
         "op10_license_scan": oracles.licenses(),
+        "op11_periodic_runs": oracles.periodic_runs(),
+        "op12_conversation_repair": oracles.conversations(),
+        "op13_line_dedup": oracles.repeated_lines(),
     }
