@@ -205,6 +205,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op13(docs: DataFrame) -> DataFrame:
-    bitmaps = keep_bitmaps(docs).select(F.col("doc").alias("__doc"), "keep")
+    # Sorted and merged at every size: the bitmaps grow with the documents.
+    bitmaps = keep_bitmaps(docs).select(F.col("doc").alias("__doc"), "keep").hint("merge")
     rows = docs.select("doc_id", "text").join(bitmaps, F.col("doc_id").cast("long") == F.col("__doc"), "left").select("doc_id", "text", "keep")
     return rows.mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
