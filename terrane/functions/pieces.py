@@ -2,9 +2,11 @@
 
 Both sides' edges are cut where they meet, and each piece is inside, outside or
 on the border of the other side.  Predicates and overlays only read that table:
-a piece lies wholly on one side, so its middle speaks for it.  The numpy code
-below works on all pairs of an Arrow batch at once (in runs of ``PRODUCT`` pairs
-of edges, so memory is bounded by that and by one pair of features).
+a piece lies wholly on one side, so its middle speaks for it, and neighbouring
+edges that meet nothing of the other side share one answer.  The numpy code
+below works on all pairs of an Arrow batch at once (in runs of ``EDGES`` edges,
+so memory is bounded by that and by one pair of features); which edges are
+compared is the matter of ``edge_index``.
 
 Polygons are oriented first: outer rings counter-clockwise, holes clockwise, so
 that the inside is on the left of every edge whatever order a source has.
@@ -18,39 +20,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Pairs of edges that are compared at once.
-PRODUCT = 2_000_000
+from terrane.functions.edge_index import Edges, blocks, near_pairs, ranges, rays
+
+#: Edges of pairs that are worked on at once.
+EDGES = 200_000
 #: Nearer than this share of the largest coordinate is on a line.
 NEAR = 1e-11
 #: How a piece lies to the other side (on a border: run the same way, or against it).
 OUTSIDE, INSIDE, SAME, AGAINST = range(4)
 
 
-@dataclass
-class Edges:
-    """Edges of a batch of geometries: ends, row, and first edge of each row."""
-
-    ax: np.ndarray
-    ay: np.ndarray
-    bx: np.ndarray
-    by: np.ndarray
-    first: np.ndarray  # rows + 1
-
-    def slice(self, lo: int, hi: int) -> Edges:
-        a, b = self.first[lo], self.first[hi]
-        return Edges(self.ax[a:b], self.ay[a:b], self.bx[a:b], self.by[a:b], self.first[lo : hi + 1] - a)
-
-    @property
-    def row(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-
-
-def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """start[i], start[i] + 1, ... of each range, one after the other."""
-    ends = np.cumsum(length)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)
-
-
 def vertices(shapes: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """gtype, first part of each row, first vertex of each part, x, y; null rows
     have no parts."""
@@ -85,24 +64,6 @@ def edges(shapes: pa.StructArray, polygons: tuple[int, ...] = (3, 6)) -> Edges:
     return Edges(ax, ay, bx, by, np.searchsorted(row[part], np.arange(len(kind) + 1)))
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of items with equal rows; a, b: first item of each row."""
-    na, nb = np.diff(a), np.diff(b)
-    left = np.repeat(np.arange(a[-1]), np.repeat(nb, na))
-    right = ranges(np.repeat(b[:-1], na), np.repeat(nb, na))
-    return left, right
-
-
-def _runs(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose products stay near ``PRODUCT``."""
-    total = np.concatenate([[0], np.cumsum(np.diff(a) * np.diff(b))])
-    at, n = 0, len(a) - 1
-    while at < n:
-        to = min(n, max(at + 1, int(np.searchsorted(total, total[at] + PRODUCT, "right")) - 1))
-        yield at, to
-        at = to
-
-
 def _cut(e: Edges, at: np.ndarray, u: np.ndarray) -> tuple[Edges, np.ndarray]:
     """Edges cut at places 0 < u < 1 along them, and each piece's edge."""
     n = len(e.ax)
@@ -144,7 +105,7 @@ class Meeting:
 
 def meet(a: Edges, b: Edges) -> Meeting:
     near = NEAR * _scale(a, b)
-    s, t = _product(a.first, b.first)
+    s, t = near_pairs(a, b, near)
     row = a.row[s]
     dx, dy, ex, ey = (a.bx - a.ax)[s], (a.by - a.ay)[s], (b.bx - b.ax)[t], (b.by - b.ay)[t]
     fx, fy = b.ax[t] - a.ax[s], b.ay[t] - a.ay[s]
@@ -165,40 +126,51 @@ def meet(a: Edges, b: Edges) -> Meeting:
     cut_s = np.concatenate([s[hit], s[line], s[line]]), np.concatenate([u[hit], u0, u1])
     cut_t = np.concatenate([t[hit], t[line], t[line]]), np.concatenate([v[hit], v0, v1])
     inner = lambda of, w: tuple(x[(w > 1e-12) & (w < 1 - 1e-12)] for x in (of, w))
-    pieces_a, _ = _cut(a, *inner(*cut_s))
-    pieces_b, _ = _cut(b, *inner(*cut_t))
+    pieces_a, of_a = _cut(a, *inner(*cut_s))
+    pieces_b, of_b = _cut(b, *inner(*cut_t))
+    met_a, met_b = np.zeros(len(a.ax), bool), np.zeros(len(b.ax), bool)
+    met_a[cut_s[0]] = met_b[cut_t[0]] = True
     touch = np.concatenate([np.flatnonzero(hit), *[line[(w >= 0) & (w <= 1)] for w in (u0, u1)]])
     place = np.concatenate([u[hit], *[w[(w >= 0) & (w <= 1)] for w in (u0, u1)]])
     x, y = a.ax[s[touch]] + place * dx[touch], a.ay[s[touch]] + place * dy[touch]
-    return Meeting(pieces_a, sides(pieces_a, b, near), pieces_b, sides(pieces_b, a, near), x, y, row[touch])
+    return Meeting(pieces_a, sides(pieces_a, b, near, met_a[of_a]), pieces_b, sides(pieces_b, a, near, met_b[of_b]), x, y, row[touch])
 
 
-def sides(p: Edges, other: Edges, near: np.ndarray) -> np.ndarray:
-    """How the middle of each piece lies to the other side's edges."""
-    x, y = (p.ax + p.bx) / 2, (p.ay + p.by) / 2
-    inside, border = locate(x, y, p.first, other, near, p.bx - p.ax, p.by - p.ay)
-    return np.where(border > 0, SAME, np.where(border < 0, AGAINST, inside.astype(np.int64)))
+def sides(p: Edges, other: Edges, near: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """How the middle of each piece lies to the other side's edges; pieces that
+    meet none of them and follow one another lie alike."""
+    if not len(p.ax):
+        return np.zeros(0, np.int64)
+    row = p.row
+    shared = ((p.bx[:-1] == p.ax[1:]) & (p.by[:-1] == p.ay[1:])) | ((p.ax[:-1] == p.bx[1:]) & (p.ay[:-1] == p.by[1:]))
+    alike = shared & ~met[1:] & ~met[:-1] & (row[1:] == row[:-1])
+    lead = np.flatnonzero(np.append(True, ~alike))
+    x, y = ((p.ax + p.bx) / 2)[lead], ((p.ay + p.by) / 2)[lead]
+    inside, border = locate(x, y, np.searchsorted(row[lead], np.arange(len(p.first))), other, near, (p.bx - p.ax)[lead], (p.by - p.ay)[lead])
+    side = np.where(border > 0, SAME, np.where(border < 0, AGAINST, inside.astype(np.int64)))
+    return np.repeat(side, np.diff(np.append(lead, len(row))))
 
 
 def locate(x: np.ndarray, y: np.ndarray, first: np.ndarray, other: Edges, near: np.ndarray, dx: np.ndarray | None = None, dy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(inside by the even-odd rule, on the border) of points; the border is 1
     where it runs as (dx, dy) does (or none is given), -1 where it runs against it."""
-    i, t = _product(first, other.first)
-    row = other.row[t]
-    ax, ay, bx, by = other.ax[t], other.ay[t], other.bx[t], other.by[t]
-    px, py = x[i], y[i]
-    ex, ey = bx - ax, by - ay
-    size = np.hypot(ex, ey)
-    cross, dot = ex * (py - ay) - ey * (px - ax), ex * (px - ax) + ey * (py - ay)
-    on = (np.abs(cross) <= near[row] * size) & (dot >= -near[row] * size) & (dot <= (size + near[row]) * size)
-    spans = (ay > py) != (by > py)
-    at = ax + (py - ay) * ex / np.where(ey == 0, 1.0, ey)
-    odd = np.bincount(i[spans & (px < at)], minlength=len(x)) % 2 == 1
-    border = np.zeros(len(x), np.int64)
-    way = np.ones(len(i)) if dx is None else ex * dx[i] + ey * dy[i]
-    # Where a border runs both ways (two parts that touch), the same way is named.
-    for sign in (-1, 1):
-        border[i[on & (way * sign > 0)]] = sign
+    odd, border = np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    other_row = other.row
+    for i, t in rays(x, y, first, other, near):
+        close = near[other_row[t]]
+        ax, ay, bx, by = other.ax[t], other.ay[t], other.bx[t], other.by[t]
+        px, py = x[i], y[i]
+        ex, ey = bx - ax, by - ay
+        size = np.hypot(ex, ey)
+        cross, dot = ex * (py - ay) - ey * (px - ax), ex * (px - ax) + ey * (py - ay)
+        on = (np.abs(cross) <= close * size) & (dot >= -close * size) & (dot <= (size + close) * size)
+        spans = (ay > py) != (by > py)
+        at = ax + (py - ay) * ex / np.where(ey == 0, 1.0, ey)
+        odd ^= np.bincount(i[spans & (px < at)], minlength=len(x)) % 2 == 1
+        way = np.ones(len(i)) if dx is None else ex * dx[i] + ey * dy[i]
+        # Where a border runs both ways (two parts that touch), the same way is named.
+        for sign in (-1, 1):
+            border[i[on & (way * sign > 0)]] = sign
     return odd, border
 
 
@@ -228,7 +200,7 @@ def enclosed(e: Edges) -> np.ndarray:
 
 
 def in_runs(a: Edges, b: Edges) -> Iterator[tuple[int, int, Meeting]]:
-    for lo, hi in _runs(a.first, b.first):
+    for lo, hi in blocks(np.diff(a.first) + np.diff(b.first), EDGES):
         yield lo, hi, meet(a.slice(lo, hi), b.slice(lo, hi))
 
 
@@ -280,15 +252,10 @@ def relations(a: pa.StructArray, b: pa.StructArray) -> dict[str, np.ndarray]:
             continue
         _, part, vertex, x, y = vertices(points)
         first = vertex[part]
-        on_line = np.zeros(0)
         near = NEAR * np.maximum(_scale(shape, shape), 1e-300)
-        inside, border = [], []
-        for lo, hi in _runs(first, shape.first):
-            s = slice(first[lo], first[hi])
-            i, o = locate(x[s], y[s], first[lo : hi + 1] - first[lo], shape.slice(lo, hi), near[lo:hi])
-            inside.append(i), border.append(o)
-        on_line = np.concatenate(border) != 0
-        within = np.concatenate(inside) & ~on_line
+        within, border = locate(x, y, first, shape, near)
+        on_line = border != 0
+        within &= ~on_line
         row = np.repeat(np.arange(rows), np.diff(first))
         polygon = ka == 2
         interior = np.where(polygon[row], within, on_line & ~_at_ends(x, y, row, a if not flip else b))
@@ -408,15 +375,15 @@ def nested(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
 def border_distance(x: np.ndarray, y: np.ndarray, first: np.ndarray, e: Edges) -> np.ndarray:
     """Distance of points from the edges of their row, negative outside."""
     out = np.empty(len(x))
-    for lo, hi in _runs(first, e.first):
-        a, b = first[lo], first[hi]
-        part = e.slice(lo, hi)
-        i, t = _product(first[lo : hi + 1] - a, part.first)
-        px, py = x[a:b][i] - part.ax[t], y[a:b][i] - part.ay[t]
-        ex, ey = (part.bx - part.ax)[t], (part.by - part.ay)[t]
+    count = np.diff(e.first)[np.repeat(np.arange(len(first) - 1), np.diff(first))]
+    start = np.repeat(e.first[:-1], np.diff(first))
+    for a, b in blocks(count):
+        i, t = np.repeat(np.arange(b - a), count[a:b]), ranges(start[a:b], count[a:b])
+        px, py = x[a:b][i] - e.ax[t], y[a:b][i] - e.ay[t]
+        ex, ey = (e.bx - e.ax)[t], (e.by - e.ay)[t]
         u = np.clip((px * ex + py * ey) / (ex * ex + ey * ey), 0, 1)
         far = np.hypot(px - u * ex, py - u * ey)
-        spans = ((part.ay[t] > py + part.ay[t]) != (part.by[t] > py + part.ay[t])) & (px < py * ex / np.where(ey == 0, 1.0, ey))
+        spans = ((e.ay[t] > py + e.ay[t]) != (e.by[t] > py + e.ay[t])) & (px < py * ex / np.where(ey == 0, 1.0, ey))
         begin = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
         odd = np.bincount(i[spans], minlength=b - a) % 2 == 1
         out[a:b] = np.minimum.reduceat(far, begin) * np.where(odd, 1, -1)
