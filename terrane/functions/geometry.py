@@ -224,20 +224,22 @@ def _of_pairs(kind: str, f):
 
 def _relation(name: str, a, b) -> Column:
     def test(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array(pieces.relations(x, y)[name])
+        found = pieces.relations(x, y)[name]
+        return pa.array(found.data, mask=found.mask)
 
     return boxes_meet(a, b) & _of_pairs("boolean", test)(_col(a), _col(b))
 
 
 def contains(a, b) -> Column:
     """a (a polygon or line) holds b: nothing of b is outside, and interiors
-    meet.  Null geometries give null, empty ones null or false."""
+    meet; points hold points as sets do.  Null geometries and collections give
+    null, empty ones null or false."""
     return _relation("contains", a, b)
 
 
 def overlaps(a, b) -> Column:
-    """Two polygons, or two lines, share some interior (a stretch), and each has
-    some of its own."""
+    """Two polygons, or two lines, share some interior (a stretch), or two sets
+    of points a point, and each has some of its own."""
     return _relation("overlaps", a, b)
 
 

@@ -64,7 +64,7 @@ def edges(shapes: pa.StructArray, polygons: tuple[int, ...] = (3, 6)) -> Edges:
     return Edges(ax, ay, bx, by, np.searchsorted(row[part], np.arange(len(kind) + 1)))
 
 
-def _cut(e: Edges, at: np.ndarray, u: np.ndarray) -> tuple[Edges, np.ndarray]:
+def cut_edges(e: Edges, at: np.ndarray, u: np.ndarray) -> tuple[Edges, np.ndarray]:
     """Edges cut at places 0 < u < 1 along them, and each piece's edge."""
     n = len(e.ax)
     edge = np.concatenate([at, np.arange(n), np.arange(n)])
@@ -103,9 +103,20 @@ class Meeting:
     row: np.ndarray
 
 
-def meet(a: Edges, b: Edges) -> Meeting:
-    near = NEAR * _scale(a, b)
-    s, t = near_pairs(a, b, near)
+@dataclass
+class Crossings:
+    """Where edges of two sides meet: places along the edges of each (also
+    outside 0 to 1, on shared lines), and the points."""
+
+    a: tuple[np.ndarray, np.ndarray]  # edge, place
+    b: tuple[np.ndarray, np.ndarray]
+    x: np.ndarray
+    y: np.ndarray
+    row: np.ndarray
+
+
+def crossings(a: Edges, b: Edges, s: np.ndarray, t: np.ndarray, near: np.ndarray) -> Crossings:
+    """Where edge s[i] of a and edge t[i] of b meet."""
     row = a.row[s]
     dx, dy, ex, ey = (a.bx - a.ax)[s], (a.by - a.ay)[s], (b.bx - b.ax)[t], (b.by - b.ay)[t]
     fx, fy = b.ax[t] - a.ax[s], b.ay[t] - a.ay[s]
@@ -123,17 +134,31 @@ def meet(a: Edges, b: Edges) -> Meeting:
     back = lambda px, py: ((px * ex[line] + py * ey[line]) / tq)
     u0, u1 = along(fx[line], fy[line]), along(fx[line] + ex[line], fy[line] + ey[line])
     v0, v1 = back(-fx[line], -fy[line]), back(dx[line] - fx[line], dy[line] - fy[line])
-    cut_s = np.concatenate([s[hit], s[line], s[line]]), np.concatenate([u[hit], u0, u1])
-    cut_t = np.concatenate([t[hit], t[line], t[line]]), np.concatenate([v[hit], v0, v1])
-    inner = lambda of, w: tuple(x[(w > 1e-12) & (w < 1 - 1e-12)] for x in (of, w))
-    pieces_a, of_a = _cut(a, *inner(*cut_s))
-    pieces_b, of_b = _cut(b, *inner(*cut_t))
-    met_a, met_b = np.zeros(len(a.ax), bool), np.zeros(len(b.ax), bool)
-    met_a[cut_s[0]] = met_b[cut_t[0]] = True
     touch = np.concatenate([np.flatnonzero(hit), *[line[(w >= 0) & (w <= 1)] for w in (u0, u1)]])
     place = np.concatenate([u[hit], *[w[(w >= 0) & (w <= 1)] for w in (u0, u1)]])
-    x, y = a.ax[s[touch]] + place * dx[touch], a.ay[s[touch]] + place * dy[touch]
-    return Meeting(pieces_a, sides(pieces_a, b, near, met_a[of_a]), pieces_b, sides(pieces_b, a, near, met_b[of_b]), x, y, row[touch])
+    return Crossings(
+        (np.concatenate([s[hit], s[line], s[line]]), np.concatenate([u[hit], u0, u1])),
+        (np.concatenate([t[hit], t[line], t[line]]), np.concatenate([v[hit], v0, v1])),
+        a.ax[s[touch]] + place * dx[touch],
+        a.ay[s[touch]] + place * dy[touch],
+        row[touch],
+    )
+
+
+def inner(of: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places that cut an edge."""
+    cut = (w > 1e-12) & (w < 1 - 1e-12)
+    return of[cut], w[cut]
+
+
+def meet(a: Edges, b: Edges) -> Meeting:
+    near = NEAR * _scale(a, b)
+    c = crossings(a, b, *near_pairs(a, b, near), near)
+    pieces_a, of_a = cut_edges(a, *inner(*c.a))
+    pieces_b, of_b = cut_edges(b, *inner(*c.b))
+    met_a, met_b = np.zeros(len(a.ax), bool), np.zeros(len(b.ax), bool)
+    met_a[c.a[0]] = met_b[c.b[0]] = True
+    return Meeting(pieces_a, sides(pieces_a, b, near, met_a[of_a]), pieces_b, sides(pieces_b, a, near, met_b[of_b]), c.x, c.y, c.row)
 
 
 def sides(p: Edges, other: Edges, near: np.ndarray, met: np.ndarray) -> np.ndarray:
@@ -211,7 +236,8 @@ def _any(row: np.ndarray, where: np.ndarray, rows: int) -> np.ndarray:
 
 
 def relations(a: pa.StructArray, b: pa.StructArray) -> dict[str, np.ndarray]:
-    """``contains`` (b in a), ``overlaps`` and ``crosses`` of each pair."""
+    """``contains`` (b in a), ``overlaps`` and ``crosses`` of each pair; masked
+    where a side is a collection or null."""
     ea, eb = edges(a), edges(b)
     rows = len(ea.first) - 1
     kinds = [np.select([np.isin(k, (3, 6)), np.isin(k, (2, 5)), np.isin(k, (1, 4))], [2, 1, 0], -1) for k in (vertices(a)[0], vertices(b)[0])]
@@ -239,11 +265,8 @@ def relations(a: pa.StructArray, b: pa.StructArray) -> dict[str, np.ndarray]:
         out["contains"][lo:hi] |= lines & on("b") & ~outer("b")
         if lines.any():
             near = NEAR * _scale(ea.slice(lo, hi), eb.slice(lo, hi))[m.row] * 10
-            inner = np.ones(len(m.x), bool)
-            for side, e in ((a, ea), (b, eb)):
-                for px, py in _ends(side.slice(lo, n)):
-                    inner &= np.hypot(m.x - px[m.row], m.y - py[m.row]) > near
-            out["crosses"][lo:hi] |= lines & _any(m.row, inner, n) & ~on("a")
+            inside = ~_at_ends(m.x, m.y, m.row, a.slice(lo, n), near) & ~_at_ends(m.x, m.y, m.row, b.slice(lo, n), near)
+            out["crosses"][lo:hi] |= lines & _any(m.row, inside, n) & ~on("a")
     for (ka, kb), flip in (((kinds[0], kinds[1]), False), ((kinds[1], kinds[0]), True)):
         # Points against lines and polygons.
         points, shape = (b, ea) if not flip else (a, eb)
@@ -264,42 +287,64 @@ def relations(a: pa.StructArray, b: pa.StructArray) -> dict[str, np.ndarray]:
         out["crosses"] |= pick & some & free
         if not flip:
             out["contains"] |= pick & some & ~free
-    return out
+    both = (kinds[0] == 0) & (kinds[1] == 0)
+    if both.any():
+        # Points and points: as sets.
+        sets = []
+        for shapes in (a, b):
+            _, part, vertex, x, y = vertices(shapes)
+            row = np.repeat(np.arange(rows), np.diff(vertex[part]))
+            sets.append(np.unique(np.stack([row, x, y], axis=1), axis=0) if len(row) else np.zeros((0, 3)))
+        every, times = np.unique(np.concatenate(sets), axis=0, return_counts=True)
+        shared = np.bincount(every[times > 1][:, 0].astype(np.int64), minlength=rows)
+        own = [np.bincount(v[:, 0].astype(np.int64), minlength=rows) for v in sets]
+        out["contains"] |= both & (own[1] > 0) & (shared == own[1])
+        out["overlaps"] |= both & (shared > 0) & (shared < own[0]) & (shared < own[1])
+    known = (kinds[0] >= 0) & (kinds[1] >= 0)
+    return {name: np.ma.array(v, mask=~known) for name, v in out.items()}
+
+
+def _ends(shapes: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, x, y) of the ends of lines: the first and last vertices of parts
+    that occur an odd number of times among them."""
+    _, part, vertex, x, y = vertices(shapes)
+    row = np.repeat(np.arange(len(part) - 1), np.diff(part))
+    has = np.diff(vertex) > 0
+    at = np.concatenate([vertex[:-1][has], vertex[1:][has] - 1])
+    ends = np.stack([np.tile(row[has], 2), x[at], y[at]], axis=1) if len(at) else np.zeros((0, 3))
+    ends, times = np.unique(ends, axis=0, return_counts=True)
+    ends = ends[times % 2 == 1]
+    return ends[:, 0].astype(np.int64), ends[:, 1], ends[:, 2]
 
 
-def _ends(shapes: pa.StructArray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """First and last vertex of each row's first and last part; closed lines have none."""
-    _, part, vertex, x, y = vertices(shapes)
-    n = len(part) - 1
-    has = (np.diff(part) > 0) & (vertex[part[1:]] > vertex[part[:-1]])
-    lo, hi = np.where(has, vertex[part[:-1]], 0), np.where(has, vertex[part[1:]] - 1, 0)
-    if not len(x):
-        return [(np.full(n, np.nan), np.full(n, np.nan))]
-    open_ = has & ((x[lo] != x[hi]) | (y[lo] != y[hi]))
-    # Not a number is far from every point.
-    return [(np.where(open_, x[k], np.inf), np.where(open_, y[k], np.inf)) for k in (lo, hi)]
+def _by_row(row: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in row, place in other) of equal rows; other is sorted."""
+    lo, hi = np.searchsorted(other, row, "left"), np.searchsorted(other, row, "right")
+    return np.repeat(np.arange(len(row)), hi - lo), ranges(lo, hi - lo)
 
 
-def _at_ends(x: np.ndarray, y: np.ndarray, row: np.ndarray, shapes: pa.StructArray) -> np.ndarray:
+def _at_ends(x: np.ndarray, y: np.ndarray, row: np.ndarray, shapes: pa.StructArray, near: np.ndarray | float = 0.0) -> np.ndarray:
+    """Points that are ends of their row's lines."""
+    of, ex, ey = _ends(shapes)
+    i, k = _by_row(row, of)
     out = np.zeros(len(x), bool)
-    for px, py in _ends(shapes):
-        out |= (x == px[row]) & (y == py[row])
+    out[i[np.hypot(x[i] - ex[k], y[i] - ey[k]) <= (near if np.isscalar(near) else near[i])]] = True
     return out
 
 
 def chained(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, snap: float = 1e-9) -> list[np.ndarray]:
     """Closed rings (n x 2 arrays) of one row's directed edges.
 
-    Ends within ``snap`` of the largest coordinate are one point: points are
-    joined to the nearest earlier one in order of x, so no rounding border parts
-    them.  Where several ways lead on, the leftmost turn is taken, which keeps
+    Ends within ``snap`` of the edges' extent (or what doubles can tell apart at
+    their coordinates) are one point: points are joined to the nearest earlier
+    one in order of x, so no rounding border parts them.  Where several ways lead on, the leftmost turn is taken, which keeps
     rings that touch in a point apart.  Edges that close no ring raise an error.
     """
     n = len(ax)
     if not n:
         return []
     x, y = np.concatenate([ax, bx]), np.concatenate([ay, by])
-    near = snap * max(1e-300, float(np.abs(x).max()), float(np.abs(y).max()))
+    near = max(1e-300, snap * float(max(np.ptp(x), np.ptp(y))), 2e-15 * float(max(np.abs(x).max(), np.abs(y).max())))
     order = np.argsort(x, kind="stable")
     node = np.full(2 * n, -1)
     for k, i in enumerate(order):

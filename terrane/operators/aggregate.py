@@ -59,7 +59,8 @@ def scale_to_max(df: DataFrame, keys: list[str], value: str, size: float) -> Dat
 
 def nice_axis(low: float, high: float, intervals: int) -> list[float]:
     """Tick values at 1, 2 or 5 times a power of ten: the least spacing that
-    covers the range with at most so many intervals."""
+    covers the range with at most so many intervals.  One interval over a range
+    with 0 inside is twice such a spacing wide, with 0 in its middle."""
     if not high > low:
         raise ValueError("the range is empty")
     if not 1 <= intervals <= 10_000:
@@ -68,7 +69,11 @@ def nice_axis(low: float, high: float, intervals: int) -> list[float]:
     while True:
         for factor in (1, 2, 5):
             step = factor * 10.0**power
-            first, last = math.floor(low / step + 1e-9), math.ceil(high / step - 1e-9)
+            # What a step may fail to cover by rounding, never more than a share of the range itself.
+            slack = 1e-9 * min(1.0, (high - low) / step)
+            first, last = math.floor(low / step + slack), math.ceil(high / step - slack)
+            if intervals == 1 and first == -1 and last == 1:
+                return [-step, step]
             if last - first <= intervals:
                 return [k * step for k in range(first, last + 1)]
         power += 1

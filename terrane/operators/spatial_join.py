@@ -71,13 +71,14 @@ def pip_join(points: DataFrame, x: str, y: str, polys: DataFrame, geom: str, how
     """Points with the polygons that strictly contain them.
 
     first_by: of several polygons of a point, the one with the least value of
-    this column.  how: inner, left, semi or anti (the last three need point_id).
+    this column (and, of equal ones, of the other columns in order).  how: inner, left, semi or anti (the last three need point_id).
     """
     base = base or base_size(polys, _bounds(F.col(geom)))
     pairs = point_candidates(points, x, y, polys, geom, base).filter(G.contains_point(geom, x, y))
     if first_by:
         attributes = F.struct(*polys.columns)
-        best = pairs.groupBy(point_id).agg(F.min_by(attributes, first_by).alias("__first"))
+        rank = F.struct(first_by, *[c for c, kind in polys.dtypes if c != first_by and "map<" not in kind])
+        best = pairs.groupBy(point_id).agg(F.min_by(attributes, rank).alias("__first"))
         pairs = points.join(best, point_id).select(*points.columns, *[F.col(f"__first.{c}").alias(c) for c in polys.columns])
     if how == "inner":
         return pairs
@@ -122,7 +123,12 @@ def predicate_join(left: DataFrame, left_geom: str, right: DataFrame, right_geom
 
 def within_distance(left: DataFrame, lx: str, ly: str, right: DataFrame, rx: str, ry: str, distance: float) -> DataFrame:
     """Pairs of points at most ``distance`` apart: cells of that size, each left
-    point in its own, each right point in its own and the eight around."""
+    point in its own, each right point in its own and the eight around.  At
+    distance 0: pairs of equal points."""
+    if distance < 0:
+        raise ValueError("the distance is negative")
+    if distance == 0:
+        return left.join(right, (F.col(lx) == F.col(rx)) & (F.col(ly) == F.col(ry)))
     cell = lambda c: F.floor(F.col(c) / distance).cast("long")
     around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
     a = left.withColumns({"__cx": cell(lx), "__cy": cell(ly)})

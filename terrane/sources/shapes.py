@@ -199,7 +199,14 @@ def from_wkb(df: DataFrame, column: str, to: str) -> DataFrame:
 
 def encode_wkb(gtype: int, parts: list[list[dict]]) -> bytes:
     """Well-known binary (little-endian) of points, lines, polygons and their
-    collections of one kind."""
+    collections of one kind; an empty point has coordinates that are no numbers.
+    Mixed collections have no members in the geometry column and are refused."""
+    if gtype not in (POINT, LINESTRING, POLYGON, MULTIPOINT, MULTILINESTRING, MULTIPOLYGON):
+        raise ValueError(f"no well-known binary of geometry type {gtype}")
+    if gtype == POINT and not parts:
+        parts = [[{"x": float("nan"), "y": float("nan")}]]
+    if gtype == LINESTRING and not parts:
+        parts = [[]]
     pairs = lambda p: b"".join(struct.pack("<2d", v["x"], v["y"]) for v in p)
     head = lambda kind, n=None: struct.pack("<BI", 1, kind) + (b"" if n is None else struct.pack("<I", n))
     rings = lambda ps: b"".join(struct.pack("<I", len(p)) + pairs(p) for p in ps)
