@@ -14,10 +14,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
+from terrane.workspace import Workspace
 
 #: Levels are powers of two times the base size, within these exponents.
 LEVELS = (-10, 14)
@@ -45,7 +48,10 @@ def with_cells(df: DataFrame, bounds: tuple[Column, Column, Column, Column], bas
 def base_size(df: DataFrame, bounds: tuple[Column, Column, Column, Column]) -> float:
     """Median width of the boxes, as a power of two (one pass)."""
     x0, y0, x1, y1 = bounds
-    width = df.agg(F.percentile_approx(F.greatest(x1 - x0, y1 - y0), 0.5, 100)).first()[0]
+    return _power(df.agg(F.percentile_approx(F.greatest(x1 - x0, y1 - y0), 0.5, 100)).first()[0])
+
+
+def _power(width: float | None) -> float:
     return 2.0 ** math.ceil(math.log2(width)) if width and width > 0 and math.isfinite(width) else 1.0
 
 
@@ -53,28 +59,118 @@ def _bounds(g: Column) -> tuple[Column, Column, Column, Column]:
     return g["xmin"], g["ymin"], g["xmax"], g["ymax"]
 
 
-def point_candidates(points: DataFrame, x: str, y: str, polys: DataFrame, geom: str, base: float) -> DataFrame:
-    """Pairs of points and polygons whose boxes hold them; columns must differ."""
-    cells = with_cells(polys, _bounds(F.col(geom)), base)
-    # The levels in use are a fixed few numbers.
-    levels = sorted(r[0] for r in cells.select("__level").distinct().collect())
-    if not levels:
-        levels = [0]
-    dealt = points.withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels])))
-    dealt = dealt.withColumns({"__cx": _cell(F.col(x), F.col("__level"), base), "__cy": _cell(F.col(y), F.col("__level"), base)})
+#: The lowest level of a polygon's own cells (see ``LEVELS``).
+LOWEST_CELL = -20
+#: Polygons of no more vertices are compared whole.
+FEW = 64
+
+
+def _strictly_inside(x: pa.Array, y: pa.Array, x0: pa.Array, y0: pa.Array, corner: pa.Array, edges: pa.Array) -> pa.Array:
+    """Points inside, by the edges that a straight way from their cell's corner
+    crosses, and on none of the edges.  What touches the way counts on one side
+    of it, and edges are taken upwards (level ones to the left), so that a corner
+    on an edge lies on the side that ``cells_inside`` takes it to be on."""
+    count = edges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ax, ay, bx, by = (f.to_numpy(zero_copy_only=False) for f in edges.flatten().flatten())
+    down = (by < ay) | ((by == ay) & (bx > ax))
+    ax, bx = np.where(down, bx, ax), np.where(down, ax, bx)
+    ay, by = np.where(down, by, ay), np.where(down, ay, by)
+    row = np.repeat(np.arange(len(count)), count)
+    px, py, rx, ry = (v.to_numpy(zero_copy_only=False)[row] for v in (x, y, x0, y0))
+    beside = lambda ux, uy, vx, vy, qx, qy: (vx - ux) * (qy - uy) - (vy - uy) * (qx - ux)
+    parted = (beside(rx, ry, px, py, ax, ay) > 0) != (beside(rx, ry, px, py, bx, by) > 0)
+    at = beside(ax, ay, bx, by, px, py)
+    crossed = parted & ((beside(ax, ay, bx, by, rx, ry) > 0) != (at > 0))
+    on = (at == 0) & (px >= np.minimum(ax, bx)) & (px <= np.maximum(ax, bx)) & (py >= np.minimum(ay, by)) & (py <= np.maximum(ay, by))
+    n = len(count)
+    odd = (np.bincount(row[crossed], minlength=n) % 2 == 1) ^ corner.to_numpy(zero_copy_only=False)
+    return pa.array(odd & (np.bincount(row[on], minlength=n) == 0))
+
+
+def _whole_cells(polys: DataFrame, geom: str, key: str, base: float) -> DataFrame:
+    """Small polygons as ``cells_inside``: the cells of their boxes, with all
+    their edges and a point outside in place of the corner."""
     g = F.col(geom)
-    inside = (F.col(x) >= g["xmin"]) & (F.col(x) <= g["xmax"]) & (F.col(y) >= g["ymin"]) & (F.col(y) <= g["ymax"])
-    return dealt.join(cells, ["__level", "__cx", "__cy"]).filter(inside).drop("__level", "__cx", "__cy")
+    boxed = polys.filter(F.size(g["parts"]) > 0).select(key, *[g[c].alias(f"__{c}") for c in ("xmin", "ymin", "xmax", "ymax")], G.segments(geom).alias("__edges"))
+    bounds = tuple(F.col(f"__{c}") for c in ("xmin", "ymin", "xmax", "ymax"))
+    outside = {"__rx": 2 * bounds[0] - bounds[2] - 1, "__ry": bounds[1] - (bounds[3] - bounds[1]) * 0.37 - 1}
+    return with_cells(boxed, bounds, base).select(key, "__level", "__cx", "__cy", F.lit(False).alias("__corner"), "__edges", *[v.alias(k) for k, v in outside.items()])
+
+
+def cells_inside(polys: DataFrame, geom: str, key: str, base: float) -> DataFrame:
+    """Polygons as square cells: key, __level, __cx, __cy, whether the cell's
+    lower left corner (__rx, __ry) is inside, and the edges that enter the cell
+    (null: none, so the whole cell is inside).  Cells outside have no row.
+
+    A polygon of n edges has about n cells, which are at least as wide as edges
+    are on average: a long border touches few of them, so most points of a large
+    polygon meet no edges at all.  Corners are told by counting the edges right
+    of them, row by row of cells.
+    """
+    g, half = F.col(geom), 2.0
+    whole = polys.filter(F.size(g["parts"]) > 0).select(key, g["xmin"].alias("__x0"), g["ymin"].alias("__y0"), g["xmax"].alias("__x1"), g["ymax"].alias("__y1"), G.segments(geom).alias("__s"))
+    edges = whole.select("*", F.explode("__s").alias("__e")).drop("__s").select("*", "__e.*")
+    long = F.abs(F.col("bx") - F.col("ax")) + F.abs(F.col("by") - F.col("ay"))
+    sizes = edges.groupBy(key).agg(F.count("*").alias("__n"), F.sum(long).alias("__long"), F.first("__x0").alias("__x0"), F.first("__y0").alias("__y0"), F.first("__x1").alias("__x1"), F.first("__y1").alias("__y1"))
+    width = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"))
+    fit = F.greatest(half * width / F.sqrt("__n"), F.col("__long") / F.col("__n"), F.lit(base * 2.0**LOWEST_CELL))
+    level = F.least(F.greatest(F.ceil(F.log2(F.least(fit, F.greatest(width, F.lit(base * 2.0**LOWEST_CELL))) / base)), F.lit(LOWEST_CELL)), F.lit(LEVELS[1])).cast("int")
+    sizes = sizes.select(key, level.alias("__level"), "__x0", "__y0", "__x1", "__y1").withColumn("__s", F.lit(base) * F.pow(F.lit(2.0), F.col("__level")))
+    edges = edges.select(key, "ax", "ay", "bx", "by").join(sizes, key)
+    at = lambda c: F.floor(c / F.col("__s")).cast("long")
+    low, high, slope = F.least("ay", "by"), F.greatest("ay", "by"), (F.col("bx") - F.col("ax")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0))
+    rows = edges.withColumn("__cy", F.explode(F.sequence(at(low), at(high))))
+    # Where the edge enters and leaves the row of cells, with room for rounding.
+    bottom, room = F.col("__cy") * F.col("__s"), F.col("__s") * 1e-9
+    over = lambda y: F.col("ax") + (F.least(F.greatest(y, low), high) - F.col("ay")) * slope
+    p, q = F.coalesce(over(bottom), F.col("ax")), F.coalesce(over(bottom + F.col("__s")), F.col("bx"))
+    touched = rows.withColumn("__cx", F.explode(F.sequence(at(F.least(p, q) - room), at(F.greatest(p, q) + room))))
+    cell = [key, "__level", "__cx", "__cy"]
+    lists = touched.groupBy(*cell).agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("__edges"))
+    # An edge that crosses the row's lower line is right of all corners before it.
+    cross = F.col("ax") + (bottom - F.col("ay")) * slope
+    steps = rows.filter((F.col("ay") > bottom) != (F.col("by") > bottom)).select(key, "__level", (F.ceil(cross / F.col("__s")) - 1).cast("long").alias("__cx"), "__cy", F.lit(1).alias("step"))
+    every = sizes.withColumn("__cy", F.explode(F.sequence(at(F.col("__y0")), at(F.col("__y1"))))).withColumn("__cx", F.explode(F.sequence(at(F.col("__x0")) - 1, at(F.col("__x1")) + 1)))
+    summed = steps.unionByName(every.select(key, "__level", "__cx", "__cy", F.lit(0).alias("step"))).groupBy(*cell).agg(F.sum("step").alias("step"))
+    beyond = Window.partitionBy(key, "__level", "__cy").orderBy(F.desc("__cx"))
+    corners = summed.select(*cell, (F.sum("step").over(beyond) % 2 == 1).alias("__corner"))
+    size = F.lit(base) * F.pow(F.lit(2.0), F.col("__level"))
+    return corners.join(lists, cell, "left").filter("__corner or __edges is not null").select(*cell, "__corner", "__edges", (F.col("__cx") * size).alias("__rx"), (F.col("__cy") * size).alias("__ry"))
 
 
 def pip_join(points: DataFrame, x: str, y: str, polys: DataFrame, geom: str, how: str = "inner", point_id: str | None = None, first_by: str | None = None, base: float | None = None) -> DataFrame:
     """Points with the polygons that strictly contain them.
 
     first_by: of several polygons of a point, the one with the least value of
-    this column (and, of equal ones, of the other columns in order).  how: inner, left, semi or anti (the last three need point_id).
+    this column (and, of equal ones, of the other columns in order).  how: inner,
+    left, semi or anti (the last three need point_id).
+
+    Polygons are numbered and written; points meet their cells (``cells_inside``)
+    in an equi-join, are tested in Arrow batches, and only found pairs are joined to
+    the polygons' rows.
     """
-    base = base or base_size(polys, _bounds(F.col(geom)))
-    pairs = point_candidates(points, x, y, polys, geom, base).filter(G.contains_point(geom, x, y))
+    spark = points.sparkSession
+    ws = Workspace(spark, "points-in-polygons")
+    numbered = ws.keep(polys.withColumn("__poly", F.monotonically_increasing_id()), "polygons")
+    g = F.col(geom)
+    vertices = F.aggregate(F.transform(g["parts"], F.size), F.lit(0), lambda a, n: a + n)
+    width, most = numbered.agg(F.percentile_approx(F.greatest(g["xmax"] - g["xmin"], g["ymax"] - g["ymin"]), 0.5, 100), F.max(vertices)).first()
+    base = base or _power(width)
+    cells = _whole_cells(numbered.filter(vertices <= FEW), geom, "__poly", base)
+    if most and most > FEW:
+        cells = cells.unionByName(cells_inside(numbered.filter(vertices > FEW), geom, "__poly", base))
+    cells = ws.keep(cells, "cells")
+    # The levels in use are a fixed few numbers.
+    levels = sorted(r[0] for r in cells.select("__level").distinct().collect()) or [0]
+    dealt = points.withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels])))
+    dealt = dealt.withColumns({"__cx": _cell(F.col(x), F.col("__level"), base), "__cy": _cell(F.col(y), F.col("__level"), base)})
+    met = dealt.join(cells, ["__level", "__cx", "__cy"])
+    test = F.arrow_udf("boolean")(_strictly_inside).asNondeterministic()
+    found = test(F.col(x).cast("double"), F.col(y).cast("double"), "__rx", "__ry", "__corner", "__edges")
+    pairs = met.filter(found).select(*points.columns, "__poly")
+    if how in ("semi", "anti"):
+        return points.join(pairs.select(point_id), point_id, f"left_{how}")
+    pairs = pairs.join(numbered, "__poly").drop("__poly")
     if first_by:
         attributes = F.struct(*polys.columns)
         rank = F.struct(first_by, *[c for c, kind in polys.dtypes if c != first_by and "map<" not in kind])
@@ -82,8 +178,6 @@ def pip_join(points: DataFrame, x: str, y: str, polys: DataFrame, geom: str, how
         pairs = points.join(best, point_id).select(*points.columns, *[F.col(f"__first.{c}").alias(c) for c in polys.columns])
     if how == "inner":
         return pairs
-    if how in ("semi", "anti"):
-        return points.join(pairs.select(point_id), point_id, f"left_{how}")
     found = pairs.select(point_id, *polys.columns)
     return points.join(found, point_id, "left")
 

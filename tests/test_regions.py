@@ -227,3 +227,25 @@ def test_binary_of_odd_values():
     with pytest.raises(ValueError):
         S.encode_wkb(7, [[{"x": 1.0, "y": 2.0}]])
     assert len(S.encode_wkb(1, [])) == 21
+
+
+def test_banded_points(spark):
+    """Points on a grid against a ring of many corners, holes and small polygons, borders included."""
+    rng = np.random.default_rng(2)
+    big, hole = star(rng, 2000, 4, 4, 3, 5), star(rng, 50, 4, 4, 1, 2)[::-1]
+    rows = [(0, shape(3, big, hole)), (1, shape(3, [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)])), (2, shape(6, [(5, 5), (6, 5), (6, 6), (5, 6), (5, 5)], [(7, 7), (8, 7), (7, 8), (7, 7)])), (3, None), (1, shape(3, [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]))]
+    polys = spark.createDataFrame(rows, "code int, g struct<gtype:int,parts:array<array<struct<x:double,y:double>>>>").withColumn("g", F.when(F.col("g").isNotNull(), G.geometry(F.col("g.gtype"), F.col("g.parts"))))
+    x, y = (v.reshape(-1) for v in np.meshgrid(np.arange(0, 9, 0.25), np.arange(0, 9, 0.25)))
+    points = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))] + [(-1, None, 1.0)], "id int, x double, y double")
+    got = sorted((r.id, r.code) for r in J.pip_join(points, "x", "y", polys, "g").collect())
+    want = []
+    for code, s in rows:
+        if s:
+            rings = [np.array([(v["x"], v["y"]) for v in p]) for p in s["parts"]]
+            ok = inside([rings], x, y) & (distance(rings, x, y) > 0)
+            want += [(k, code) for k in np.flatnonzero(ok).tolist()]
+    assert got == sorted(want)
+    assert J.pip_join(points, "x", "y", polys.limit(0), "g").count() == 0
+    circle = spark.range(1).select("id", G.make_circle(F.lit(3.0), F.lit(4.0), F.lit(10.0), 400).alias("g"))
+    whole, most = J.cells_inside(circle, "g", "id", 1.0).select(F.count_if(F.col("__edges").isNull()), F.max(F.size("__edges"))).first()
+    assert whole > 20 and most < 40
