@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.workspace import Workspace, partitions
+
 
 def extents(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
     """Box, centre and size of the points of each group (or of all)."""
@@ -39,14 +41,36 @@ def legend_pages(entries: DataFrame, per_page: int) -> DataFrame:
     return entries.withColumn("page", F.ceil(F.col("place") / per_page).cast("int"))
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], value: str | None = None) -> DataFrame:
+    """df with each row's number in its group (__number, from 1), the sum of
+    ``value`` before it (__before) and the group's total (__total).
+
+    Rows are dealt into ranges of (keys, order), so that a group of any size is
+    cut into many; numbers and sums run inside a range, and start at what the
+    group's earlier ranges have, of which there are a few rows.  The dealt rows
+    are written, since ranges are drawn from a sample.
+    """
+    spark = df.sparkSession
+    ws = Workspace(spark, "ranges")
+    dealt = df.repartitionByRange(partitions(spark), *keys, *order).withColumn("__range", F.spark_partition_id())
+    dealt = ws.keep(dealt, "dealt")
+    amount = F.col(value) if value else F.lit(0.0)
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order)
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("__n"), F.sum(amount).alias("__s"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    starts = ranges.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__r"), zero(F.sum("__n").over(earlier)).alias("__n0"), zero(F.sum("__s").over(earlier)).alias("__s0"), F.sum("__s").over(Window.partitionBy(*keys)).alias("__total"))
+    own = {"__n1": F.row_number().over(inside), "__s1": zero(F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, -1)))}
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__range") == F.col("__r")]
+    both = dealt.withColumns(own).join(starts, same)
+    return both.select(*df.columns, (F.col("__n0") + F.col("__n1")).cast("int").alias("__number"), (F.col("__s0") + F.col("__s1")).alias("__before"), "__total")
+
+
 def share_of_total(df: DataFrame, keys: list[str], order: list[str], value: str, whole: float = 360.0) -> DataFrame:
     """Each positive value's share of its group's total, times ``whole``, and
     where it starts when the shares are laid out in order."""
-    group = Window.partitionBy(*keys)
-    before = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    kept = df.filter(F.col(value) > 0)
-    total = F.sum(value).over(group)
-    return kept.withColumns({"share": F.col(value) / total * whole, "start": F.coalesce(F.sum(value).over(before), F.lit(0.0)) / total * whole})
+    rows = numbered(df.filter(F.col(value) > 0), keys, order, value)
+    return rows.withColumns({"share": F.col(value) / F.col("__total") * whole, "start": F.col("__before") / F.col("__total") * whole}).drop("__number", "__before", "__total")
 
 
 def scale_to_max(df: DataFrame, keys: list[str], value: str, size: float) -> DataFrame:
@@ -120,14 +144,13 @@ def align_columns(columns: list[tuple[DataFrame, str, str]], key: str, default:
 
 def thin(df: DataFrame, keys: list[str], order: list[str], every: int) -> DataFrame:
     """Every k-th row of each group, the first included."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).filter((F.col("__n") - 1) % every == 0).drop("__n")
+    return numbered(df, keys, order).filter((F.col("__number") - 1) % every == 0).select(*df.columns)
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Running number and sum of each group."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"counter": F.row_number().over(Window.partitionBy(*keys).orderBy(*order)), "accumulated": F.sum(value).over(w)})
+    """Running number and sum of each group; a null value adds nothing."""
+    rows = numbered(df, keys, order, value)
+    return rows.select(*df.columns, F.col("__number").alias("counter"), (F.col("__before") + F.coalesce(F.col(value), F.lit(0))).alias("accumulated"))
 
 
 def numeric_first(c: Column) -> list[Column]:

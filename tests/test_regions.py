@@ -249,3 +249,23 @@ def test_banded_points(spark):
     circle = spark.range(1).select("id", G.make_circle(F.lit(3.0), F.lit(4.0), F.lit(10.0), 400).alias("g"))
     whole, most = J.cells_inside(circle, "g", "id", 1.0).select(F.count_if(F.col("__edges").isNull()), F.max(F.size("__edges"))).first()
     assert whole > 20 and most < 40
+
+
+def test_sums_over_ranges(spark):
+    """One group of all rows, an uneven one, a null one."""
+    rng = np.random.default_rng(4)
+    rows = [("a", k, float(v)) for k, v in enumerate(rng.integers(-3, 9, 3000))] + [("b", 1, 2.0), (None, 2, 3.0), (None, 1, 4.0), ("b", 0, None)]
+    df = spark.createDataFrame(rows, "k string, o int, v double").repartition(5)
+    got = {(r.k, r.o): (r.counter, r.accumulated) for r in A.running(df, ["k"], ["o"], "v").collect()}
+    want = {}
+    for key in ("a", "b", None):
+        total = 0.0
+        for n, (_, o, v) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1])):
+            total += v or 0.0
+            want[key, o] = (n + 1, total)
+    assert got == want
+    assert A.numbered(df, ["k"], ["o"], "v").select("k", F.spark_partition_id()).distinct().count() > 3
+    assert A.thin(df.filter("k = 'a'"), ["k"], ["o"], 7).count() == -(-3000 // 7)
+    shares = A.share_of_total(df, ["k"], ["o"], "v").filter("k = 'a'").agg(F.sum("share"), F.max(F.col("share") + F.col("start"))).first()
+    assert shares[0] == pytest.approx(360) and shares[1] == pytest.approx(360)
+    assert A.running(df.limit(0), ["k"], ["o"], "v").count() == 0
