@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from terrane.llm import kernels as K
 from terrane.llm.subwords import Lexemes, lexemes, segment_sums, subword_buckets
-from terrane.llm.text import held_out
+from terrane.llm.text import hashed_span, held_out
 from terrane.workspace import bounded_batches
 
-#: Bounds of the training sample: documents of a label, bytes of one; sequences (at least, and of each label) and their words.
-SAMPLE, SAMPLE_BYTES = 150, 6_000
+#: Bounds of the training sample: documents of a label, characters of one; sequences (at least, and of each label) and their words.
+SAMPLE, SAMPLE_CHARS = 150, 6_000
 SEQUENCES, LABEL_SEQUENCES, LENGTH = 1500, 25, 32
 #: Numbers in one array of forward-backward: batches of sequences and of texts are cut to it.
 NUMBERS = 4_000_000
@@ -260,17 +260,17 @@ def identify(docs: DataFrame, crf: Crf | None) -> DataFrame:
 
 def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     """A hashed sample of the rows one may learn from, bounded for each label:
-    of all labels, and of every text that has a letter.  A long text gives its
-    span from the first letter on."""
+    of all labels, and of every text that has a letter.  A text gives at most
+    ``SAMPLE_CHARS`` characters, from a hashed place."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return [], []
     share = docs.sparkSession.createDataFrame([(k, SAMPLE / n) for k, n in counts.items()], "lang string, share double")
     place = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    # A character has four bytes at most.
-    span = F.substring(F.regexp_replace("text", r"^[^\p{L}]+", ""), 1, SAMPLE_BYTES // 4)
-    text = F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(span).alias("text")
+    span = hashed_span(F.col("text"), F.col("doc_id"), SAMPLE_CHARS)
+    lettered = hashed_span(F.regexp_replace("text", r"[^\p{L}]+", " "), F.col("doc_id"), SAMPLE_CHARS)
+    text = F.when(span.rlike(r"\p{L}"), span).otherwise(F.trim(lettered)).alias("text")
     first = Window.partitionBy("lang").orderBy("place", "doc_id")
     rows = known.withColumn("place", place).join(F.broadcast(share), "lang").filter("place < share").select("doc_id", text, "lang", "place")
     rows = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= 2 * SAMPLE).drop("n", "place").orderBy("doc_id").collect()

@@ -34,8 +34,8 @@ from terrane.llm import kernels as K
 from terrane.llm.toxicity import training_sample
 from terrane.workspace import Workspace, bounded_batches
 
-#: Bounds of the training sample: documents of each label, and bytes of one.
-SAMPLE, SAMPLE_BYTES = 2000, 50_000
+#: Bounds of the training sample: documents of each label, and characters of one.
+SAMPLE, SAMPLE_CHARS = 2000, 12_500
 #: A document whose posterior is below this is rejected.
 THRESHOLD = 0.5
 #: Weight of a site's odds in a decision, and bounds of the prior strengths (in documents).
@@ -177,7 +177,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thresh
     spark = docs.sparkSession
     bounded_batches(spark)
     ws = Workspace(spark, "quality")
-    model = train(*training_sample(docs, labels, "quality", SAMPLE, SAMPLE_BYTES))
+    model = train(*training_sample(docs, labels, "quality", SAMPLE, SAMPLE_CHARS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", host.cast("string").alias("host"), path.cast("string").alias("path"))
     scored = ws.keep(evidence(rows, model), "evidence")
     return posteriors(scored).withColumn("kept", F.col("posterior") >= threshold)

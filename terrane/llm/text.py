@@ -31,3 +31,10 @@ def let(value: Column, body) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for rows whose labels no model may see: crc32(doc_id) mod 4 is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def hashed_span(text: Column, key: Column, chars: int) -> Column:
+    """At most so many characters of a text, from a place that its key's hash
+    picks evenly; a text of no more characters is whole."""
+    start = F.pmod(F.xxhash64(F.lit("span"), key), F.greatest(F.length(text) - chars + 1, F.lit(1)).cast("long")).cast("int") + 1
+    return F.substring(text, start, F.lit(chars))

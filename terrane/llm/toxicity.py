@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from terrane.llm import kernels as K
 from terrane.llm.subwords import lexemes, segment_sums, subword_buckets
-from terrane.llm.text import held_out
+from terrane.llm.text import hashed_span, held_out
 from terrane.workspace import bounded_batches
 
-#: Bounds of the training sample: documents of each label, and bytes of one.
-SAMPLE, SAMPLE_BYTES = 1200, 8_000
+#: Bounds of the training sample: documents of each label, and characters of one.
+SAMPLE, SAMPLE_CHARS = 1200, 8_000
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIMENSIONS = 4
@@ -170,11 +170,10 @@ def score_texts(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(1, np.diff(lex.words.first)) + model.bias, -30, 30)))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> tuple[list[str], np.ndarray, float]:
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int) -> tuple[list[str], np.ndarray, float]:
     """Texts and labels of a bounded, hashed sample of the rows one may learn
-    from, and the share of 1 among all of those labels.  A text of more than
-    ``max_bytes`` gives its first ``max_bytes // 4`` characters, so that a label
-    whose texts are all long is learnt as well."""
+    from, and the share of 1 among all of those labels.  A text gives at most
+    ``chars`` characters, from a hashed place; rows that repeat an id are one."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y"))
     counts = dict(known.groupBy("y").count().collect())
     total = sum(counts.values())
@@ -182,9 +181,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     wanted = F.lit(False)
     for y, n in counts.items():
         wanted = wanted | ((F.col("y") == y) & (place < per_class / n))
-    ids = known.filter(wanted).limit(3 * per_class)
-    text = F.when(F.octet_length("text") <= max_bytes, F.col("text")).otherwise(F.substring("text", 1, max_bytes // 4))
-    rows = docs.select("doc_id", text.alias("text")).filter("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").orderBy("doc_id", "text").collect()
+    ids = known.filter(wanted).orderBy(place, "doc_id", "y").limit(3 * per_class)
+    texts = docs.filter("text is not null").select("doc_id", hashed_span(F.col("text"), F.col("doc_id"), chars).alias("text"))
+    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = found.orderBy("doc_id", "y").collect()
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64), (counts.get(1, 0) / total if total else 0.0)
 
 
@@ -202,5 +202,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op1(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    model = train(*training_sample(docs, labels, "toxic", SAMPLE, SAMPLE_BYTES))
+    model = train(*training_sample(docs, labels, "toxic", SAMPLE, SAMPLE_CHARS))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -86,7 +86,7 @@ def test_labels_of_long_texts_only_are_learnt(spark):
     rows = [(i, (("idiot scum " * 3 + words(9) + " ") * 200) if i % 2 else words(40)) for i in range(160)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i, _ in rows], "doc_id long, toxic int, quality int")
-    assert min(len(t) for i, t in rows if i % 2) > toxicity.SAMPLE_BYTES
+    assert min(len(t) for i, t in rows if i % 2) > toxicity.SAMPLE_CHARS
     got = {r.doc_id: r.score for r in toxicity.op1(docs, labels).collect()}
     assert min(v for i, v in got.items() if i % 2) > max(v for i, v in got.items() if not i % 2)
 
