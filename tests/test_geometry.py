@@ -256,3 +256,60 @@ def test_labels_without_a_row_number(spark):
     df = spark.createDataFrame([(1, 0, 0.0), (None, 0, 0.5), (2, None, 9.0), (3, 0, 0.5), (3, 1, 5.0), (4, 0, 5.5)], "i long, c int, x double").selectExpr("*", "0.0 y0", "x + 1 x1", "1.0 y1")
     assert {(r.i, r.c) for r in Q.place_labels(df, "i", "c", ("x", "y0", "x1", "y1")).collect()} == {(1, 0), (3, 1)}
     assert Q.place_labels(df.limit(0), "i", "c", ("x", "y0", "x1", "y1")).count() == 0
+
+
+def greedy(boxes):
+    """(row, choice) of sequential placement by brute force."""
+    meets = lambda p, q: p[0] < q[2] and p[2] > q[0] and p[1] < q[3] and p[3] > q[1]
+    taken, want = [], set()
+    for i in sorted({b[0] for b in boxes}):
+        for c in sorted({b[1] for b in boxes if b[0] == i}):
+            own = [b[2:] for b in boxes if b[:2] == (i, c)]
+            if not any(meets(b, t) for b in own for t in taken):
+                taken += own
+                want.add((i, c))
+                break
+    return want
+
+
+@pytest.mark.parametrize("seed,tile,cell", [(1, 10, 64), (2, 25, 1), (3, 4, 2)])
+def test_labels_over_many_tiles(spark, monkeypatch, seed, tile, cell):
+    """Small tiles and crowded cells: wide boxes, a heap of equal ones, choices with two boxes."""
+    from terrane.operators import placement as P
+
+    monkeypatch.setattr(P, "TILE_BOXES", tile)
+    monkeypatch.setattr(P, "CELL_BOXES", cell)
+    monkeypatch.setattr(P, "MOST_OPEN", 40)
+    rng = random.Random(seed)
+    boxes = []
+    for i in range(150):
+        x, y, w = rng.uniform(-20, 20), rng.uniform(-20, 20), rng.choice([1.0, 2.0, 3.0, 15.0])
+        if i % 3 == 0:
+            x, y, w = 5.0, 5.0, 2.0
+        boxes += [(i, c, x - c * w, y, x - c * w + w, y + 1.5) for c in range(rng.randint(1, 3))]
+    boxes += [(7, 0, -19.0, -19.0, -18.0, -18.0), boxes[4]]
+    df = spark.createDataFrame(boxes, "i long, c int, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    got = [(r.i, r.c) for r in P.place_labels(df, "i", "c", ("x0", "y0", "x1", "y1")).collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy(boxes)
+
+
+def test_labels_in_a_long_chain(spark):
+    """100,000 labels, each in conflict with its neighbours in order: every other one stays, in three rounds at most."""
+    from terrane.operators import placement as P
+
+    rounds = []
+    settle, P._settle = P._settle, lambda *a: rounds.append(1) or settle(*a)
+    try:
+        df = spark.range(100000).selectExpr("id i", "0 c", "id * 1.0D x0", "0.0D y0", "id + 1.5D x1", "1.0D y1")
+        out = P.place_labels(df, "i", "c", ("x0", "y0", "x1", "y1"))
+        assert out.count() == 50000 and out.filter("i % 2 = 1").count() == 0 and len(rounds) <= 3
+    finally:
+        P._settle = settle
+
+
+def test_labels_named_by_text_and_bounds_that_are_no_numbers(spark):
+    from terrane.operators import placement as P
+
+    rows = [("b", 1, 0.0, 1.0), ("a", 1, 0.5, 1.5), ("c", 1, float("nan"), 1.0), ("d", 1, 0.0, float("inf")), ("e", 1, 9.0, 8.0)]
+    df = spark.createDataFrame(rows, "r string, c int, x0 double, x1 double").selectExpr("*", "0 y0", "1 y1")
+    assert {tuple(r) for r in P.place_labels(df, "r", "c", ("x0", "y0", "x1", "y1")).collect()} == {("a", 1), ("e", 1)}
