@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,24 +22,47 @@ def read_text_features(spark: SparkSession, path: str, delimiter: str | None = N
     return rows.select(F.col("value").alias("$0"), *[F.coalesce(F.get("p", F.lit(i)), F.lit("")).alias(f"${i + 1}") for i in range(width)])
 
 
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, at, line): lines in their file's order by (block, at).
+
+    A file is read in splits; ``block`` is the byte where the line's split
+    begins, and ``at`` grows along a task's lines.  Both depend on the files
+    and the session's split size alone, so a lost task's lines come back with
+    the same places.
+    """
+    meta = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.text(path).select(*meta, F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
+def _with_count(lines: DataFrame, counted: Column, name: str) -> DataFrame:
+    """A running sum of ``counted`` along each file: sums inside splits, and
+    before them the totals of the file's earlier splits."""
+    inside = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = lines.groupBy("path", "block").agg(F.sum(counted).alias("t"))
+    before = totals.select("path", "block", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("before"))
+    return lines.withColumn(name, F.sum(counted).over(inside)).join(before, ["path", "block"]).withColumn(name, F.col(name) + F.col("before")).drop("before")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, line) with each line's place in its file."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("lines"))
-    return files.select("path", F.posexplode("lines").alias("pos", "line"))
+    """(path, pos, line) with each line's place in its file, from 0.  Lines end
+    with a newline, a carriage return or both; files are read in splits."""
+    lines = _with_count(_placed_lines(spark, path), F.lit(1), "n")
+    return lines.select("path", (F.col("n") - 1).alias("pos"), "line")
 
 
 def read_stanzas(spark: SparkSession, path: str, is_header: Column) -> DataFrame:
     """(path, stanza, header, lines): each header line with the lines after it.
 
-    is_header: a condition on the column ``line``.  Files are dealt out whole;
-    stanzas within a file are numbered by a window over the file.
+    is_header: a condition on the column ``line``.  Blank lines are left out,
+    as are lines before a file's first header; a header without lines has an
+    empty array.  Files are read in splits: a stanza's number is the number of
+    headers up to it, so that one that crosses a split's border is put together
+    by its number.
     """
-    from pyspark.sql import Window
-
-    lines = numbered_lines(spark, path).filter(F.trim("line") != "").withColumn("head", is_header.cast("int"))
-    w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    counted = lines.withColumn("stanza", F.sum("head").over(w)).filter("stanza > 0")
-    body = F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("pos", "line"))))
+    lines = _placed_lines(spark, path).filter(F.trim("line") != "").withColumn("head", F.coalesce(is_header.cast("int"), F.lit(0)))
+    counted = _with_count(lines, F.col("head"), "stanza").filter("stanza > 0")
+    body = F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("block", "at", "line"))))
     found = counted.groupBy("path", "stanza").agg(F.max(F.when(F.col("head") == 1, F.col("line"))).alias("header"), body.alias("b"))
     return found.select("path", "stanza", "header", F.transform("b", lambda s: s["line"]).alias("lines"))
 

@@ -1,5 +1,6 @@
 """Sources and sinks on small generated files."""
 
+import random
 import struct
 import zipfile
 
@@ -25,6 +26,37 @@ def test_stanzas(spark, tmp_path):
     assert [(v.x, v.y) for v in got["2 road"]] == [(0, 0), (3, 4)] and len(got["3 wood"]) == 3
 
 
+def test_stanzas_across_splits(spark, tmp_path):
+    """Splits of 1 KB: numbers, order and lines as a loop over each file gives them."""
+    rng = random.Random(5)
+    want, places = {}, {}
+    for name in ("a.txt", "b.txt"):
+        lines = ["# before the first", ""]
+        for n in range(200):
+            lines += [f"head {n} {'x' * rng.randint(0, 90)}"] + [f"{name} {n} {k}" for k in range(rng.choice([0, 1, 5, 40]))] + [""] * (n % 3 == 0)
+        end = "\r\n" if name == "b.txt" else "\n"
+        (tmp_path / name).write_bytes("".join(line + end for line in lines).encode())
+        places |= {(name, k): line for k, line in enumerate(lines)}
+        for line in filter(None, lines[1:]):
+            if line.startswith("head"):
+                want[name, len([k for k in want if k[0] == name]) + 1] = (line, [])
+            else:
+                want[name, len([k for k in want if k[0] == name])][1].append(line)
+    (tmp_path / "empty.txt").write_text("")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        read = text.read_stanzas(spark, str(tmp_path), F.col("line").startswith("head"))
+        got = {(r.path.rsplit("/", 1)[1], r.stanza): (r.header, r.lines) for r in read.collect()}
+        numbered = {(r.path.rsplit("/", 1)[1], r.pos): r.line for r in text.numbered_lines(spark, str(tmp_path)).collect()}
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert got == want and numbered == places
+
+
 def test_zip_and_lines(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("a", "hello")
