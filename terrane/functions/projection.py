@@ -1,7 +1,8 @@
 """World and page coordinates, map projections, and latitude/longitude text.
 
 Projections are closed formulas from degrees to metres as Column arithmetic, on
-a sphere (UTM: on the WGS 84 ellipsoid); no datum shift is applied.
+a sphere (UTM: on the WGS 84 ellipsoid) or, where projection text names one, on
+an ellipsoid (module ``ellipsoid``); no datum shift is applied.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terrane.functions.ellipsoid import NAMES as ELLIPSOIDAL
+from terrane.functions.ellipsoid import Ellipsoid
+
 #: Fixed value: radius in metres on which projected coordinates are based.
 RADIUS = 6378137.0
 
@@ -119,15 +123,18 @@ def definition(text: str) -> tuple[str, dict]:
     """Name and parameters of a projection: a plain name, or ``+proj=`` text.
 
     Text may hold lon_0, lat_0, lat_1, lat_2, lat_ts, zone, south, x_0, y_0,
-    k_0 (or k), R (or a), and units=m; ellps, datum, type and no_defs are read
-    and change nothing.  Anything else is an error.
+    k_0 (or k), R (or a), and units=m; type and no_defs are read and change
+    nothing.  datum, ellps, a with b, rf or f name an ellipsoid: merc, lcc, aea,
+    cea, tmerc and utm are computed on it, the others on a sphere of its axis.
+    Anything else is an error.
     """
     if "proj=" not in text:
         return text, {}
     given = dict(word.lstrip("+").partition("=")[::2] for word in text.split())
     name = given.pop("proj")
-    for ignored in ("ellps", "datum", "type", "no_defs"):
+    for ignored in ("type", "no_defs"):
         given.pop(ignored, None)
+    shape = None if "R" in given else Ellipsoid.of(given)
     if given.pop("units", "m") != "m":
         raise ValueError(f"only metres are known: {text}")
     par: dict = {"south": True} if given.pop("south", None) is not None else {}
@@ -143,17 +150,27 @@ def definition(text: str) -> tuple[str, dict]:
     if name in ("lcc", "aea"):
         par.setdefault("lat_0", 0.0)
         par.setdefault("lat_2", par.get("lat_1"))
+    if shape and name in (*ELLIPSOIDAL, "utm"):
+        if name == "utm":
+            lon0, north0 = _utm_origin(par.pop("zone"), par.pop("south", False))
+            name, par = "tmerc", {"lon0": lon0, "k_0": UTM_SCALE, "x_0": UTM_EAST, "y_0": north0}
+        par["shape"] = shape
+    elif shape:
+        par.setdefault("R", shape.axis)
     return name, par
 
 
 def _frame(par: dict) -> tuple[float, float, float, dict]:
     """Scale, false easting and northing, and the other parameters."""
     rest = {k: v for k, v in par.items() if k not in ("x_0", "y_0", "k_0", "R")}
-    return par.get("k_0", 1.0) * par.get("R", RADIUS) / RADIUS, par.get("x_0", 0.0), par.get("y_0", 0.0), rest
+    radius = 1.0 if "shape" in par else par.get("R", RADIUS) / RADIUS
+    return par.get("k_0", 1.0) * radius, par.get("x_0", 0.0), par.get("y_0", 0.0), rest
 
 
 def forward(name: str, lon, lat, lon0: float = 0.0, **par) -> tuple[Column, Column]:
-    """Projected x, y in metres of degrees."""
+    """Projected x, y in metres of degrees; ``shape``: an Ellipsoid in place of the sphere."""
+    if "shape" in par:
+        return par.pop("shape").forward(name, _col(lon), _col(lat), lon0, **par)
     lam, phi, r = F.radians(_col(lon) - lon0), F.radians(_col(lat)), RADIUS
     if name == "latlong":
         return _col(lon), _col(lat)
@@ -202,6 +219,8 @@ def _conic(name: str, par: dict):
 
 def inverse(name: str, x, y, lon0: float = 0.0, **par) -> tuple[Column, Column]:
     """Longitude and latitude in degrees of projected metres."""
+    if "shape" in par:
+        return par.pop("shape").inverse(name, _col(x), _col(y), lon0, **par)
     x, y, r = _col(x), _col(y), RADIUS
     if name == "latlong":
         return x, y

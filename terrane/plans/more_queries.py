@@ -373,6 +373,40 @@ def reproject_utm(spark, d):
     return there.select("c_custkey", F.round("px", 1).alias("px"), F.round("py", 1).alias("py"), F.round(x, 5).alias("x"), F.round(y, 5).alias("y"))
 
 
+#: Closed forms on the ellipsoid of 1924 in SQL: u is the isometric latitude, q the authalic function, m a parallel's radius.
+ELLIPSOID_SQL = """, ell AS (SELECT sqrt((1/297.0)*(2-1/297.0)) AS e, (1/297.0)/(2-1/297.0) AS n, 6378388.0 AS a),
+aux AS (SELECT i, cos(radians(i))/sqrt(1-pow(e*sin(radians(i)), 2)) AS m, ln(tan(pi()/4+radians(i)/2)) - e*atanh(e*sin(radians(i))) AS u,
+  (1-e*e)*(sin(radians(i))/(1-pow(e*sin(radians(i)), 2)) + atanh(e*sin(radians(i)))/e) AS q FROM (VALUES (20.0), (50.0), (30.0), (25.0)) t(i), ell),
+par AS (SELECT max(CASE WHEN i = 20 THEN m END) AS m1, max(CASE WHEN i = 50 THEN m END) AS m2, max(CASE WHEN i = 25 THEN m END) AS mt, max(CASE WHEN i = 20 THEN u END) AS u1, max(CASE WHEN i = 50 THEN u END) AS u2,
+  max(CASE WHEN i = 30 THEN u END) AS u0, max(CASE WHEN i = 20 THEN q END) AS q1, max(CASE WHEN i = 50 THEN q END) AS q2, max(CASE WHEN i = 30 THEN q END) AS q0 FROM aux),
+cone AS (SELECT *, (ln(m1)-ln(m2))/(u2-u1) AS nl, (m1*m1-m2*m2)/(q2-q1) AS na FROM par),
+c AS (SELECT c_custkey, x, y, radians(x-9.0) AS lam, ln(tan(pi()/4+radians(y)/2)) - e*atanh(e*sin(radians(y))) AS u,
+  (1-e*e)*(sin(radians(y))/(1-pow(e*sin(radians(y)), 2)) + atanh(e*sin(radians(y)))/e) AS q, e, n, a FROM cust, ell),
+r AS (SELECT c.*, cone.*, a*m1*exp(nl*(u1-u))/nl AS rl, a*m1*exp(nl*(u1-u0))/nl AS rl0, a/na*sqrt(greatest(m1*m1+na*(q1-q), 0)) AS ra, a/na*sqrt(m1*m1+na*(q1-q0)) AS ra0,
+  atan2(sinh(u), cos(lam)) AS xi, CASE WHEN abs(x-9.0) <= 45 THEN atanh(sin(lam)/cosh(u)) END AS eta, n/2 - 2*n*n/3 + 5*n*n*n/16 AS a1, 13*n*n/48 - 3*n*n*n/5 AS a2, 61*n*n*n/240 AS a3,
+  0.9996*a/(1+n)*(1+n*n/4+n*n*n*n/64) AS k FROM c, cone),
+f AS (SELECT c_custkey, 'merc' AS name, a*mt*lam AS px, a*mt*u AS py, x, y FROM r
+ UNION ALL SELECT c_custkey, 'cea', a*mt*lam, a*q/(2*mt), x, y FROM r
+ UNION ALL SELECT c_custkey, 'lcc', rl*sin(nl*lam), rl0 - rl*cos(nl*lam), x, y FROM r
+ UNION ALL SELECT c_custkey, 'aea', ra*sin(na*lam), ra0 - ra*cos(na*lam), x, y FROM r
+ UNION ALL SELECT c_custkey, 'tmerc', 500000 + k*(eta + a1*cos(2*xi)*sinh(2*eta) + a2*cos(4*xi)*sinh(4*eta) + a3*cos(6*xi)*sinh(6*eta)),
+   k*(xi + a1*sin(2*xi)*cosh(2*eta) + a2*sin(4*xi)*cosh(4*eta) + a3*sin(6*xi)*cosh(6*eta)), x, y FROM r)
+SELECT c_custkey, name, round(px, 1) AS px, round(py, 1) AS py, CASE WHEN px IS NOT NULL THEN round(x, 4) END AS x, CASE WHEN px IS NOT NULL THEN round(y, 4) END AS y FROM f"""
+
+
+@query(with_layers("cust", ELLIPSOID_SQL))
+def reproject_ellipsoid(spark, d):
+    """Every customer through each projection of the ellipsoid and back; null beyond the reach of the transverse one."""
+    ways = {"merc": "+lat_ts=25", "cea": "+lat_ts=25", "lcc": "+lat_1=20 +lat_2=50 +lat_0=30", "aea": "+lat_1=20 +lat_2=50 +lat_0=30", "tmerc": "+k=0.9996 +x_0=500000"}
+    points = customer_points(spark, d).select("c_custkey", F.explode(F.array(*[F.lit(n) for n in ways])).alias("name"), "x", "y")
+    texts = {name: f"+proj={name} +lon_0=9 +ellps=intl {more}" for name, more in ways.items()}
+    chosen = lambda pairs, i: F.coalesce(*[F.when(F.col("name") == name, pair[i]) for name, pair in pairs.items()])
+    there = {name: P.reproject("latlong", text, "x", "y") for name, text in texts.items()}
+    placed = points.select("c_custkey", "name", chosen(there, 0).alias("px"), chosen(there, 1).alias("py"))
+    back = {name: P.reproject(text, "latlong", "px", "py") for name, text in texts.items()}
+    return placed.select("c_custkey", "name", F.round("px", 1).alias("px"), F.round("py", 1).alias("py"), F.round(chosen(back, 0), 4).alias("x"), F.round(chosen(back, 1), 4).alias("y"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'red' WHEN o_totalprice >= 400000 THEN 'yellow' ELSE '0xff' || lpad(lower(to_hex(CAST(floor(255*((o_totalprice-1000)/399000.0) + 0.5) AS BIGINT))), 2, '0') || '00' END AS colour FROM orders")
 def price_colour(spark, d):
     """A colour for each order's price, from red to yellow."""

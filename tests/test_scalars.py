@@ -147,3 +147,36 @@ def test_projection_text(spark):
     for wrong in ("+proj=merc +foo=1", "+proj=merc +units=ft", "+proj=utm +zone=61"):
         with pytest.raises(ValueError):
             P.reproject("latlong", wrong, F.lit(1.0), F.lit(2.0))
+
+
+def test_projections_on_ellipsoids(spark):
+    """Worked examples of the published manual of map projections (Clarke 1866), and back; domains; wrong definitions."""
+    import pytest
+
+    cases = [
+        ("+proj=merc +lon_0=-180 +ellps=clrk66", -75.0, 35.0, 11_688_673.7, 4_139_145.6),
+        ("+proj=tmerc +lon_0=-75 +k=0.9996 +ellps=clrk66", -73.5, 40.5, 127_106.5, 4_484_124.4),
+        ("+proj=cea +lon_0=-75 +lat_ts=5 +ellps=clrk66", -78.0, 5.0, -332_699.8, 554_248.5),
+        ("+proj=aea +lon_0=-96 +lat_0=23 +lat_1=29.5 +lat_2=45.5 +datum=NAD27", -75.0, 35.0, 1_885_472.7, 1_535_925.0),
+        ("+proj=lcc +lon_0=-96 +lat_0=23 +lat_1=33 +lat_2=45 +a=6378206.4 +b=6356583.8", -75.0, 35.0, 1_894_410.9, 1_564_649.5),
+        # The same grid by either way: UTM by its own formula and by a named datum.
+        ("+proj=utm +zone=31 +datum=WGS84", 2.2945, 48.8582, None, None),
+    ]
+    columns = []
+    for text, lon, lat, *_ in cases:
+        x, y = P.reproject("latlong", text, F.lit(lon), F.lit(lat))
+        columns += [x, y, *P.reproject(text, "latlong", x, y)]
+    row = list(spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first())
+    for k, (text, lon, lat, x, y) in enumerate(cases):
+        if x is not None:
+            assert row[4 * k : 4 * k + 2] == pytest.approx([x, y], abs=0.11), text
+        assert row[4 * k + 2 : 4 * k + 4] == pytest.approx([lon, lat], abs=1e-7), text
+    plain = list(spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(P.reproject("latlong", "+proj=utm +zone=31", F.lit(2.2945), F.lit(48.8582)))]).first())
+    assert row[20:22] == pytest.approx(plain, abs=1e-3)
+    outside = [*P.reproject("latlong", "+proj=merc +ellps=GRS80", F.lit(1.0), F.lit(90.0)), *P.reproject("latlong", "+proj=tmerc +ellps=GRS80", F.lit(46.0), F.lit(0.0)), *P.reproject("+proj=cea +ellps=GRS80", "latlong", F.lit(0.0), F.lit(1e8)), *P.reproject("latlong", "+proj=aea +lat_1=20 +lat_2=50 +ellps=GRS80", F.lit(0.0), F.lit(91.0))]
+    assert list(spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(outside)]).first()) == [None] * 8
+    sphere = list(spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate([*P.reproject("latlong", "+proj=merc +a=6371000 +b=6371000", F.lit(10.0), F.lit(20.0)), *P.reproject("latlong", "+proj=merc +R=6371000", F.lit(10.0), F.lit(20.0))])]).first())
+    assert sphere[:2] == pytest.approx(sphere[2:])
+    for wrong in ("+proj=merc +ellps=none", "+proj=merc +datum=none", "+proj=merc +rf=300", "+proj=merc +a=1 +b=3", "+proj=lcc +lat_1=20 +lat_2=-20 +ellps=intl"):
+        with pytest.raises(ValueError):
+            P.reproject("latlong", wrong, F.lit(1.0), F.lit(2.0))
