@@ -407,6 +407,35 @@ def reproject_ellipsoid(spark, d):
     return placed.select("c_custkey", "name", F.round("px", 1).alias("px"), F.round("py", 1).alias("py"), F.round(chosen(back, 0), 4).alias("x"), F.round(chosen(back, 1), 4).alias("y"))
 
 
+@query("SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS padded, printf('%.2f', round(c_custkey / 8.0, 2)) AS eighths, chr(CAST(c_nationkey + 945 AS INTEGER)) AS letter, c_name AS trimmed, true AS below FROM customer")
+def formatted_values(spark, d):
+    """Number patterns, characters by code, trimmed control characters, random numbers below a bound."""
+    control = F.concat(F.lit("\t\x01 "), "c_name", F.lit("\r\n "))
+    any_number = S.random_below(10.0, 7)
+    return table(spark, d, "customer").select(
+        "c_custkey", S.format_pattern("c_custkey", "0000000").alias("padded"), S.format_pattern(F.round(F.col("c_custkey") / 8, 2), "0.00").alias("eighths"),
+        S.character(F.col("c_nationkey") + 945).alias("letter"), S.trim_control(control).alias("trimmed"), any_number.between(0.0, 10.0).alias("below"),
+    )
+
+
+@query("SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 86399 SECOND, '%a, %b %-d %H:%M:%S') AS due FROM orders")
+def order_timestamps(spark, d):
+    """The last second of each order's day as text, without the session's zone."""
+    text_of = S.timestamp_text(F.col("o_orderdate").cast("timestamp"), 86_399)
+    return table(spark, d, "orders").select("o_orderkey", F.regexp_replace(text_of, r" [^ ]+$", "").alias("due"))
+
+
+@query("""SELECT p_partkey, round(v2 - CASE WHEN v > low THEN v2*s2*(v-r)/(v-low) ELSE 0 END, 6) AS r, round(v2 - CASE WHEN v > low THEN v2*s2*(v-g)/(v-low) ELSE 0 END, 6) AS g, round(v2 - CASE WHEN v > low THEN v2*s2*(v-b)/(v-low) ELSE 0 END, 6) AS b
+ FROM (SELECT *, least(1.0, v*1.25) AS v2, CASE WHEN v > 0 THEN least(1.0, 0.5*(v-low)/v) ELSE 0 END AS s2
+  FROM (SELECT *, greatest(r, g, b) AS v, least(r, g, b) AS low FROM (SELECT p_partkey, CAST(p_size AS DOUBLE)/50 AS r, CAST(p_partkey%7 AS DOUBLE)/7 AS g, CAST(p_partkey%11 AS DOUBLE)/11 AS b FROM part)))""")
+def adjusted_colours(spark, d):
+    """Half the saturation and five quarters of the brightness of each part's colour; the hue stays."""
+    ratio = lambda c, n: F.col(c).cast("double") / n
+    parts = table(spark, d, "part").select("p_partkey", ratio("p_size", 50).alias("r"), (F.col("p_partkey") % 7 / 7.0).alias("g"), (F.col("p_partkey") % 11 / 11.0).alias("b"))
+    found = parts.select("p_partkey", S.adjust_hsb("r", "g", "b", saturation=0.5, brightness=1.25).alias("a"))
+    return found.select("p_partkey", *[F.round(F.col("a")[k], 6).alias(k) for k in "rgb"])
+
+
 @query("SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'red' WHEN o_totalprice >= 400000 THEN 'yellow' ELSE '0xff' || lpad(lower(to_hex(CAST(floor(255*((o_totalprice-1000)/399000.0) + 0.5) AS BIGINT))), 2, '0') || '00' END AS colour FROM orders")
 def price_colour(spark, d):
     """A colour for each order's price, from red to yellow."""
