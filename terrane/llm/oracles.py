@@ -110,7 +110,20 @@ pb AS (SELECT DISTINCT doc_id, s, w[i] || ' ' || w[i+1] AS g FROM (SELECT doc_id
 pn AS (SELECT doc_id, s, count(*) AS n FROM pb GROUP BY doc_id, s),
 shr AS (SELECT doc_id, s, template, license, kind, count(*) AS c FROM pb JOIN tb USING (g) GROUP BY ALL),
 m AS (SELECT shr.doc_id, shr.s, license, kind, 2.0 * c / (pn.n + tn.n) AS dice FROM shr JOIN pn ON pn.doc_id = shr.doc_id AND pn.s = shr.s JOIN tn USING (template) WHERE 2.0 * c / (pn.n + tn.n) >= {threshold}),
-f AS (SELECT doc_id, count(DISTINCT s) AS n, min({{'d': -dice, 'l': license, 'k': kind}}) AS b, array_to_string(list_sort(list(DISTINCT license)), ',') AS ls FROM m GROUP BY doc_id)
+lim AS (SELECT template, n, greatest(1, ceil(n * {threshold} / (2 - {threshold}) - 1e-9)) AS need, floor(n * (2 - {threshold}) / {threshold} + 1e-9) AS width FROM tn),
+dw AS (SELECT doc_id, {tokens.format("coalesce(text, '')")} AS w FROM documents),
+dg AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM dw)),
+hit AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template ORDER BY i) AS r FROM dg JOIN tb USING (g) JOIN lim USING (template)),
+win AS (SELECT a.doc_id, a.template, a.license, a.kind, a.n, a.i AS a, e.i AS e FROM hit a JOIN hit e ON e.doc_id = a.doc_id AND e.template = a.template AND e.r - a.r + 1 >= a.need AND e.i - a.i < a.width),
+scored AS (SELECT win.doc_id, template, license, kind, a, e, 2.0 * len(list_intersect(list(DISTINCT dg.g), any_value(known))) / (count(DISTINCT dg.g) + any_value(n)) AS d
+ FROM win JOIN (SELECT template, list(g) AS known FROM tb GROUP BY template) USING (template) JOIN dg ON dg.doc_id = win.doc_id AND dg.i BETWEEN a AND e GROUP BY ALL),
+best AS (SELECT * FROM scored WHERE d >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id, template, a ORDER BY d DESC, e) = 1),
+apart AS (SELECT doc_id, list_reduce(list([{{'a': a, 'e': e}}] ORDER BY -d, a - e, a, e, license, kind),
+  lambda acc, x: CASE WHEN len(list_filter(acc, lambda v: v.a <= x[1].e + 1 AND x[1].a <= v.e + 1)) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM best GROUP BY doc_id),
+wm AS (SELECT doc_id, array_to_string(w[a:e+1], ' ') AS words, list_contains(kept, {{'a': a, 'e': e}}) AS own, license, kind, d FROM best JOIN apart USING (doc_id) JOIN dw USING (doc_id)),
+every AS (SELECT doc_id, s, license, kind, dice FROM m UNION ALL SELECT doc_id, CASE WHEN own THEN words END, license, kind, d FROM wm WHERE NOT EXISTS
+ (SELECT 1 FROM m JOIN pw ON pw.doc_id = m.doc_id AND pw.s = m.s WHERE m.doc_id = wm.doc_id AND m.license = wm.license AND contains(' ' || array_to_string(pw.w, ' ') || ' ', ' ' || wm.words || ' '))),
+f AS (SELECT doc_id, count(DISTINCT s) AS n, min({{'d': -dice, 'l': license, 'k': kind}}) AS b, array_to_string(list_sort(list(DISTINCT license)), ',') AS ls FROM every GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, b.l AS license, b.k AS kind, round(-b.d, 6) AS dice, ls AS licenses FROM documents LEFT JOIN f USING (doc_id)"""
 
 
