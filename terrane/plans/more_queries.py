@@ -19,7 +19,7 @@ from terrane.operators import rows as R
 from terrane.operators import spatial_join as J
 from terrane.plans.layers import PATH_ORDER, customer_points, nation_cells, order_paths, part_diamonds, supplier_points, table, with_layers
 from terrane.plans.queries import ORACLES, QUERIES, query, r4
-from terrane.sources import osm, rasters, shapes, text
+from terrane.sources import osm, rasters, shapefile_ranges, shapes, text
 from terrane.workspace import Workspace
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -73,6 +73,29 @@ def osm_ways(spark, d):
     )
 
 
+def _diamond_shapefiles(spark, d: str) -> str:
+    path = folder(spark, "shapefiles")
+    shapefile_ranges.write_shapefiles(part_diamonds(spark, d).select("p_partkey", "p_brand", "p_size", "diamond"), path, "diamond")
+    return path
+
+
+@query(with_layers("dia", "SELECT p_partkey, p_brand, p_size, CAST(5 AS INT) AS corners, round(2*r*r, 4) AS area, round(cx - r, 4) AS xmin, round(cy + r, 4) AS ymax FROM dia"))
+def shapefile_ranges_roundtrip(spark, d):
+    """Files written by tasks, each read as ranges of 64 KB."""
+    read = shapefile_ranges.read_shapefile_ranges(spark, _diamond_shapefiles(spark, d), range_bytes=64 << 10)
+    of = lambda name, kind: F.col("attributes")[name].cast(kind).alias(name)
+    g = F.col("GEOMETRY")
+    corners = F.size(F.get(g["parts"], 0)).alias("corners")
+    return read.select(of("p_partkey", "long"), of("p_brand", "string"), of("p_size", "long"), corners, r4(G.area(g)).alias("area"), r4(g["xmin"]).alias("xmin"), r4(g["ymax"]).alias("ymax"))
+
+
+@query(with_layers("dia", "SELECT p_partkey, p_brand FROM dia WHERE cx-r <= 33.3 AND cx+r >= -41.7 AND cy-r <= 20.1 AND cy+r >= -15.9"))
+def shapefile_box(spark, d):
+    """Shapes in a box with one of their fields, by files read whole."""
+    read = shapes.read_shapefiles(spark, _diamond_shapefiles(spark, d), bbox=(-41.7, -15.9, 33.3, 20.1), columns=["p_partkey", "p_brand"])
+    return read.select(F.col("attributes")["p_partkey"].cast("long").alias("p_partkey"), F.col("attributes")["p_brand"].alias("p_brand"))
+
+
 @query(with_layers("dia", "SELECT p_partkey, CAST(3 + p_partkey % 4 AS INT) AS gtype, round(CASE p_partkey % 4 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 4*r*r ELSE 2*r*r END, 4) AS area, round(cx - r, 4) AS xmin FROM dia"))
 def wkb_roundtrip(spark, d):
     p = part_diamonds(spark, d)

@@ -25,6 +25,11 @@ from terrane.functions.pieces import nested, ring_area
 #: Record type codes of the format, by kind (plain, with Z, with M).
 POINTS, LINES, POLYGONS, MULTIPOINTS = (1, 11, 21), (3, 13, 23), (5, 15, 25), (8, 18, 28)
 
+_VERTEX = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+_SHAPE = pa.struct([("gtype", pa.int32()), ("parts", pa.list_(pa.list_(_VERTEX))), *[(k, pa.float64()) for k in ("xmin", "ymin", "xmax", "ymax")]])
+#: Arrow schema of shapefile rows.
+ARROW_ROWS = pa.schema([("path", pa.string()), ("record", pa.int64()), ("attributes", pa.map_(pa.string(), pa.string())), ("GEOMETRY", _SHAPE)])
+
 
 def bounded(gtype: int, parts: list[list[tuple[float, float]]]) -> dict:
     flat = [v for p in parts for v in p]
@@ -136,14 +141,11 @@ def read_shapefiles(spark: SparkSession, path: str, bbox: tuple[float, float, fl
                         continue
                     out.append({"path": name, "record": i, "attributes": list((rows[i] if rows and i < len(rows) else {}).items()), "GEOMETRY": g})
                     if len(out) == 1000:
-                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                        yield pa.RecordBatch.from_pylist(out, schema=ARROW_ROWS)
                         out = []
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    yield pa.RecordBatch.from_pylist(out, schema=ARROW_ROWS)
 
-    vertex = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-    shape = pa.struct([("gtype", pa.int32()), ("parts", pa.list_(pa.list_(vertex))), *[(k, pa.float64()) for k in ("xmin", "ymin", "xmax", "ymax")]])
-    arrow = pa.schema([("path", pa.string()), ("record", pa.int64()), ("attributes", pa.map_(pa.string(), pa.string())), ("GEOMETRY", shape)])
     return both.select("base", "shp", "dbf").mapInArrow(run, f"path string, record long, attributes map<string,string>, GEOMETRY {SCHEMA}")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
-from terrane.sources import osm, rasters, shapes, text
+from terrane.sources import osm, rasters, shapefile_ranges, shapes, text
 
 
 def test_delimited(spark, tmp_path):
@@ -91,6 +91,63 @@ def test_shapefiles(spark, tmp_path):
     assert shapes.read_shapefiles(spark, str(tmp_path)).count() == 3
 
 
+def _shx(path):
+    data = path.read_bytes()
+    at, body = 100, b""
+    while at < len(data):
+        size = struct.unpack_from(">i", data, at + 4)[0]
+        body += struct.pack(">2i", at // 2, size)
+        at += 8 + 2 * size
+    path.with_suffix(".shx").write_bytes(data[:100] + body)
+
+
+def test_shapefile_ranges_with_deleted_rows(spark, tmp_path):
+    """Ranges of a few records of one file, deleted rows anywhere in the .dbf, against whole files."""
+    rng = random.Random(3)
+    boxes = [(x, y, x + 1, y + 1) for x, y in ((rng.randint(0, 50), rng.randint(0, 50)) for _ in range(300))]
+    _shp(tmp_path / "many.shp", boxes)
+    _shx(tmp_path / "many.shp")
+    live = [f"n{i}".encode() for i in range(290)]  # fewer rows than shapes
+    rows = [b" " + n.ljust(8) + f"{i:4d}".encode() for i, n in enumerate(live)]
+    for _ in range(120):
+        rows.insert(rng.choice([0, 5, rng.randint(0, len(rows)), len(rows)]), b"*gone       0")
+    head = struct.pack("<4BIHH20x", 3, 1, 1, 1, len(rows), 32 + 64 + 1, 13)
+    fields = b"".join(n.ljust(11, b"\0") + k + b"\0" * 4 + bytes([w]) + b"\0" * 15 for n, k, w in ((b"NAME", b"C", 8), (b"SIZE", b"N", 4)))
+    (tmp_path / "many.dbf").write_bytes(head + fields + b"\r" + b"".join(rows))
+    _shp(tmp_path / "plain.shp", [(5, 5, 6, 6), (90, 90, 91, 91)])  # neither .shx nor .dbf
+    _shp(tmp_path / "far.shp", [(900, 900, 901, 901)])
+    key = lambda r: (r.path.rsplit("/", 1)[1], r.record, tuple(sorted(r.attributes.items())), r.t)
+    shown = lambda df: sorted(key(r) for r in df.withColumn("t", G.to_wkt("GEOMETRY")).collect())
+    for bbox, columns in ((None, None), ((10, 10, 20, 30), ["NAME"]), ((2000, 0, 2001, 1), None)):
+        want = shown(shapes.read_shapefiles(spark, str(tmp_path), bbox=bbox, columns=columns))
+        read = shapefile_ranges.read_shapefile_ranges(spark, str(tmp_path), bbox=bbox, columns=columns, range_bytes=2000)
+        assert shown(read) == want and (bbox or (len(want) == 303 and read.rdd.getNumPartitions() > 10))
+    alone = spark.read.format("shapefile").option("rangeBytes", 2000).load(str(tmp_path))
+    assert shown(alone) == shown(shapes.read_shapefiles(spark, str(tmp_path)))
+    one = shapefile_ranges.read_shapefile_ranges(spark, f"file:{tmp_path}/many.shp")
+    assert one.count() == 300 and {r.attributes.get("NAME") for r in one.collect()} == {n.decode() for n in live} | {None}
+
+
+def test_shapefiles_written(spark, tmp_path):
+    """Every kind of shape, holes, null and empty shapes, null and long fields, in small files; again over the same folder."""
+    texts = ["POINT (1.0 2.0)", "LINESTRING (0.0 0.0, 3.0 4.0)", "POLYGON ((0.0 0.0, 9.0 0.0, 9.0 9.0, 0.0 9.0, 0.0 0.0), (2.0 2.0, 2.0 4.0, 4.0 4.0, 4.0 2.0, 2.0 2.0))", "MULTIPOINT (1.0 1.0, 2.0 2.0)",
+             "MULTILINESTRING ((0.0 0.0, 1.0 1.0), (2.0 2.0, 3.0 3.0, 3.0 5.0))", "MULTIPOLYGON (((0.0 0.0, 1.0 0.0, 1.0 1.0, 0.0 0.0)), ((5.0 5.0, 6.0 5.0, 6.0 6.0, 5.0 5.0)))", None]
+    rows = [(i, f"näme {i}" if i % 3 else None, i / 7, i % 2 == 0, texts[i % 7]) for i in range(70)]
+    df = spark.createDataFrame(rows, "id int, name string, size double, even boolean, t string").withColumn("g", G.from_wkt("t"))
+    out = str(tmp_path / "out")
+    for mode in ("append", "overwrite"):
+        shapefile_ranges.write_shapefiles(df.drop("t"), out, "g", mode, fileBytes=1500)
+    back = shapefile_ranges.read_shapefile_ranges(spark, out)
+    got = sorted((int(r.attributes["id"]), r.attributes["name"], float(r.attributes["size"]), r.attributes["even"], r.t, r.a) for r in back.withColumn("t", G.to_wkt("GEOMETRY")).withColumn("a", G.area("GEOMETRY")).collect())
+    area = {i: r.a for i, r in enumerate(spark.createDataFrame([(t,) for t in texts], "t string").select(G.area(G.from_wkt("t")).alias("a")).collect())}
+    turned = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(G.to_wkt(G.from_wkt("t")).alias("t")).collect()]
+    assert [r[:4] for r in got] == [(i, n or "", s, "1" if e else "0") for i, n, s, e, _ in rows]
+    assert all(r[4] == turned[i % 7] and r[5] == area[i % 7] for i, r in enumerate(got) if i % 7 not in (2, 5)) and all(r[5] == area[i % 7] for i, r in enumerate(got))
+    assert len(list((tmp_path / "out").glob("*.shp"))) > 5 and not list((tmp_path / "out").glob("_writing*"))
+    with pytest.raises(Exception, match="width"):
+        shapefile_ranges.write_shapefiles(df.select("g", F.lit("x" * 300).alias("long")), out, "g")
+
+
 def test_wkb(spark):
     point = struct.pack("<BI2d", 1, 1, 3.0, 4.0)
     line = struct.pack(">BII4d", 0, 2, 2, 0.0, 0.0, 3.0, 4.0)
