@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from terrane.workspace import Workspace
 
 
-def _star(edges: DataFrame, both: bool) -> DataFrame:
-    """Edges (u, v) with u > v, hooked to the smallest neighbour of u."""
+def _star(ws: Workspace, name: str, edges: DataFrame, both: bool) -> DataFrame:
+    """Edges (u, v) with u > v, hooked to the smallest neighbour of u.  The
+    neighbours are written, so that the edges of a hub can be split in the join."""
     if both:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        least = ws.keep(around.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), f"{name}-around")
         moved = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = ws.keep(edges.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
         joined = edges.join(least, "u")
         moved = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return moved.filter("u <> v").distinct()
@@ -36,9 +37,11 @@ def components(ws: Workspace, pairs: DataFrame, label: str, a: str = "a", b: str
     seen, n = checksum(edges), 0
     while seen[0]:
         n += 1
-        edges = ws.keep(_star(_star(edges, True), False), f"{label}-{n}")
+        name = f"{label}-{n}"
+        around = ws.keep(_star(ws, name, edges, True), f"{name}-half")
+        edges = ws.keep(_star(ws, name, around, False), name)
         now = checksum(edges)
-        ws.drop(f"{label}-{n - 1}")
+        ws.drop(f"{label}-{n - 1}", f"{name}-around", f"{name}-half", f"{name}-least")
         if now == seen:
             break
         seen = now

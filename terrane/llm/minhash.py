@@ -194,7 +194,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = ws.keep(nodes, "nodes")
     members = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     turn = F.xxhash64("node", "key")
-    buckets = members.groupBy("key").agg(F.count("*").alias("in_bucket"), F.min_by("node", turn).alias("hub"), F.min_by("n", turn).alias("hub_n")).filter("in_bucket > 1")
+    # Written: a join with an aggregate on its own key could not be split where a band is hot.
+    hubs = members.groupBy("key").agg(F.count("*").alias("in_bucket"), F.min_by("node", turn).alias("hub"), F.min_by("n", turn).alias("hub_n"))
+    buckets = ws.keep(hubs.filter("in_bucket > 1"), "buckets")
     shared = ws.keep(members.join(buckets, "key"), "shared")
     fits = "node <> hub and 100 * least(n, hub_n) >= 75 * greatest(n, hub_n)"
     pairs = shared.filter(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
@@ -206,16 +208,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Buckets of three or more nodes in several components: finish them exactly, one of each set of members.
     known = shared.filter("in_bucket > 2").join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
     known = ws.keep(known, "known")
+    ws.drop("buckets", "shared")
     marks = known.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    open_keys = marks.filter("lo <> hi").groupBy("m", "total", "x", "y").agg(F.min("key").alias("key"))
+    open_keys = ws.keep(marks.filter("lo <> hi").groupBy("m", "total", "x", "y").agg(F.min("key").alias("key")), "open")
     # Only nodes outside a bucket's largest component are compared with all: they and the others lie in blocks of
     # their own, and a task is a pair of small blocks, or a small and a large one.
-    sizes = known.join(open_keys, "key").groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    unfinished = ws.keep(known.join(open_keys, "key"), "unfinished")
+    ws.drop("known", "open")
+    sizes = unfinished.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     largest = F.max_by(F.struct("comp", "m", "total"), F.struct("m", "comp"))
     per_key = sizes.groupBy("key").agg(largest.alias("big"), F.sum("m").alias("m"), F.sum("total").alias("total"))
     blocks = lambda m, total: F.greatest(F.lit(1), F.ceil(F.greatest(m / BLOCK_NODES, total / BLOCK_SHINGLES))).cast("int")
     plan = per_key.select("key", F.col("big.comp").alias("big_comp"), blocks(F.col("big.m"), F.col("big.total")).alias("bigs"), blocks(F.col("m") - F.col("big.m"), F.col("total") - F.col("big.total")).alias("smalls"))
-    dealt = known.join(plan, "key").withColumn("small", F.col("comp") != F.col("big_comp"))
+    dealt = unfinished.join(ws.keep(plan, "plan"), "key").withColumn("small", F.col("comp") != F.col("big_comp"))
     dealt = dealt.withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("small"), F.col("smalls")).otherwise(F.col("bigs"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
@@ -229,7 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = ws.keep(grouped.applyInArrow(_link_groups, "a long, b long"), "more")
 
     final = ws.keep(components(ws, first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "final"), "final")
-    ws.drop("shared", "known")
+    ws.drop("unfinished", "plan")
     classes = nodes.select(*same, "node").join(final, "node", "left").select(*same, F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component"))
     out = sk.select("doc_id", *same).join(classes, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
