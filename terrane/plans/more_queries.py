@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
+from terrane.functions import members as M
 from terrane.functions import projection as P
 from terrane.functions import scalars as S
 from terrane.operators import aggregate as A
@@ -86,7 +87,7 @@ def shapefile_ranges_roundtrip(spark, d):
     of = lambda name, kind: F.col("attributes")[name].cast(kind).alias(name)
     g = F.col("GEOMETRY")
     corners = F.size(F.get(g["parts"], 0)).alias("corners")
-    return read.select(of("p_partkey", "long"), of("p_brand", "string"), of("p_size", "long"), corners, r4(G.area(g)).alias("area"), r4(g["xmin"]).alias("xmin"), r4(g["ymax"]).alias("ymax"))
+    return read.select(of("p_partkey", "long"), of("p_brand", "string"), of("p_size", "int"), corners, r4(G.area(g)).alias("area"), r4(g["xmin"]).alias("xmin"), r4(g["ymax"]).alias("ymax"))
 
 
 @query(with_layers("dia", "SELECT p_partkey, p_brand FROM dia WHERE cx-r <= 33.3 AND cx+r >= -41.7 AND cy-r <= 20.1 AND cy+r >= -15.9"))
@@ -96,6 +97,21 @@ def shapefile_box(spark, d):
     return read.select(F.col("attributes")["p_partkey"].cast("long").alias("p_partkey"), F.col("attributes")["p_brand"].alias("p_brand"))
 
 
+@query(with_layers("dia", """SELECT p_partkey, CAST(n AS INT) AS n, round(CASE WHEN n = 4 THEN 2*r*r ELSE 0 END, 4) AS area, round(CASE WHEN n > 1 THEN cx - r WHEN n > 0 THEN cx END, 4) AS xmin, round(CASE WHEN n > 1 THEN cy + r WHEN n > 0 THEN cy END, 4) AS ymax,
+ CASE n WHEN 0 THEN '' WHEN 1 THEN 'Point' WHEN 2 THEN 'Point,LineString' WHEN 3 THEN 'Point,LineString,MultiPoint' ELSE 'Point,LineString,MultiPoint,Polygon' END AS kinds FROM (SELECT *, p_partkey % 5 AS n FROM dia)"""))
+def collections_roundtrip(spark, d):
+    """Collections of none to four members through text, binary and text again; kinds are read from their JSON."""
+    p = part_diamonds(spark, d)
+    ring = F.get(F.col("diamond.parts"), 0)
+    members = F.array(G.make_point("cx", "cy"), G.make_line(ring), G.geometry(G.MULTIPOINT, F.transform(ring, lambda v: F.array(v))), F.col("diamond"))
+    made = p.select("p_partkey", M.members_to_wkt(F.slice(members, F.lit(1), (F.col("p_partkey") % 5).cast("int"))).alias("t"))
+    binary = shapes.to_wkb(made.select("p_partkey", M.members_from_wkt("t").alias("ms")), "ms", "wkb")
+    back = shapes.from_wkb_members(binary.select("p_partkey", "wkb"), "wkb", "h").select("p_partkey", M.members_from_wkt(M.members_to_wkt("h")).alias("h"))
+    box = M.extent("h")
+    kinds = F.transform(F.from_json(F.get_json_object(M.members_to_geojson("h"), "$.geometry.geometries"), "array<struct<type:string>>"), lambda g: g["type"])
+    return back.select("p_partkey", F.size("h").alias("n"), r4(M.area("h")).alias("area"), r4(box["xmin"]).alias("xmin"), r4(box["ymax"]).alias("ymax"), F.array_join(kinds, ",").alias("kinds"))
+
+
 @query(with_layers("dia", "SELECT p_partkey, CAST(3 + p_partkey % 4 AS INT) AS gtype, round(CASE p_partkey % 4 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 4*r*r ELSE 2*r*r END, 4) AS area, round(cx - r, 4) AS xmin FROM dia"))
 def wkb_roundtrip(spark, d):
     p = part_diamonds(spark, d)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.functions.geometry import LINESTRING, MULTILINESTRING, MULTIPOINT, MULTIPOLYGON, POINT, POLYGON, SCHEMA
+from terrane.functions.geometry import COLLECTION, LINESTRING, MULTILINESTRING, MULTIPOINT, MULTIPOLYGON, POINT, POLYGON, SCHEMA
 from terrane.functions.pieces import nested, ring_area
 
 #: Record type codes of the format, by kind (plain, with Z, with M).
@@ -149,43 +149,73 @@ def read_shapefiles(spark: SparkSession, path: str, bbox: tuple[float, float, fl
     return both.select("base", "shp", "dbf").mapInArrow(run, f"path string, record long, attributes map<string,string>, GEOMETRY {SCHEMA}")
 
 
+def _read_wkb(data: bytes, at: int) -> tuple[int, list[list[tuple[float, float]]], int]:
+    end = "<" if data[at] == 1 else ">"
+    kind = struct.unpack_from(f"{end}I", data, at + 1)[0]
+    at += 5
+    if kind == 1:
+        return kind, [[struct.unpack_from(f"{end}2d", data, at)]], at + 16
+    n = struct.unpack_from(f"{end}I", data, at)[0]
+    at += 4
+    parts: list[list[tuple[float, float]]] = []
+    if kind == 2:
+        flat = struct.unpack_from(f"{end}{2 * n}d", data, at)
+        return kind, [list(zip(flat[::2], flat[1::2], strict=True))], at + 16 * n
+    if kind == 3:
+        for _ in range(n):
+            m = struct.unpack_from(f"{end}I", data, at)[0]
+            flat = struct.unpack_from(f"{end}{2 * m}d", data, at + 4)
+            ring = list(zip(flat[::2], flat[1::2], strict=True))
+            # The first ring is the outer one; it runs counter-clockwise here, its holes clockwise.
+            turned = (ring_area(np.array(ring)) < 0) == (not parts) if len(ring) > 3 else False
+            parts.append(ring[::-1] if turned else ring)
+            at += 4 + 16 * m
+        return kind, parts, at
+    if kind in (4, 5, 6, 7):
+        for _ in range(n):
+            _, more, at = _read_wkb(data, at)
+            parts += more
+        return kind, parts, at
+    raise ValueError(f"unknown geometry type {kind}")
+
+
 def decode_wkb(data: bytes) -> dict:
     """Geometry of well-known binary of either byte order, types 1 to 6 (a
     collection's members' parts are put together)."""
     if len(data) < 21:
         raise ValueError("well-known binary is too short")
+    kind, parts, _ = _read_wkb(data, 0)
+    return bounded(kind, parts)
+
 
-    def read(at: int) -> tuple[int, list[list[tuple[float, float]]], int]:
+def decode_members(data: bytes) -> list[dict]:
+    """Members of well-known binary of any type, those of inner collections in
+    their place."""
+
+    def read(at: int) -> tuple[list[dict], int]:
         end = "<" if data[at] == 1 else ">"
-        kind = struct.unpack_from(f"{end}I", data, at + 1)[0]
-        at += 5
-        if kind == 1:
-            return kind, [[struct.unpack_from(f"{end}2d", data, at)]], at + 16
-        n = struct.unpack_from(f"{end}I", data, at)[0]
-        at += 4
-        parts: list[list[tuple[float, float]]] = []
-        if kind == 2:
-            flat = struct.unpack_from(f"{end}{2 * n}d", data, at)
-            return kind, [list(zip(flat[::2], flat[1::2], strict=True))], at + 16 * n
-        if kind == 3:
-            for _ in range(n):
-                m = struct.unpack_from(f"{end}I", data, at)[0]
-                flat = struct.unpack_from(f"{end}{2 * m}d", data, at + 4)
-                ring = list(zip(flat[::2], flat[1::2], strict=True))
-                # The first ring is the outer one; it runs counter-clockwise here, its holes clockwise.
-                turned = (ring_area(np.array(ring)) < 0) == (not parts) if len(ring) > 3 else False
-                parts.append(ring[::-1] if turned else ring)
-                at += 4 + 16 * m
-            return kind, parts, at
-        if kind in (4, 5, 6, 7):
-            for _ in range(n):
-                _, more, at = read(at)
-                parts += more
-            return kind, parts, at
-        raise ValueError(f"unknown geometry type {kind}")
-
-    kind, parts, _ = read(0)
-    return bounded(kind, parts)
+        if struct.unpack_from(f"{end}I", data, at + 1)[0] != COLLECTION:
+            kind, parts, at = _read_wkb(data, at)
+            hollow = kind == POINT and parts[0][0][0] != parts[0][0][0]
+            return [bounded(kind, [] if hollow else parts)], at
+        n, members = struct.unpack_from(f"{end}I", data, at + 5)[0], []
+        at += 9
+        for _ in range(n):
+            more, at = read(at)
+            members += more
+        return members, at
+
+    return read(0)[0]
+
+
+def from_wkb_members(df: DataFrame, column: str, to: str) -> DataFrame:
+    """The frame with an array of the members of well-known binary; null stays null."""
+
+    @F.pandas_udf(f"array<{SCHEMA}>")
+    def decode(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: decode_members(bytes(v)) if v is not None else None)
+
+    return df.withColumn(to, decode(column))
 
 
 def from_wkb(df: DataFrame, column: str, to: str) -> DataFrame:
@@ -230,14 +260,20 @@ def encode_wkb(gtype: int, parts: list[list[dict]]) -> bytes:
     return head(6, len(polygons)) + b"".join(head(3, len(ps)) + rings(ps) for ps in polygons)
 
 
+def _encode(g: dict | list[dict]) -> bytes:
+    if isinstance(g, dict):
+        return encode_wkb(g["gtype"], g["parts"])
+    return struct.pack("<BII", 1, COLLECTION, len(g)) + b"".join(encode_wkb(m["gtype"], m["parts"]) for m in g)
+
+
 def to_wkb(df: DataFrame, column: str, to: str) -> DataFrame:
-    """The frame with a geometry column written as well-known binary; null stays
-    null."""
+    """The frame with a geometry column, or an array of the members of a
+    collection, written as well-known binary; null stays null."""
     kept = [c for c in df.columns if c != to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [encode_wkb(g["gtype"], g["parts"]) if g is not None else None for g in batch.column(column).to_pylist()]
+            data = [_encode(g) if g is not None else None for g in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(data, pa.binary())], names=[*kept, to])
 
     schema = T.StructType([*df.select(*kept).schema.fields, T.StructField(to, T.BinaryType())])

@@ -111,6 +111,14 @@ def write_geojson(df: DataFrame, path: str, geom: str, properties: list[str], id
     df.select(feature.alias("value")).write.mode("overwrite").text(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, sql: str, **properties: str) -> DataFrame:
-    """Rows of a query that the database runs itself."""
-    return spark.read.format("jdbc").option("url", url).option("query", sql).options(**properties).load()
+def read_jdbc(spark: SparkSession, url: str, sql: str, key: str | None = None, bounds: tuple[float, float] | None = None, parts: int = 1, **properties: str) -> DataFrame:
+    """Rows of a query that the database runs itself.  With a whole-number, date
+    or time column as ``key`` it is run in ``parts`` ranges of it, one a task;
+    ``bounds`` place the ranges only, rows outside them (and nulls) come too."""
+    read = spark.read.format("jdbc").option("url", url).options(**properties)
+    if key is None:
+        return read.option("query", sql).load()
+    if bounds is None:
+        raise ValueError("ranges of a key need bounds")
+    ranges = {"partitionColumn": key, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": parts}
+    return read.options(**ranges).option("dbtable", f"({sql}) ranged").load()

@@ -1,5 +1,6 @@
 """Sources and sinks on small generated files."""
 
+import json
 import random
 import struct
 import zipfile
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
+from terrane.functions import members as M
 from terrane.sources import osm, rasters, shapefile_ranges, shapes, text
 
 
@@ -157,6 +159,45 @@ def test_wkb(spark):
         shapes.decode_wkb(b"\x01\x01")
 
 
+def test_collections(spark):
+    """Members through text, binary and JSON: nested, empty, single, wrong and null ones."""
+    texts = {
+        "GEOMETRYCOLLECTION (POINT (1.0 2.0), LINESTRING (3.0 4.0, 5.0 6.0))": ["POINT (1.0 2.0)", "LINESTRING (3.0 4.0, 5.0 6.0)"],
+        "GEOMETRYCOLLECTION(GEOMETRYCOLLECTION(POINT(1e1 2),POINT EMPTY),MULTIPOINT((1 1),(2 2)) ) ": ["POINT (10.0 2.0)", "POINT EMPTY", "MULTIPOINT ((1.0 1.0), (2.0 2.0))"],
+        "GEOMETRYCOLLECTION (MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5))), POLYGON ((0 0, 9 0, 9 9, 0 0)))":
+            ["MULTIPOLYGON (((0.0 0.0, 1.0 0.0, 1.0 1.0, 0.0 0.0)), ((5.0 5.0, 6.0 5.0, 6.0 6.0, 5.0 5.0)))", "POLYGON ((0.0 0.0, 9.0 0.0, 9.0 9.0, 0.0 0.0))"],
+        "GEOMETRYCOLLECTION EMPTY": [], "POINT (7 8)": ["POINT (7.0 8.0)"],
+        "GEOMETRYCOLLECTION (POINT (x 2))": None, "GEOMETRYCOLLECTION (CIRCLE (1 2 3))": None, "nothing": None, None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("ms", M.members_from_wkt("t"))
+    df = shapes.from_wkb_members(shapes.to_wkb(df, "ms", "wkb"), "wkb", "back")
+    shown = lambda c: F.transform(c, G.to_wkt)
+    rows = df.select("t", shown(F.col("ms")).alias("m"), shown(F.col("back")).alias("b"), M.members_to_wkt("ms").alias("w"), M.area("ms").alias("a"), M.extent("ms").alias("e"), M.members_to_geojson("ms").alias("j")).collect()
+    for r in rows:
+        assert r.m == texts[r.t] and r.b == texts[r.t], r.t
+        assert (r.j is None) == (r.m is None) and (r.m is None or [g["type"].upper() for g in json.loads(r.j)["geometry"]["geometries"]] == [t.split()[0] for t in r.m])
+    assert rows[0].w == rows[0].t and tuple(rows[0].e) == (1, 2, 5, 6) and rows[2].a == 41.5 and rows[3].w == rows[3].t and rows[3].e.xmin is None
+    flat = M.member_rows(df.select("t", "ms"), "ms", "n", "g")
+    assert flat.count() == 8 + 5 and flat.filter("n is null").count() == 5
+    assert [tuple(x) for x in flat.filter("g.gtype = 3 and n = 1").withColumn("p", G.make_point(F.col("n") + 7.0, F.col("n"))).select("n", G.contains("g", "p")).collect()] == [(1, True)]
+
+
+def test_jdbc(spark, tmp_path):
+    """An embedded database: written by Spark, read by a query that it runs, in parts too."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = [(i, f"name {i % 3}" if i % 7 else None, i / 4) for i in range(100)]
+    spark.createDataFrame(rows, "ID int, NAME string, SIZE double").write.format("jdbc").options(url=url, dbtable="SHAPES", driver=driver).save()
+    got = text.read_jdbc(spark, url, "SELECT NAME, COUNT(*) AS N, SUM(SIZE) AS TOTAL FROM (SELECT ID, SIZE, CAST(NAME AS VARCHAR(20)) AS NAME FROM SHAPES) s WHERE ID < 50 GROUP BY NAME", driver=driver)
+    want = {}
+    for i, name, size in rows[:50]:
+        n, total = want.get(name, (0, 0.0))
+        want[name] = (n + 1, total + size)
+    assert {r.NAME: (r.N, r.TOTAL) for r in got.collect()} == want
+    parts = text.read_jdbc(spark, url, "SELECT ID, NAME FROM SHAPES", driver=driver, key="ID", bounds=(0, 100), parts=4)
+    assert parts.rdd.getNumPartitions() == 4 and sorted((r.ID, r.NAME) for r in parts.collect()) == [r[:2] for r in rows]
+    assert text.read_jdbc(spark, url, "SELECT * FROM SHAPES WHERE ID < 0", driver=driver).count() == 0
+
+
 def test_osm(spark, tmp_path):
     (tmp_path / "m.osm").write_text(
         '<osm><node id="1" lat="0" lon="0"/><node id="2" lat="0" lon="2"><tag k="a" v="b"/></node><node id="3" lat="2" lon="2"/><node id="9" lat="9" lon="9" visible="false"/>'
