@@ -79,6 +79,13 @@ def test_errors(spark):
         S.interpolate(F.lit(1), [(2, 1), (1, 1)])
 
 
+def test_colour_names(spark):
+    names = spark.createDataFrame([("Red",), ("Light Goldenrod\tYellow",), ("REBECCAPURPLE",), ("no colour",), ("",), (None,)], "n string")
+    got = [tuple(round(255 * v) for v in r.c) if r.c else None for r in names.select(S.colour_name_rgb("n").alias("c")).collect()]
+    assert got == [(255, 0, 0), (250, 250, 210), (102, 51, 153), None, None, None]
+    assert len(S.COLOURS) == 148 and S.COLOURS["grey"] == S.COLOURS["gray"] and S.colour_components("dark Orange") == (1.0, 140 / 255, 0.0)
+
+
 def test_colours_come_back(spark):
     rgb = spark.range(1).select(S.adjust_hsb(F.lit(0.2), F.lit(0.4), F.lit(0.9)).alias("c")).first().c
     assert (rgb.r, rgb.g, rgb.b) == (pytest.approx(0.2), pytest.approx(0.4), pytest.approx(0.9))
