@@ -33,11 +33,13 @@ def members_from_wkt(text) -> Column:
         opened = F.length(leaf) - F.length(F.replace(leaf, F.lit("("), F.lit("")))
         return F.when(opened == 0, leaf).otherwise(F.concat(F.call_function("substring_index", leaf, F.lit(")"), opened.cast("int")), F.lit(")")))
 
-    members = F.transform(found, lambda s: G.from_wkt(own(s)))
+    members = F.transform(F.transform(found, own), G.from_wkt)
     # What is left beside the members: names, brackets and commas of collections.
     rest = F.regexp_replace(text, MEMBER, "")
     sound = text.rlike(r"^(GEOMETRYCOLLECTION|" + _LEAF + r")\b") & ~F.regexp_replace(rest, r"GEOMETRYCOLLECTION|EMPTY|[\s(),]", "").rlike(".")
-    return F.when(sound & ~F.exists(members, lambda m: m.isNull()), members)
+    # Bound once: the members would be read again for the test.
+    whole = lambda ms: F.when(~F.exists(ms, lambda m: m.isNull()), ms)
+    return F.when(sound, F.get(F.transform(F.array(members), whole), 0))
 
 
 def members_to_wkt(members) -> Column:
