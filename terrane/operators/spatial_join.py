@@ -89,12 +89,12 @@ def _strictly_inside(x: pa.Array, y: pa.Array, x0: pa.Array, y0: pa.Array, corne
 
 def _whole_cells(polys: DataFrame, geom: str, key: str, base: float) -> DataFrame:
     """Small polygons as ``cells_inside``: the cells of their boxes, with all
-    their edges and a point outside in place of the corner."""
+    their edges, a point outside in place of the corner, and their boxes."""
     g = F.col(geom)
     boxed = polys.filter(F.size(g["parts"]) > 0).select(key, *[g[c].alias(f"__{c}") for c in ("xmin", "ymin", "xmax", "ymax")], G.segments(geom).alias("__edges"))
     bounds = tuple(F.col(f"__{c}") for c in ("xmin", "ymin", "xmax", "ymax"))
     outside = {"__rx": 2 * bounds[0] - bounds[2] - 1, "__ry": bounds[1] - (bounds[3] - bounds[1]) * 0.37 - 1}
-    return with_cells(boxed, bounds, base).select(key, "__level", "__cx", "__cy", F.lit(False).alias("__corner"), "__edges", *[v.alias(k) for k, v in outside.items()])
+    return with_cells(boxed, bounds, base).select(key, "__level", "__cx", "__cy", F.lit(False).alias("__corner"), "__edges", *[v.alias(k) for k, v in outside.items()], *[v.alias(k) for k, v in zip(("__x0", "__y0", "__x1", "__y1"), bounds, strict=True)])
 
 
 def cells_inside(polys: DataFrame, geom: str, key: str, base: float) -> DataFrame:
@@ -146,8 +146,8 @@ def pip_join(points: DataFrame, x: str, y: str, polys: DataFrame, geom: str, how
     left, semi or anti (the last three need point_id).
 
     Polygons are numbered and written; points meet their cells (``cells_inside``)
-    in an equi-join, are tested in Arrow batches, and only found pairs are joined to
-    the polygons' rows.
+    in an equi-join and are tested in Arrow batches.  But for inner joins points at
+    one place are tested once, and only what was found there is joined to them.
     """
     spark = points.sparkSession
     ws = Workspace(spark, "points-in-polygons")
@@ -158,28 +158,41 @@ def pip_join(points: DataFrame, x: str, y: str, polys: DataFrame, geom: str, how
     base = base or _power(width)
     cells = _whole_cells(numbered.filter(vertices <= FEW), geom, "__poly", base)
     if most and most > FEW:
-        cells = cells.unionByName(cells_inside(numbered.filter(vertices > FEW), geom, "__poly", base))
+        cells = cells.unionByName(cells_inside(numbered.filter(vertices > FEW), geom, "__poly", base), allowMissingColumns=True)
     cells = ws.keep(cells, "cells")
     # The levels in use are a fixed few numbers.
     levels = sorted(r[0] for r in cells.select("__level").distinct().collect()) or [0]
-    dealt = points.withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels])))
+    each = how == "inner" and not first_by
+    dealt = (points if each else points.select(x, y).distinct()).withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels])))
     dealt = dealt.withColumns({"__cx": _cell(F.col(x), F.col("__level"), base), "__cy": _cell(F.col(y), F.col("__level"), base)})
-    met = dealt.join(cells, ["__level", "__cx", "__cy"])
+    # Small polygons' boxes leave few of the points in their cells to be tested.
+    boxed = F.col("__x0").isNull() | (F.col(x).between(F.col("__x0"), F.col("__x1")) & F.col(y).between(F.col("__y0"), F.col("__y1")))
+    met = dealt.join(cells, ["__level", "__cx", "__cy"]).filter(boxed)
     test = F.arrow_udf("boolean")(_strictly_inside).asNondeterministic()
     found = test(F.col(x).cast("double"), F.col(y).cast("double"), "__rx", "__ry", "__corner", "__edges")
-    pairs = met.filter(found).select(*points.columns, "__poly")
+    pairs = met.filter(found)
+    if each:
+        return pairs.select(*points.columns, "__poly").join(numbered, "__poly").drop("__poly")
+    pairs = pairs.select(x, y, "__poly")
     if how in ("semi", "anti"):
-        return points.join(pairs.select(point_id), point_id, f"left_{how}")
-    pairs = pairs.join(numbered, "__poly").drop("__poly")
+        return points.join(pairs.select(x, y).distinct(), [x, y], f"left_{how}").select(*points.columns)
+    if first_by:
+        pairs = _least(ws, pairs, numbered, x, y, first_by)
+    pairs = pairs.join(numbered, "__poly")
     if first_by:
         attributes = F.struct(*polys.columns)
         rank = F.struct(first_by, *[c for c, kind in polys.dtypes if c != first_by and "map<" not in kind])
-        best = pairs.groupBy(point_id).agg(F.min_by(attributes, rank).alias("__first"))
-        pairs = points.join(best, point_id).select(*points.columns, *[F.col(f"__first.{c}").alias(c) for c in polys.columns])
-    if how == "inner":
-        return pairs
-    found = pairs.select(point_id, *polys.columns)
-    return points.join(found, point_id, "left")
+        best = pairs.groupBy(x, y).agg(F.min_by(attributes, rank).alias("__first"))
+        pairs = best.select(x, y, *[F.col(f"__first.{c}").alias(c) for c in polys.columns])
+    return points.join(pairs.drop("__poly"), [x, y], how).select(*points.columns, *polys.columns)
+
+
+def _least(ws: Workspace, pairs: DataFrame, numbered: DataFrame, x: str, y: str, by: str) -> DataFrame:
+    """The pairs of each place whose polygon has its least value: one, unless
+    values are tied, so that few whole polygons are moved."""
+    valued = ws.keep(pairs.join(numbered.select("__poly", F.struct(by).alias("__by")), "__poly"), "pairs")
+    least = valued.groupBy(x, y).agg(F.min("__by").alias("__least"))
+    return valued.join(least, [x, y]).filter("__by <=> __least").select(x, y, "__poly")
 
 
 def bbox_join(left: DataFrame, left_geom: str, right: DataFrame, right_geom: str, base: float | None = None) -> DataFrame:

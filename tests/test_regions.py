@@ -269,3 +269,26 @@ def test_sums_over_ranges(spark):
     shares = A.share_of_total(df, ["k"], ["o"], "v").filter("k = 'a'").agg(F.sum("share"), F.max(F.col("share") + F.col("start"))).first()
     assert shares[0] == pytest.approx(360) and shares[1] == pytest.approx(360)
     assert A.running(df.limit(0), ["k"], ["o"], "v").count() == 0
+
+
+def test_points_at_one_place_are_tested_once(spark, monkeypatch):
+    inside = J._strictly_inside
+
+    def once(x, *rest):
+        if len(x) > 1:
+            raise ValueError("one place and one polygon, but more rows")
+        return inside(x, *rest)
+
+    monkeypatch.setattr(J, "_strictly_inside", once)
+    polys = spark.range(1).select(F.lit(7).alias("code"), G.make_box(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(2.0)).alias("g"))
+    points = spark.range(0, 50, 1, 1).select("id", F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    for how, first_by, rows in (("left", None, 50), ("semi", None, 50), ("anti", None, 0), ("inner", "code", 50)):
+        assert J.pip_join(points, "x", "y", polys, "g", how=how, point_id="id", first_by=first_by).count() == rows
+
+
+def test_left_join_of_points_with_one_id_or_no_place(spark):
+    polys = spark.range(1).select(F.lit(7).alias("code"), G.make_box(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(2.0)).alias("g"))
+    points = spark.createDataFrame([(1, 1.0, 1.0), (1, 5.0, 5.0), (2, None, 1.0)], "id long, x double, y double")
+    got = J.pip_join(points, "x", "y", polys, "g", how="left", point_id="id").select("id", "x", "code").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1.0, 7), (1, 5.0, None), (2, None, None)], key=str)
+    assert J.pip_join(points, "x", "y", polys, "g", how="anti", point_id="id").count() == 2
