@@ -292,3 +292,35 @@ def test_left_join_of_points_with_one_id_or_no_place(spark):
     got = J.pip_join(points, "x", "y", polys, "g", how="left", point_id="id").select("id", "x", "code").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, 1.0, 7), (1, 5.0, None), (2, None, None)], key=str)
     assert J.pip_join(points, "x", "y", polys, "g", how="anti", point_id="id").count() == 2
+
+
+def _squares(spark, name, n, of):
+    """n boxes of many widths, at ``of`` places."""
+    k = F.col("id") % of
+    x, y, w = (k * 37 % 101) / 10.0, (k * 53 % 89) / 10.0, F.pow(F.lit(2.0), k % 6 - 3)
+    return spark.range(n).select(F.col("id").alias(name), G.make_box(x, y, x + w, y + w).alias(f"g{name}"))
+
+
+def test_boxes_of_many_levels_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(J, "FEW_ROWS", 10, raising=False)
+    a, b = _squares(spark, "a", 120, 120), _squares(spark, "b", 90, 77)
+    pairs = J.bbox_join(a, "ga", b, "gb")
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    box = {n: [(r[0], r[1]) for r in df.collect()] for n, df in (("a", a), ("b", b))}
+    want = [(i, j) for i, g in box["a"] for j, h in box["b"] if g.xmin <= h.xmax and h.xmin <= g.xmax and g.ymin <= h.ymax and h.ymin <= g.ymax]
+    assert sorted(map(tuple, pairs.select("a", "b").collect())) == sorted(want)
+
+
+def test_equal_shapes_are_compared_once(spark, monkeypatch):
+    a, b = _squares(spark, "a", 120, 12), _squares(spark, "b", 40, 40)
+    want = sorted(map(tuple, J.predicate_join(a, "ga", b, "gb", "overlaps").select("a", "b").collect()))
+    monkeypatch.setattr(J, "FEW_ROWS", 10, raising=False)
+    joined, rows = J.bbox_join, []
+
+    def counted(left, *rest):
+        rows.append(left.count())
+        return joined(left, *rest)
+
+    monkeypatch.setattr(J, "bbox_join", counted)
+    assert sorted(map(tuple, J.predicate_join(a, "ga", b, "gb", "overlaps").select("a", "b").collect())) == want and want
+    assert rows == [12]
