@@ -364,7 +364,8 @@ def interpolate_colour(c, points: list[tuple[float, str]]) -> Column:
         raise ValueError("break points must be in ascending order")
     c = _col(c)
     colours = [colour_components(text) for _, text in points]
-    two = lambda v: F.lpad(F.hex(round_half_up(v * 255).cast("long")), 2, "0")
+    # Room for the rounding of the way through hue, so that halves go up.
+    two = lambda v: F.lpad(F.hex(round_half_up(v * 255 + 1e-11).cast("long")), 2, "0")
     out = F.when(c < float(points[0][0]), F.lit(points[0][1]))
     for (x0, _), (x1, _), low, high in zip(points, points[1:], colours, colours[1:], strict=False):
         if len(low) == len(high) == 4:

@@ -187,3 +187,9 @@ def test_projections_on_ellipsoids(spark):
     for wrong in ("+proj=merc +ellps=none", "+proj=merc +datum=none", "+proj=merc +rf=300", "+proj=merc +a=1 +b=3", "+proj=lcc +lat_1=20 +lat_2=-20 +ellps=intl"):
         with pytest.raises(ValueError):
             P.reproject("latlong", wrong, F.lit(1.0), F.lit(2.0))
+
+
+def test_colours_halfway_between_two(spark):
+    prices = [14300.0, 67500.0, 120700.0, 173900.0, 227100.0, 306900.0, 333500.0, 360100.0]
+    df = spark.createDataFrame([(p,) for p in prices], "p double").select("p", S.interpolate_colour("p", [(1000, "red"), (400_000, "yellow")]).alias("c"))
+    assert [r.c for r in df.orderBy("p").collect()] == [f"0xff{v}00" for v in ("09", "2b", "4d", "6f", "91", "c4", "d5", "e6")]
