@@ -21,7 +21,7 @@ from terrane.operators import spatial_join as J
 from terrane.plans.layers import PATH_ORDER, customer_points, nation_cells, order_paths, part_diamonds, supplier_points, table, with_layers
 from terrane.plans.queries import ORACLES, QUERIES, query, r4
 from terrane.sources import osm, rasters, shapefile_ranges, shapes, text
-from terrane.workspace import Workspace
+from terrane.workspace import Workspace, spread
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -101,7 +101,7 @@ def shapefile_box(spark, d):
  CASE n WHEN 0 THEN '' WHEN 1 THEN 'Point' WHEN 2 THEN 'Point,LineString' WHEN 3 THEN 'Point,LineString,MultiPoint' ELSE 'Point,LineString,MultiPoint,Polygon' END AS kinds FROM (SELECT *, p_partkey % 5 AS n FROM dia)"""))
 def collections_roundtrip(spark, d):
     """Collections of none to four members through text, binary and text again; kinds are read from their JSON."""
-    p = part_diamonds(spark, d)
+    p = spread(part_diamonds(spark, d).select("p_partkey", "cx", "cy", "diamond"))
     ring = F.get(F.col("diamond.parts"), 0)
     members = F.array(G.make_point("cx", "cy"), G.make_line(ring), G.geometry(G.MULTIPOINT, F.transform(ring, lambda v: F.array(v))), F.col("diamond"))
     made = p.select("p_partkey", M.members_to_wkt(F.slice(members, F.lit(1), (F.col("p_partkey") % 5).cast("int"))).alias("t"))

@@ -324,3 +324,26 @@ def test_equal_shapes_are_compared_once(spark, monkeypatch):
     monkeypatch.setattr(J, "bbox_join", counted)
     assert sorted(map(tuple, J.predicate_join(a, "ga", b, "gb", "overlaps").select("a", "b").collect())) == want and want
     assert rows == [12]
+
+
+def test_heavy_rows_of_one_task_are_dealt_out(spark):
+
+    few = spark.range(0, 200, 1, 1).select("id", G.make_box(F.col("id") * 1.0, F.lit(0.0), F.col("id") + 1.0, F.lit(1.0)).alias("g"))
+    used = L.label_point(few, ["id"], "g").select("id", F.spark_partition_id().alias("p"))
+    assert used.select("p").distinct().count() > 1 and used.count() == 200
+
+
+def test_rings_walked_and_shapes_in_arrays():
+
+    from terrane.operators import overlay
+
+    rng = np.random.default_rng(3)
+    rows = [shape(3, star(rng, 12, 0, 0, 1, 3)), shape(3, [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(1, 1), (1, 3), (3, 3), (3, 1), (1, 1)]), shape(6, [(0, 0), (1, 0), (1, 1), (0, 0)], [(5, 5), (6, 5), (6, 6), (5, 5)])]
+    shapes = pa.array([{**r, **dict.fromkeys(("xmin", "ymin", "xmax", "ymax"), 0.0)} for r in rows], overlay.SHAPE)
+    e = arrangement.offset_outlines(shapes, np.full(3, 0.4))
+    b = arrangement.bounding(e)
+    assert arrangement._followers(b)[1].all()
+    want = [overlay.shape_of(pieces.nested(pieces.chained(b.ax[i:j], b.ay[i:j], b.bx[i:j], b.by[i:j]))) for i, j in zip(b.first[:-1], b.first[1:], strict=True)]
+    got = arrangement.regions(e)
+    assert [[len(r) for p in g for r in p] for g in got] == [[len(r) for r in w["parts"]] for w in want]
+    assert overlay.polygon_array([*got, None, []]).equals(pa.array([*want, None, overlay.shape_of([])], overlay.SHAPE))
