@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.functions.covered import areas_of_runs
 from terrane.workspace import Workspace, partitions
 
 
@@ -205,30 +206,54 @@ def hull_agg(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return points.mapInPandas(partial, schema).groupBy(key).applyInPandas(final, f"{key} {dict(df.dtypes)[key]}, pos long, x double, y double")
 
 
-def dissolved_area(rects: DataFrame, keys: list[str], bounds: tuple[str, str, str, str]) -> DataFrame:
+#: Boxes of a tile that one task takes; a tile with more is cut into four.
+TILE_BOXES = 1 << 20
+
+
+def dissolved_area(rects: DataFrame, keys: list[str], bounds: tuple[str, str, str, str], most: int = TILE_BOXES) -> DataFrame:
     """Area of the union of each group's axis-parallel boxes.
 
-    Boxes are cut along tiles about as large as a middling box, so that a group
-    of any size is spread over tasks.  In a tile, the strips between neighbouring
-    x edges hold intervals of y, and a running maximum over these gives the
-    length that they cover.  Boxes with a null bound or no area count nothing; a
-    group without a box has no row.
+    Boxes are cut along tiles about twice as large as a middling box, so that a
+    group of any size is spread over tasks; a tile's pieces come sorted to one
+    task, which adds up what they cover (``covered_area``) and holds no pairs.
+    Where boxes lie on one another, tiles of over ``most`` pieces are cut into
+    four until they have fewer, or until one piece covers them.  Boxes with a
+    null bound or no area count nothing; a group without a box has no row.
     """
+    spark = rects.sparkSession
+    ws = Workspace(spark, "tiles")
     x0, y0, x1, y1 = (F.col(b) for b in bounds)
     boxes = rects.select(*keys, *[c.cast("double").alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1), strict=True)]).filter("x0 < x1 and y0 < y1")
+    boxes = ws.keep(boxes.distinct(), "boxes")
     middle, low, high = boxes.agg(F.percentile_approx(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), 0.5, 100), F.least(F.min("x0"), F.min("y0")), F.greatest(F.max("x1"), F.max("y1"))).first()
     # Even a box over everything has at most 512 x 512 tiles.
-    size = max(middle, (high - low) / 512) if middle else 1.0
-    at = lambda c: F.floor(F.col(c) / size).cast("long")
-    tiled = boxes.withColumn("tx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("ty", F.explode(F.sequence(at("y0"), at("y1"))))
-    cut = {"x0": F.greatest("x0", F.col("tx") * size), "x1": F.least("x1", (F.col("tx") + 1) * size), "y0": F.greatest("y0", F.col("ty") * size), "y1": F.least("y1", (F.col("ty") + 1) * size)}
-    tiled = tiled.withColumns(cut).filter("x0 < x1 and y0 < y1").distinct()
-    tile = [*keys, "tx", "ty"]
-    edges = tiled.select(*tile, F.explode(F.array("x0", "x1")).alias("a")).distinct()
-    strips = edges.withColumn("b", F.lead("a").over(Window.partitionBy(*tile).orderBy("a"))).filter("b is not null")
-    strips = strips.select(*[F.col(k).alias(f"__{k}") for k in tile], "a", "b")
-    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in tile] + [F.col("x0") <= F.col("a"), F.col("x1") >= F.col("b")]
-    inside = tiled.join(strips, on).select(*tile, "a", "b", "y0", "y1")
-    before = F.max("y1").over(Window.partitionBy(*tile, "a").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
-    covered = F.greatest(F.lit(0.0), F.col("y1") - F.greatest("y0", F.coalesce(before, F.col("y0"))))
-    return inside.select(*keys, (covered * (F.col("b") - F.col("a"))).alias("area")).groupBy(*keys).agg(F.sum("area").alias("area"))
+    size = max(2 * middle, (high - low) / 512) if middle else 1.0
+    tile = [*keys, "level", "tx", "ty"]
+
+    def cut(rows: DataFrame, level: int) -> DataFrame:
+        side = size / 2**level
+        at = lambda c: F.floor(F.col(c) / side).cast("long")
+        tiled = rows.withColumn("level", F.lit(level)).withColumn("tx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("ty", F.explode(F.sequence(at("y0"), at("y1"))))
+        sides = {"x0": F.greatest("x0", F.col("tx") * side), "x1": F.least("x1", (F.col("tx") + 1) * side), "y0": F.greatest("y0", F.col("ty") * side), "y1": F.least("y1", (F.col("ty") + 1) * side)}
+        return tiled.withColumns(sides).filter("x0 < x1 and y0 < y1")
+
+    def crowded(pieces: DataFrame, level: int) -> DataFrame:
+        side = size / 2**level
+        full = (F.col("x0") <= F.col("tx") * side) & (F.col("x1") >= (F.col("tx") + 1) * side) & (F.col("y0") <= F.col("ty") * side) & (F.col("y1") >= (F.col("ty") + 1) * side)
+        found = pieces.groupBy(*tile).agg(F.count("*").alias("n"), F.max(full).alias("full")).filter((F.col("n") > most) & ~F.col("full"))
+        return ws.keep(found.select(*[F.col(c).alias(f"__{c}") for c in tile]), f"crowded-{level}")
+
+    pieces, found = cut(boxes, 0), []
+    for level in range(30):
+        heavy = crowded(pieces, level)
+        if heavy.isEmpty():
+            break
+        on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in tile]
+        found.append(pieces.join(heavy, on, "left_anti"))
+        pieces = ws.keep(cut(pieces.join(heavy, on, "left_semi").drop("level", "tx", "ty"), level + 1).distinct(), f"pieces-{level}")
+    for other in found:
+        pieces = pieces.unionByName(other)
+    dealt = pieces.repartition(partitions(spark), *tile).sortWithinPartitions(*tile)
+    schema = ", ".join([f"`{k}` {dict(rects.dtypes)[k]}" for k in keys] + ["area double"])
+    areas = dealt.mapInArrow(areas_of_runs(tile, keys, ("x0", "y0", "x1", "y1")), schema)
+    return areas.groupBy(*keys).agg(F.sum("area").alias("area"))

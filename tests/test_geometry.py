@@ -313,3 +313,24 @@ def test_labels_named_by_text_and_bounds_that_are_no_numbers(spark):
     rows = [("b", 1, 0.0, 1.0), ("a", 1, 0.5, 1.5), ("c", 1, float("nan"), 1.0), ("d", 1, 0.0, float("inf")), ("e", 1, 9.0, 8.0)]
     df = spark.createDataFrame(rows, "r string, c int, x0 double, x1 double").selectExpr("*", "0 y0", "1 y1")
     assert {tuple(r) for r in P.place_labels(df, "r", "c", ("x0", "y0", "x1", "y1")).collect()} == {("a", 1), ("e", 1)}
+
+
+def test_dissolved_area_of_boxes_on_one_another(spark):
+    """Dense and crowded tiles against unit cells; what is shuffled follows the boxes, not their pairs."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", None]), rng.randint(0, 40), rng.randint(0, 40), rng.randint(1, 12), rng.randint(1, 12)) for _ in range(1500)]
+    rows += [("stairs", 0, 0, i, 300 - i) for i in range(1, 300)] + [("corner", 0, 0, 7, 7)] * 40 + [("far", 500, 500, 3, 3)]
+    cells = {}
+    for k, x, y, w, h in rows:
+        cells.setdefault(k, set()).update((i, j) for i in range(x, x + w) for j in range(y, y + h))
+    df = spark.createDataFrame(rows, "k string, x int, y int, w int, h int").selectExpr("k", "x x0", "y y0", "x + w x1", "y + h y1")
+    for most in (20, A.TILE_BOXES):
+        assert {r.k: r.area for r in A.dissolved_area(df, ["k"], ("x0", "y0", "x1", "y1"), most).collect()} == {k: float(len(v)) for k, v in cells.items()}
+    stairs = spark.range(1, 3000).selectExpr("'s' k", "0D x0", "0D y0", "id * 1D x1", "3000D - id y1")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark._jvm.java.util.ArrayList()
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (lambda found: [found.apply(i) for i in range(found.size())])(store.stageList(none, False, False, getattr(store, "stageList$default$4")(), none))}
+    before = stages()
+    assert A.dissolved_area(stairs, ["k"], ("x0", "y0", "x1", "y1")).first().area == 2999.0 * 3000 / 2
+    written = sum(n for key, n in stages().items() if key not in before)
+    assert 0 < written < 20 * 3000
