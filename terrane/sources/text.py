@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,21 +38,62 @@ def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(*meta, F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
 
 
-def _with_count(lines: DataFrame, counted: Column, name: str) -> DataFrame:
-    """A running sum of ``counted`` along each file: sums inside splits, and
-    before them the totals of the file's earlier splits."""
-    inside = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+def _earlier(splits: DataFrame, total: str) -> DataFrame:
+    """splits with ``before``, the sum of ``total`` over their file's earlier splits.  One row a split: as
+    many as the driver plans, so that it is sent to all tasks and no line is shuffled."""
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = lines.groupBy("path", "block").agg(F.sum(counted).alias("t"))
-    before = totals.select("path", "block", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("before"))
-    return lines.withColumn(name, F.sum(counted).over(inside)).join(before, ["path", "block"]).withColumn(name, F.col(name) + F.col("before")).drop("before")
+    return F.broadcast(splits.withColumn("before", F.coalesce(F.sum(total).over(earlier), F.lit(0))))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, pos, line) with each line's place in its file, from 0.  Lines end
-    with a newline, a carriage return or both; files are read in splits."""
-    lines = _with_count(_placed_lines(spark, path), F.lit(1), "n")
-    return lines.select("path", (F.col("n") - 1).alias("pos"), "line")
+    with a newline, a carriage return or both; files are read in splits, in each
+    of which ``at`` grows by one a line."""
+    lines = _placed_lines(spark, path)
+    splits = _earlier(lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n")), "n")
+    return lines.join(splits, ["path", "block"]).select("path", (F.col("at") - F.col("first") + F.col("before")).alias("pos"), "line")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, block, n, header, lines) of a task's lines (path, block, head, line),
+    which come in the order of its splits: what each split has of a stanza, with
+    the number of the split's headers up to it.  Lines before a split's first
+    header are number 0, without a header.  One stanza is held at a time."""
+    split, n, top, held = None, 0, None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path, block, line = batch.column("path"), batch.column("block").to_numpy(), batch.column("line")
+        head = batch.column("head").to_numpy() == 1
+        code = path.dictionary_encode().indices.to_numpy()
+        turn = np.append((path[0].as_py(), block[0]) != split, (code[1:] != code[:-1]) | (block[1:] != block[:-1]))
+        at = np.flatnonzero(head | turn)
+        body = line.filter(pa.array(~head))
+        if not len(at):
+            held.append(body)
+            continue
+        # Where each stanza's lines begin among those that are no headers.
+        begins = (np.cumsum(~head) - ~head)[at]
+        heads = np.cumsum(head)
+        turned = np.maximum.accumulate(np.where(turn, np.arange(len(turn)), -1))[at]
+        number = heads[at] - np.where(turned < 0, -n, heads[turned] - head[turned])
+        made = pa.record_batch([
+            path.take(pa.array(at)), pa.array(block[at]), pa.array(number.astype(np.int64)), pc.if_else(pa.array(head[at]), line.take(pa.array(at)), pa.scalar(None, line.type)),
+            pa.ListArray.from_arrays(pa.array(np.append(begins, len(body)).astype(np.int32)), body),
+        ], names=["path", "block", "n", "header", "lines"])
+        if top is not None:
+            yield _closed(top, [*held, body.slice(0, int(begins[0]))])
+        yield made.slice(0, len(at) - 1)
+        # The last one may go on in the next batch.
+        top, held = made.slice(len(at) - 1, 1), [body.slice(int(begins[-1]))]
+        split, n = (path[len(path) - 1].as_py(), block[-1]), int(number[-1])
+    if top is not None:
+        yield _closed(top, held)
+
+
+def _closed(top: pa.RecordBatch, lines: list[pa.Array]) -> pa.RecordBatch:
+    body = pa.concat_arrays(lines)
+    return top.set_column(4, "lines", pa.ListArray.from_arrays(pa.array([0, len(body)], pa.int32()), body))
 
 
 def read_stanzas(spark: SparkSession, path: str, is_header: Column) -> DataFrame:
@@ -56,15 +101,19 @@ def read_stanzas(spark: SparkSession, path: str, is_header: Column) -> DataFrame
 
     is_header: a condition on the column ``line``.  Blank lines are left out,
     as are lines before a file's first header; a header without lines has an
-    empty array.  Files are read in splits: a stanza's number is the number of
-    headers up to it, so that one that crosses a split's border is put together
-    by its number.
+    empty array.  Files are read in splits, whose tasks put their stanzas
+    together as the lines come.  A stanza's number is the number of headers up to
+    it; only what crosses a split's border is shuffled, and put together by its
+    number.
     """
     lines = _placed_lines(spark, path).filter(F.trim("line") != "").withColumn("head", F.coalesce(is_header.cast("int"), F.lit(0)))
-    counted = _with_count(lines, F.col("head"), "stanza").filter("stanza > 0")
-    body = F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("block", "at", "line"))))
-    found = counted.groupBy("path", "stanza").agg(F.max(F.when(F.col("head") == 1, F.col("line"))).alias("header"), body.alias("b"))
-    return found.select("path", "stanza", "header", F.transform("b", lambda s: s["line"]).alias("lines"))
+    splits = _earlier(lines.groupBy("path", "block").agg(F.sum("head").alias("heads")), "heads")
+    parts = lines.select("path", "block", "head", "line").mapInArrow(_gathered, "path string, block long, n long, header string, lines array<string>")
+    placed = parts.join(splits, ["path", "block"]).withColumn("stanza", F.col("n") + F.col("before")).filter("stanza > 0")
+    whole = placed.filter("n > 0 and n < heads").select("path", "stanza", "header", "lines")
+    pieces = F.array_sort(F.collect_list(F.struct("block", "lines")))
+    border = placed.filter("n = 0 or n = heads").groupBy("path", "stanza").agg(F.max("header").alias("header"), F.flatten(F.transform(pieces, lambda s: s["lines"])).alias("lines"))
+    return whole.unionByName(border)
 
 
 def stanza_vertices(lines: Column, scale: float = 1.0) -> Column:

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from stages import rows_since, shuffled_rows
 
 from terrane.functions import geometry as G
 from terrane.operators import aggregate as A
@@ -327,10 +328,6 @@ def test_dissolved_area_of_boxes_on_one_another(spark):
     for most in (20, A.TILE_BOXES):
         assert {r.k: r.area for r in A.dissolved_area(df, ["k"], ("x0", "y0", "x1", "y1"), most).collect()} == {k: float(len(v)) for k, v in cells.items()}
     stairs = spark.range(1, 3000).selectExpr("'s' k", "0D x0", "0D y0", "id * 1D x1", "3000D - id y1")
-    store = spark.sparkContext._jsc.sc().statusStore()
-    none = spark._jvm.java.util.ArrayList()
-    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (lambda found: [found.apply(i) for i in range(found.size())])(store.stageList(none, False, False, getattr(store, "stageList$default$4")(), none))}
-    before = stages()
+    before = shuffled_rows(spark)
     assert A.dissolved_area(stairs, ["k"], ("x0", "y0", "x1", "y1")).first().area == 2999.0 * 3000 / 2
-    written = sum(n for key, n in stages().items() if key not in before)
-    assert 0 < written < 20 * 3000
+    assert 0 < rows_since(spark, before) < 20 * 3000

@@ -7,6 +7,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from stages import rows_since, shuffled_rows
 
 from terrane.functions import geometry as G
 from terrane.functions import members as M
@@ -223,3 +224,35 @@ def test_rasters(spark, tmp_path):
     assert len(ring) == 4 and ring[0] == ring[-1]
     b = spark.range(1).select(rasters.wms_bbox(F.lit("http://x/?BBOX=5,6,1,2&a=b")), rasters.wms_bbox(F.lit("http://x/?bbox=1,2,3")), rasters.is_map_request(F.lit("http://x/?ReQuest=GetMap"))).first()
     assert tuple(b[0]) == (1, 2, 5, 6) and b[1] is None and b[2]
+
+
+def test_stanzas_are_put_together_in_their_splits(spark, tmp_path):
+    """Stanzas over many splits and Arrow batches; lines are not shuffled, only what crosses a border."""
+    rng = random.Random(6)
+    want, places = {}, {}
+    for f in range(3):
+        lines = ["before"] * rng.choice([0, 2, 900])
+        for n in range(60):
+            lines += [f"head {n}"] + [f"{f} {n} {k}" for k in range(2000 if n % 20 == 7 else rng.randint(0, 30))]
+        (tmp_path / f"{f}.txt").write_text("\n".join(lines))
+        places |= {(f"{f}.txt", k): line for k, line in enumerate(lines)}
+        for line in lines:
+            if line.startswith("head"):
+                want[f"{f}.txt", 1 + int(line[5:])] = (line, [])
+            elif line != "before":
+                want[f"{f}.txt", 1 + int(line.split()[1])][1].append(line)
+    settings = {"spark.sql.files.maxPartitionBytes": "5000", "spark.sql.files.openCostInBytes": "0", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    keep = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        before = shuffled_rows(spark)
+        read = text.read_stanzas(spark, str(tmp_path), F.col("line").startswith("head"))
+        got = {(r.path.rsplit("/", 1)[1], r.stanza): (r.header, r.lines) for r in read.collect()}
+        numbered = {(r.path.rsplit("/", 1)[1], r.pos): r.line for r in text.numbered_lines(spark, str(tmp_path)).collect()}
+        shuffled = rows_since(spark, before)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert got == want and numbered == places and len(places) > 20000
+    assert 0 < shuffled < len(places) / 10
