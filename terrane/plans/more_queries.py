@@ -76,7 +76,7 @@ def osm_ways(spark, d):
 
 def _diamond_shapefiles(spark, d: str) -> str:
     path = folder(spark, "shapefiles")
-    shapefile_ranges.write_shapefiles(part_diamonds(spark, d).select("p_partkey", "p_brand", "p_size", "diamond"), path, "diamond")
+    shapefile_ranges.write_shapefiles(spread(part_diamonds(spark, d).select("p_partkey", "p_brand", "p_size", "diamond")), path, "diamond")
     return path
 
 

@@ -14,8 +14,10 @@ Spark reads.
 A shape's attributes are those of the row of the .dbf with its number among the
 rows that are not deleted.  Where a range of shapes begins in the .dbf is thus
 known only after the deleted rows before it are counted: ``read_shapefile_ranges``
-counts them in a job of its own, one number for each range, and hands those on.
-Without them a task counts by itself, which reads the .dbf up to its range.
+counts them in a job of its own and hands on the numbers of the ranges that have
+any, so that each task is given the place of its first row and reads no other
+range's rows.  Without them a task counts by itself, which reads the .dbf up to
+its range.
 
 Defined results: null shapes have a null geometry and are never skipped; a
 missing .dbf, or one with fewer rows, gives no attributes; a file without .shx is
@@ -28,8 +30,10 @@ from __future__ import annotations
 import json
 import struct
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -75,13 +79,30 @@ def _misses(a: tuple[float, ...], b: tuple[float, ...]) -> bool:
 
 @dataclass
 class Range(InputPartition):
-    """Records ``first`` to ``last`` of a file (None: to its end, read in order)."""
+    """Records ``first`` to ``last`` of a file (None: to its end, read in order),
+    whose attributes begin at the live row ``skip`` after ``place`` of the .dbf."""
 
     base: str
     first: int
     last: int | None
     dbf: bool
-    marks: list[tuple[int, int]] = field(default_factory=list)
+    place: int = 0
+    skip: int = 0
+
+
+class _Places:
+    """Where live rows lie in a .dbf, by the stretches (first row, rows, deleted) that have deleted rows."""
+
+    def __init__(self, marks: list[tuple[int, int, int]]):
+        self.marks, self.gone = marks, [0, *accumulate(m[2] for m in marks)]
+        self.live = [m[0] - gone for m, gone in zip(marks, self.gone, strict=False)]
+
+    def of(self, number: int) -> tuple[int, int]:
+        """A place from which the live row with that number is so many live rows away."""
+        i = bisect_right(self.live, number) - 1
+        if i >= 0 and number < self.live[i] + self.marks[i][1] - self.marks[i][2]:
+            return self.marks[i][0], number - self.live[i]
+        return number + self.gone[i + 1], 0
 
 
 def _cuts(n: int, size: int, most: int) -> list[tuple[int, int]]:
@@ -98,32 +119,25 @@ class _Table:
         self.head = bytearray(self.file.read_at(head, 0))
         self.rows = min(n, (self.file.size() - head) // self.size) if self.size else 0
 
-    def blocks(self, first: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(rows as bytes, which of them are not deleted) of rows first .. last."""
-        step = max(1, BLOCK_BYTES // self.size) if self.size else 1
+    def blocks(self, first: int, last: int, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows as bytes, which of them are not deleted) of rows first .. last, at most ``most`` at a time."""
+        step = max(1, min(BLOCK_BYTES // self.size, most or BLOCK_BYTES)) if self.size else 1
         for a in range(first, last, step):
             n = min(step, last - a)
             rows = np.frombuffer(self.file.read_at(n * self.size, len(self.head) + a * self.size), np.uint8).reshape(n, self.size)
             yield rows, rows[:, 0] != ord("*")
 
-    def live(self, start: int, marks: list[tuple[int, int]], columns: list[str] | None, encoding: str) -> Iterator[dict[str, str]]:
-        """Rows that are not deleted from the one with number ``start`` on."""
-        at = 0
-        for first, count in marks:
-            if count > start:
-                at = first
-                break
-            start -= count
-        else:
-            if marks:
-                return
-        for rows, kept in self.blocks(at, self.rows):
-            n = int(kept.sum())
-            if n > start:
-                mine = rows[kept][start:]
+    def live(self, part: Range, columns: list[str] | None, encoding: str) -> Iterator[dict[str, str]]:
+        """A range's rows that are not deleted, as many as it has records."""
+        skip, left = part.skip, self.rows if part.last is None else part.last - part.first
+        for rows, kept in self.blocks(part.place, self.rows, max(skip + left, 256)):
+            mine = rows[kept][skip : skip + left]
+            if len(mine):
                 struct.pack_into("<I", self.head, 4, len(mine))
                 yield from decode_dbf(bytes(self.head) + mine.tobytes(), columns, encoding)
-            start = max(0, start - n)
+            skip, left = max(0, skip - int(kept.sum())), left - len(mine)
+            if not left:
+                return
 
 
 def _records(system: fs.FileSystem, part: Range) -> Iterator[tuple[int, bytes]]:
@@ -166,7 +180,11 @@ class RangeReader(DataSourceReader):
         self.bbox, self.encoding = _box(options.get("bbox")), options.get("encoding", "ISO-8859-1")
         self.columns = json.loads(options["columns"]) if options.get("columns") else None
         self.bytes = int(options.get("rangebytes", RANGE_BYTES))
-        self.marks = json.loads(options["marks"]) if options.get("marks") else {}
+        self.marks = json.loads(options["marks"]) if options.get("marks") else None
+
+    def __getstate__(self) -> dict:
+        # Tasks are given their places; the numbers of all files stay where ranges are planned.
+        return {**self.__dict__, "marks": None}
 
     def partitions(self) -> list[Range]:
         system, _ = opened(self.path)
@@ -180,12 +198,15 @@ class RangeReader(DataSourceReader):
                 continue
             if self.rows_only:
                 if has:
-                    found += [Range(base, a, b, True) for a, b in _cuts(_Table(system, f"{base}.dbf").rows, sizes[f"{base}.dbf"], self.bytes)]
-            elif f"{base}.shx" in sizes:
+                    # A task counts many ranges: that takes far less time than to decode one.
+                    found += [Range(base, a, b, True) for a, b in _cuts(_Table(system, f"{base}.dbf").rows, sizes[f"{base}.dbf"], max(self.bytes, RANGE_BYTES))]
+                continue
+            places = None if self.marks is None else _Places(self.marks.get(base, []))
+            if f"{base}.shx" in sizes:
                 n = (sizes[f"{base}.shx"] - HEAD) // 8
-                found += [Range(base, a, b, has, self.marks.get(base, [])) for a, b in _cuts(n, sizes[name], self.bytes)]
+                found += [Range(base, a, b, has, *(places.of(a) if places else (0, a))) for a, b in _cuts(n, sizes[name], self.bytes)]
             else:
-                found.append(Range(base, 0, None, has, self.marks.get(base, [])))
+                found.append(Range(base, 0, None, has))
         return found
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -193,10 +214,13 @@ class RangeReader(DataSourceReader):
             return
         system, _ = opened(self.path)
         if self.rows_only:
-            live = sum(int(kept.sum()) for _, kept in _Table(system, f"{part.base}.dbf").blocks(part.first, part.last))
-            yield pa.RecordBatch.from_pylist([{"base": part.base, "first": part.first, "live": live}], schema=pa.schema([("base", pa.string()), ("first", pa.int64()), ("live", pa.int64())]))
+            table, first, counts = _Table(system, f"{part.base}.dbf"), part.first, []
+            for _, kept in table.blocks(part.first, part.last, max(1, self.bytes // max(1, table.size))):
+                counts.append({"base": part.base, "first": first, "rows": len(kept), "deleted": len(kept) - int(kept.sum())})
+                first += len(kept)
+            yield pa.RecordBatch.from_pylist(counts, schema=pa.schema([("base", pa.string()), ("first", pa.int64()), ("rows", pa.int64()), ("deleted", pa.int64())]))
             return
-        rows = _Table(system, f"{part.base}.dbf").live(part.first, part.marks, self.columns, self.encoding) if part.dbf else iter(())
+        rows = _Table(system, f"{part.base}.dbf").live(part, self.columns, self.encoding) if part.dbf else iter(())
         out, held = [], 0
         for n, record in _records(system, part):
             row = next(rows, None)
@@ -343,14 +367,14 @@ class ShapefileSource(DataSource):
 
 
 class ShapefileRows(DataSource):
-    """(base, first, live): how many rows of each range of a .dbf are not deleted."""
+    """(base, first, rows, deleted): how many rows of each range of a .dbf are deleted."""
 
     @classmethod
     def name(cls) -> str:
         return "shapefile_rows"
 
     def schema(self) -> str:
-        return "base string, first long, live long"
+        return "base string, first long, rows long, deleted long"
 
     def reader(self, schema: T.StructType) -> RangeReader:
         return RangeReader(dict(self.options), True)
@@ -364,12 +388,13 @@ def register(spark: SparkSession) -> None:
 def read_shapefile_ranges(spark: SparkSession, path: str, bbox: tuple[float, float, float, float] | None = None, columns: list[str] | None = None, encoding: str = "ISO-8859-1", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(path without ending, record, attributes, GEOMETRY), as ``read_shapefiles``
     gives them, in tasks of about ``range_bytes`` of a file.  What reaches the
-    driver is one number for each such range of a .dbf."""
+    driver is the numbers of each such range of a .dbf that has deleted rows."""
     register(spark)
     options = {"rangeBytes": str(range_bytes), "encoding": encoding} | ({"bbox": json.dumps(bbox)} if bbox else {})
-    marks: dict[str, list[tuple[int, int]]] = {}
-    for r in spark.read.format("shapefile_rows").options(**options).load(path).orderBy("base", "first").collect():
-        marks.setdefault(r.base, []).append((r.first, r.live))
+    marks: dict[str, list[tuple[int, int, int]]] = {}
+    # Sorted here: to order them on Spark would count twice, once for a sample.
+    for r in sorted(spark.read.format("shapefile_rows").options(**options).load(path).filter("deleted > 0").collect()):
+        marks.setdefault(r.base, []).append((r.first, r.rows, r.deleted))
     options |= {"marks": json.dumps(marks)} | ({"columns": json.dumps(columns)} if columns is not None else {})
     return spark.read.format("shapefile").options(**options).load(path)
 

@@ -256,3 +256,33 @@ def test_stanzas_are_put_together_in_their_splits(spark, tmp_path):
             spark.conf.set(k, v)
     assert got == want and numbered == places and len(places) > 20000
     assert 0 < shuffled < len(places) / 10
+
+
+def test_shapefile_ranges_read_their_own_rows(spark, tmp_path):
+    """Stretches of deleted rows longer than a range: what a range decodes is its own rows, and one count task has many ranges."""
+    rng = random.Random(9)
+    _shp(tmp_path / "long.shp", [(i, 0, i + 1, 1) for i in range(3000)])
+    _shx(tmp_path / "long.shp")
+    rows = [b" " + f"n{i}".encode().ljust(8) + f"{i:4d}".encode() for i in range(3000)]
+    for n in (1, 2, 700, 5, 900):
+        at = rng.randint(0, len(rows))
+        rows[at:at] = [b"*gone       0"] * n
+    head = struct.pack("<4BIHH20x", 3, 1, 1, 1, len(rows), 32 + 64 + 1, 13)
+    fields = b"".join(n.ljust(11, b"\0") + k + b"\0" * 4 + bytes([w]) + b"\0" * 15 for n, k, w in ((b"NAME", b"C", 8), (b"SIZE", b"N", 4)))
+    (tmp_path / "long.dbf").write_bytes(head + fields + b"\r" + b"".join(rows))
+    read = shapefile_ranges.read_shapefile_ranges(spark, str(tmp_path), range_bytes=4000)
+    assert sorted((r.record, r.attributes["NAME"], r.attributes["SIZE"], r.x) for r in read.select("record", "attributes", F.col("GEOMETRY.xmin").alias("x")).collect()) == [(i, f"n{i}", str(i), i) for i in range(3000)]
+    options = {"path": str(tmp_path), "rangebytes": "4000"}
+    counting = shapefile_ranges.RangeReader(options, True)
+    counts = [r for p in counting.partitions() for b in counting.read(p) for r in b.to_pylist()]
+    assert len(counting.partitions()) == 1 and len(counts) > 10 and sum(r["deleted"] for r in counts) == 1608
+    marks = {str(tmp_path / "long"): [(r["first"], r["rows"], r["deleted"]) for r in counts if r["deleted"]]}
+    planned = shapefile_ranges.RangeReader(options | {"marks": json.dumps(marks)}, False)
+    decoded = []
+    keep = shapefile_ranges.decode_dbf
+    try:
+        shapefile_ranges.decode_dbf = lambda *a: decoded.append(keep(*a)) or decoded[-1]
+        assert sum(b.num_rows for p in planned.partitions() for b in planned.read(p)) == 3000
+    finally:
+        shapefile_ranges.decode_dbf = keep
+    assert sum(map(len, decoded)) == 3000
