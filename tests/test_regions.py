@@ -1,5 +1,6 @@
 """Edge index, arrangement and region operators against brute force and sampling."""
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -11,6 +12,7 @@ from terrane.operators import aggregate as A
 from terrane.operators import linear as L
 from terrane.operators import region as R
 from terrane.operators import spatial_join as J
+from terrane.plans import queries
 from terrane.sources import shapes as S
 
 VERTEX = pa.struct([("x", pa.float64()), ("y", pa.float64())])
@@ -326,6 +328,64 @@ def test_equal_shapes_are_compared_once(spark, monkeypatch):
     assert rows == [12]
 
 
+@pytest.fixture
+def copies(spark, tmp_path):
+    """A part table of 20 diamonds, each 70 times."""
+    k, copy = F.col("id") % 20, F.floor(F.col("id") / 20)
+    part = spark.range(1400).select((k + 36000 * copy).alias("p_partkey"), F.lit("b").alias("p_brand"), (k * 7 % 50 + 1).cast("int").alias("p_size"))
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+def _of_copies(spark, copies, monkeypatch, name):
+    """A query's rows, those of its SQL, and how many boxes were joined."""
+    joined, rows = J.bbox_join, []
+
+    def counted(left, *rest):
+        rows.append(left.count())
+        return joined(left, *rest)
+
+    monkeypatch.setattr(J, "bbox_join", counted)
+    got = queries.QUERIES[name](spark, copies)
+    db = duckdb.connect()
+    db.sql(f"create view part as select * from '{copies}/part.parquet/*.parquet'")
+    want = db.sql(f"select {', '.join(got.columns)} from ({queries.ORACLES[name]})").fetchall()
+    return sorted(map(tuple, got.collect())), sorted(want), rows
+
+
+def test_overlays_of_copies_are_measured_once(spark, copies, monkeypatch):
+    got, want, rows = _of_copies(spark, copies, monkeypatch, "diamond_overlay")
+    assert rows == [40]  # 70 keys are two lists
+    assert len(got) == len(want) and np.abs(np.array(got) - np.array(want)).max() < 1.5e-4
+
+
+def test_areas_of_convex_rings():
+    rng = np.random.default_rng(12)
+
+    def rings(n):
+        angle, r = np.sort(rng.uniform(0, 2 * np.pi, (300, n)), axis=1), rng.uniform(1, 5, (300, 1))
+        x, y = (rng.uniform(-4, 4, (300, 1)) + r * f(angle) for f in (np.cos, np.sin))
+        return edge_index.Edges(x.ravel(), y.ravel(), np.roll(x, -1, 1).ravel(), np.roll(y, -1, 1).ravel(), np.arange(301) * n)
+
+    for n, m in ((3, 4), (9, 5)):
+        a, b = rings(n), rings(m)
+        assert pieces.convex(a).all()
+        want = pieces.enclosed(pieces.bounding(pieces.meet(a, b), "intersection"))
+        assert np.abs(pieces.convex_shared(a, b) - want).max() < 1e-12 and ((pieces.convex_shared(a, b) > 0) == (want > 0)).all()
+    # Turned squares: side by side, corner to corner, the same, one in the other, apart.
+    c, s = np.cos(0.3), np.sin(0.3)
+    square = lambda x, y, w=1.0: shape(3, [(c * p - s * q + 7, s * p + c * q + 9) for p, q in ((x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y))])
+    a, b = pa.array([square(0, 0)] * 5, SHAPE), pa.array([square(1, 0), square(1, 1), square(0, 0), square(0.25, 0.25, 0.5), square(3, 0)], SHAPE)
+    assert pieces.shared(pieces.edges(a), pieces.edges(b)).tolist() == pytest.approx([0, 0, 1, 0.25, 0], abs=1e-12)
+    assert (pieces.shared(pieces.edges(a), pieces.edges(b)) > 0).tolist() == [False, False, True, True, False]
+    # Two ways around (a star of five corners), a bent shape, and several rings are not convex.
+    five = [(np.cos(4 * np.pi * k / 5), np.sin(4 * np.pi * k / 5)) for k in range(5)]
+    bent = shape(3, [(0, 0), (2, 0), (2, 2), (1, 0.5), (0, 2), (0, 0)])
+    hole = shape(3, [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(1, 1), (1, 3), (3, 3), (3, 1), (1, 1)])
+    assert not pieces.convex(pieces.edges(pa.array([shape(3, [*five, five[0]]), bent, hole, shape(3)], SHAPE))).any()
+    assert pieces.shared(*[pieces.edges(pa.array(v, SHAPE)) for v in ([hole, square(0, 0)], [shape(3, [(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)]), square(0.5, 0)])]).tolist() == pytest.approx([3, 0.5])
+
+
 def test_heavy_rows_of_one_task_are_dealt_out(spark):
 
     few = spark.range(0, 200, 1, 1).select("id", G.make_box(F.col("id") * 1.0, F.lit(0.0), F.col("id") + 1.0, F.lit(1.0)).alias("g"))
