@@ -359,6 +359,11 @@ def test_overlays_of_copies_are_measured_once(spark, copies, monkeypatch):
     assert len(got) == len(want) and np.abs(np.array(got) - np.array(want)).max() < 1.5e-4
 
 
+def test_boxes_of_copies_are_joined_once(spark, copies, monkeypatch):
+    got, want, rows = _of_copies(spark, copies, monkeypatch, "bbox_join")
+    assert rows == [40] and got == want
+
+
 def test_areas_of_convex_rings():
     rng = np.random.default_rng(12)
 
