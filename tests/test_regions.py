@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from terrane import workspace
 from terrane.functions import arrangement, edge_index, pieces
 from terrane.functions import geometry as G
 from terrane.operators import aggregate as A
@@ -177,6 +178,67 @@ def test_offset_of_bends(spark):
     assert bend == [pytest.approx((0, 2)), pytest.approx((8, 2)), pytest.approx((8, 10))]
 
 
+def _lines(spark, copies):
+    """Five zigzags and a line of one place, as vertices, each ``copies`` times."""
+    rng = np.random.default_rng(11)
+    shapes = [rng.uniform(-5, 5, (n, 2)).tolist() for n in (2, 3, 4, 6, 7)] + [[(1.0, 1.0), (1.0, 1.0)]]
+    rows = [(6 * c + i, k, *p) for c in range(copies) for i, v in enumerate(shapes) for k, p in enumerate(v)]
+    return spark.createDataFrame(rows, "id int, pos0 int, x double, y double")
+
+
+def test_equal_lines_are_offset_once(spark):
+    v, dealt = _lines(spark, 100), []
+    spread = workspace.spread_alike
+
+    def seen(df, *rest):
+        dealt.append(spread(df, *rest))
+        return dealt[-1]
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(L, "spread_alike", seen)
+        whole = L.offset_line(v, ["id"], ["pos0"], 0.5)
+    got = {}
+    for r in whole.orderBy("id", "part", "pos").collect():
+        got.setdefault(r.id, []).append((r.part, r.pos, r.x, r.y))
+    assert len(got) == 500 and all(got[i] == got[i % 6] for i in got)
+    for i in range(5):
+        p = np.array([(r.x, r.y) for r in v.filter(F.col("id") == i).orderBy("pos0").collect()])
+        e = arrangement.line_offsets(pa.array([shape(2, p)], SHAPE), np.array([0.5]), 8, True)
+        lines = arrangement.strung(e.ax, e.ay, e.bx, e.by)
+        assert [r[2:] for r in got[i]] == [tuple(q) for line in lines for q in line.tolist()]
+    # Equal lines follow one another in their tasks, and are several tasks' work.
+    rows = dealt[0].select(F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"), F.col("__line.parts").cast("string").alias("g")).orderBy("at").collect()
+    runs = [b for a, b in zip([None, *rows], rows, strict=False) if a is None or (a.task, a.g) != (b.task, b.g)]
+    assert len(rows) == 600 and len({r.task for r in rows}) > 1 and len(runs) <= 6 * workspace.SHARES
+
+
+def test_lines_are_strung_together_as_one_by_one():
+    rng = np.random.default_rng(6)
+    corner = lambda k: [(k * 10 + x, y) for x, y in ((0, 0), (1, 0), (2, 0), (2, 2), (0, 2))]
+    rows = []
+    for k in range(60):
+        c = corner(0) + corner(1)
+        closed = [*zip(c[:5], [*c[1:5], c[0]], strict=True)]
+        open_ = [*zip(c[5:], c[6:], strict=False)]
+        crossed = [(c[0], c[7]), (c[7], c[0]), (c[3], c[7])]  # two edges end at one corner
+        some = [[], closed, open_, closed + open_, crossed + open_, open_ + crossed + closed][k % 6]
+        rows.append(np.array([some[i] for i in rng.permutation(len(some))], float).reshape(-1, 4))
+    flat = np.concatenate(rows)
+    e = edge_index.Edges(*flat.T, np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+    for got, r in zip(arrangement.strung_rows(e), rows, strict=True):
+        want = arrangement.strung(*r.T)
+        assert [g.tolist() for g in got] == [w.tolist() for w in want]
+    assert arrangement.strung_rows(e.slice(0, 1)) == [[]]
+
+
+def test_geometries_that_repeat_the_one_before():
+    a, b, c = shape(2, [(0, 0), (1, 1), (2, 0)]), shape(2, [(0, 0), (1, 1), (2, 1)]), shape(5, [(0, 0), (1, 1)], [(2, 0)])
+    d, e = shape(5, [(0, 0)], [(1, 1), (2, 0)]), shape(5)
+    rows = [a, a, b, b, b, a, c, c, d, d, e, e, None, None, {**a, "gtype": 4}]
+    assert pieces.repeats(pa.array(rows, SHAPE)).tolist() == [bool(i and rows[i] == rows[i - 1]) for i in range(len(rows))]
+    assert pieces.repeats(pa.array(rows, SHAPE).slice(1, 4)).tolist() == [False, False, True, True]
+
+
 def test_hatch_by_sampling(spark):
     rng = np.random.default_rng(8)
     polygons = [star(rng, 12) for _ in range(6)]
