@@ -239,6 +239,18 @@ def test_geometries_that_repeat_the_one_before():
     assert pieces.repeats(pa.array(rows, SHAPE).slice(1, 4)).tolist() == [False, False, True, True]
 
 
+def test_vertices_off_a_distance(spark):
+    rng = np.random.default_rng(13)
+    lines = [[rng.uniform(-3, 3, (n, 2)) for n in sizes] for sizes in ((2,), (5,), (1,), (3, 2), (4, 1))]
+    points = [[rng.uniform(-4, 4, (n, 2))] for n in (7, 1, 4, 9, 5)]
+    of = lambda parts: {**shape(5, *parts), **dict.fromkeys(("xmin", "ymin", "xmax", "ymax"), 0.0)}
+    rows = [(i, of(points[i % 5]), of(lines[i % 5])) for i in (0, 0, 1, 2, 2, 2, 3, 4)] + [(9, None, of(lines[0])), (9, of(points[0]), None)]
+    df = spark.createDataFrame(rows, f"i int, p {G.SCHEMA}, g {G.SCHEMA}").coalesce(1)
+    got = [tuple(r) for r in df.select("i", G.vertices_off("p", "g", 1.0, 0.6).alias("n")).collect()]
+    want = [(i, None if i == 9 else int((np.abs(distance(lines[i], *points[i][0].T) - 1) > 0.6).sum())) for i, _, _ in rows]
+    assert got == want and sum(n for _, n in got if n)
+
+
 def test_hatch_by_sampling(spark):
     rng = np.random.default_rng(8)
     polygons = [star(rng, 12) for _ in range(6)]
